@@ -155,12 +155,12 @@ def _on_grid(filled: DataFrame, columns: list[str], fps: float, limit: int) -> D
     """Emit each sample, the empty grid points after it, and those before a series' first."""
     carried = _carried(columns)
     first_k = F.when(F.col("_first"), F.lit(0).cast("bigint")).otherwise(F.col("_k"))
-    last_k = F.coalesce(
-        F.greatest(F.col("_next_k") - 1, F.col("_k")), F.col("_points") - 1
+    last_k = F.when(
+        F.col("_next_k").isNotNull(), F.greatest(F.col("_next_k") - 1, F.col("_k"))
+    ).otherwise(F.col("_points") - 1)
+    runs = filled.withColumns({"_from": first_k, "_to": last_k}).withColumn(
+        "_run", F.explode(F.sequence("_from", "_to", F.lit(RUN).cast("bigint")))
     )
-    runs = filled.withColumns({"_from": first_k, "_to": last_k}).where(
-        F.col("_from") <= F.col("_to")
-    ).withColumn("_run", F.explode(F.sequence("_from", "_to", F.lit(RUN).cast("bigint"))))
     points = runs.withColumn(
         "_at", F.explode(F.sequence("_run", F.least(F.col("_to"), F.col("_run") + (RUN - 1))))
     )

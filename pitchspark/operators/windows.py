@@ -220,8 +220,11 @@ def _starts(blocks: DataFrame, cfg: WindowConfig) -> DataFrame:
     stride = cfg.stride_steps
     first = F.expr(f"(first + {stride - 1}) div {stride} * {stride}")
     return (
-        blocks.withColumn("start", first).where(F.col("start") <= F.col("last"))
-        .withColumn("start", F.explode(F.sequence("start", "last", F.lit(stride).cast("bigint"))))
+        blocks.withColumn("start", first)
+        .withColumn("start", F.explode(F.when(
+            F.col("start") <= F.col("last"),
+            F.sequence("start", "last", F.lit(stride).cast("bigint")),
+        )))
         .withColumn("offset", (F.col("start") - F.col("first")).cast("int"))
     )
 
