@@ -18,6 +18,10 @@ from checks.oracles import all_oracles
 from checks.queries import all_queries
 
 
+TYPES = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE",
+         "boolean": "BOOLEAN"}
+
+
 def _key(row):
     return tuple((v is None, str(v)) for v in row)
 
@@ -34,6 +38,10 @@ def compare(spark: SparkSession, con, sf_dir: str, name: str) -> str | None:
     result = con.sql(all_oracles()[name])
     if sorted(result.columns) != columns:
         return f"columns {columns} against {sorted(result.columns)}"
+    types = {c: TYPES.get(t, t) for c, t in df.dtypes}
+    other = {c: str(t) for c, t in zip(result.columns, result.types)}
+    if types != other:
+        return f"types differ: {[(c, types[c], other[c]) for c in types if types[c] != other[c]]}"
     at = [result.columns.index(c) for c in columns]
     right = sorted((tuple(_plain(r[i]) for i in at) for r in result.fetchall()), key=_key)
     if len(left) != len(right):
