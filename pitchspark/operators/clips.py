@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchspark.constants import BALL
+from pitchspark.operators.skew import HotKeys
+from pitchspark.operators.timeseries import joined_on
+
+# More points than this for one agent within two buckets of time are compared by time, not by row.
+HOT_TRAIL_ROWS = 100_000
+TRAIL_KEYS = ["match_id", "agent_id", "bucket"]
 
 
 def clip_rows(
@@ -28,7 +34,28 @@ def clip_frames(clip: DataFrame) -> DataFrame:
     )
 
 
-def agent_trails(clip: DataFrame, trail_s: float = 1.0) -> DataFrame:
+def _beside(points: DataFrame) -> DataFrame:
+    """Times of the points just before and after each point of its agent."""
+    along = Window.partitionBy(*TRAIL_KEYS).orderBy("point_time_s")
+    return points.withColumns({
+        "_before": F.lag("point_time_s").over(along),
+        "_after": F.lead("point_time_s").over(along),
+    })
+
+
+def _beside_by_time(points: DataFrame) -> DataFrame:
+    """The same where points repeat without end: repeats are counted before they are ordered."""
+    times = points.groupBy(*TRAIL_KEYS, "point_time_s").agg((F.count("*") > 1).alias("_shared"))
+    beside = _beside(times).withColumns({
+        c: F.when(F.col("_shared"), F.col("point_time_s")).otherwise(F.col(c))
+        for c in ("_before", "_after")
+    })
+    return joined_on(points, beside, [*TRAIL_KEYS, "point_time_s"]).drop("_shared")
+
+
+def agent_trails(
+    clip: DataFrame, trail_s: float = 1.0, hot_rows: int | None = HOT_TRAIL_ROWS
+) -> DataFrame:
     """One row per frame, agent and point of that agent in the ``trail_s`` seconds up to the frame.
 
     The agent called ``ball`` has no trail, nor has an agent with a single point. Periods are not
@@ -45,17 +72,16 @@ def agent_trails(clip: DataFrame, trail_s: float = 1.0) -> DataFrame:
         F.col("time_s").alias("point_time_s"),
         "team_id", "x_m", "y_m",
     )
-    along = Window.partitionBy("match_id", "agent_id", "bucket").orderBy("point_time_s")
-    points = points.withColumns({
-        "_before": F.lag("point_time_s").over(along),
-        "_after": F.lead("point_time_s").over(along),
-    })
+    hot = HotKeys(points, TRAIL_KEYS, hot_rows)
+    beside = _beside(hot.cool(points))
+    if hot.any:
+        beside = beside.unionByName(_beside_by_time(hot.hot(points)))
     frames = clip.select(
         F.col("match_id").alias("_match"), "period", "frame_id", "time_s"
     ).distinct().withColumn("_bucket", bucket)
     oldest = F.col("time_s") - F.lit(float(trail_s))
     return frames.join(
-        points,
+        beside,
         F.col("_match").eqNullSafe(F.col("match_id"))
         & (F.col("_bucket") == F.col("bucket"))
         & (F.col("point_time_s") >= oldest)

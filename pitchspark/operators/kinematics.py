@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from pitchspark.constants import AGENT_KEYS
 from pitchspark.functions.casts import is_finite, no_nan
 from pitchspark.operators.skew import HOT_AGENT_ROWS, SLICE_S, HotKeys, attach, time_slice
-from pitchspark.operators.timeseries import SERIES_ORDER, neighbours, nulls_last, sort_struct
+from pitchspark.operators.timeseries import (
+    SERIES_ORDER,
+    joined_on,
+    neighbours,
+    nulls_last,
+    sort_struct,
+)
 from pitchspark.schema import canonical_tracking
 
 KINEMATICS = ["vx_mps", "vy_mps", "speed_mps", "ax_mps2", "ay_mps2", "accel_mps2"]
@@ -204,18 +210,14 @@ def _sliced_series(df: DataFrame, few: bool, slice_s: float) -> DataFrame:
             .otherwise(_gradient(v0, v1, v2, c, flags["even"]))
         )
     solved = around.select(
-        *[F.col(k).alias(f"_m_{k}") for k in [*AGENT_KEYS, "time_s"]],
+        *AGENT_KEYS, "time_s",
         F.col("_last").alias("_m_last"),
         F.col("_flat").alias("_m_flat"),
         v1["x"].alias("_vx"), v1["y"].alias("_vy"),
         accel["x"].alias("_ax"), accel["y"].alias("_ay"),
     )
-    condition = F.lit(True)
-    for k in [*AGENT_KEYS, "time_s"]:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"_m_{k}"))
-    rows = (
-        distinct.join(solved, condition)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
+    rows = joined_on(distinct, solved, [*AGENT_KEYS, "time_s"]).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
     )
     has_value = F.col("_m_flat") | (
         (place == F.col("_m_last")) & (F.col("_copy") == F.col("_copies"))
@@ -231,7 +233,7 @@ def _sliced_series(df: DataFrame, few: bool, slice_s: float) -> DataFrame:
 
 
 def add_kinematics(
-    tracking: DataFrame, hot_rows: int | None = HOT_AGENT_ROWS, slice_s: float = SLICE_S
+    tracking: DataFrame, hot_rows: int | None | HotKeys = HOT_AGENT_ROWS, slice_s: float = SLICE_S
 ) -> DataFrame:
     """Add velocity, speed, acceleration and its magnitude per (match, period, agent).
 
@@ -240,7 +242,7 @@ def add_kinematics(
     ``hot_rows`` rows are split into slices of ``slice_s`` seconds; None skips the check.
     """
     df = canonical_tracking(tracking).drop(*KINEMATICS)
-    hot = HotKeys(df, AGENT_KEYS, hot_rows)
+    hot = HotKeys.of(df, AGENT_KEYS, hot_rows)
     out = _whole_series(hot.cool(df))
     if hot.any:
         out = out.unionByName(_sliced_series(hot.hot(df), hot.few, slice_s))

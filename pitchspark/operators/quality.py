@@ -44,11 +44,11 @@ def _falls_in_slices(df: DataFrame, slice_s: float) -> DataFrame:
 
 
 def frame_monotonicity(
-    tracking: DataFrame, hot_rows: int | None = HOT_AGENT_ROWS, slice_s: float = SLICE_S
+    tracking: DataFrame, hot_rows: int | None | HotKeys = HOT_AGENT_ROWS, slice_s: float = SLICE_S
 ) -> DataFrame:
     """The (match, period, agent) series whose frame_id falls while time goes on."""
     df = tracking.select(*AGENT_KEYS, "time_s", "frame_id")
-    hot = HotKeys(df, AGENT_KEYS, hot_rows)
+    hot = HotKeys.of(df, AGENT_KEYS, hot_rows)
     out = _falls_in_rows(hot.cool(df))
     if hot.any:
         out = out.unionByName(_falls_in_slices(hot.hot(df), slice_s))
@@ -98,8 +98,9 @@ def check_quality(
     An existing ``speed_mps`` column is used; otherwise speeds are computed. Missing positions do
     not count against ``ok``.
     """
-    moving = tracking if "speed_mps" in tracking.columns else add_kinematics(tracking, hot_rows)
-    falls = frame_monotonicity(tracking, hot_rows)
+    hot = HotKeys(tracking, AGENT_KEYS, hot_rows)
+    moving = tracking if "speed_mps" in tracking.columns else add_kinematics(tracking, hot)
+    falls = frame_monotonicity(tracking, hot)
     bounds = validate_pitch_bounds(tracking)
     fast = impossible_speeds(moving)
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchspark.constants import AGENT_KEYS
 from pitchspark.functions.casts import half_even, is_finite
 from pitchspark.operators.skew import HOT_AGENT_ROWS, SLICE_S, HotKeys, attach
-from pitchspark.operators.timeseries import SERIES_ORDER, nulls_last
+from pitchspark.operators.timeseries import SERIES_ORDER, joined_on, nulls_last
 from pitchspark.schema import canonical_tracking
 
 # The columns that are interpolated; all others are carried forward, then back.
@@ -123,8 +121,7 @@ def _filled_in_slices(samples: DataFrame, carried: list[str], per_slice: int) ->
         p + c: shifted(F.col(p + c)) for p in ("_p_", "_n_") for c in INTERPOLATED
     })
     ends = ends.select(
-        *[F.col(k).alias(f"_e{k}") for k in [*AGENT_KEYS, "_slice"]],
-        "_shift",
+        *AGENT_KEYS, "_slice", "_shift",
         F.lead("_first_k").over(onward).alias("_e_next_k"),
         F.lag("_first_k").over(onward).isNull().alias("_e_first"),
         *[F.last(p + c, True).over(before).alias(f"_e{p}{c}") for p, cs in named.items()
@@ -132,11 +129,7 @@ def _filled_in_slices(samples: DataFrame, carried: list[str], per_slice: int) ->
         *[F.last(p + c, True).over(after).alias(f"_e{p}{c}") for p, cs in ahead.items()
           for c in cs],
     )
-    condition = reduce(
-        Column.__and__,
-        [F.col(k).eqNullSafe(F.col(f"_e{k}")) for k in [*AGENT_KEYS, "_slice"]],
-    )
-    joined = out.join(ends, condition)
+    joined = joined_on(out, ends, [*AGENT_KEYS, "_slice"])
     return joined.withColumns(
         {
             "_pos": F.col("_pos") + F.col("_shift"),
@@ -151,8 +144,14 @@ def _filled_in_slices(samples: DataFrame, carried: list[str], per_slice: int) ->
     )
 
 
-def _on_grid(filled: DataFrame, columns: list[str], fps: float, limit: int) -> DataFrame:
-    """Emit each sample, the empty grid points after it, and those before a series' first."""
+def _on_grid(
+    filled: DataFrame, columns: list[str], fps: float, limit: int, spread: bool = False
+) -> DataFrame:
+    """Emit each sample, the empty grid points after it, and those before a series' first.
+
+    With ``spread``, long gaps are dealt out to tasks in runs of grid points before they are
+    filled.
+    """
     carried = _carried(columns)
     first_k = F.when(F.col("_first"), F.lit(0).cast("bigint")).otherwise(F.col("_k"))
     last_k = F.when(
@@ -161,6 +160,8 @@ def _on_grid(filled: DataFrame, columns: list[str], fps: float, limit: int) -> D
     runs = filled.withColumns({"_from": first_k, "_to": last_k}).withColumn(
         "_run", F.explode(F.sequence("_from", "_to", F.lit(RUN).cast("bigint")))
     )
+    if spread:
+        runs = runs.repartition(*AGENT_KEYS, "_run")
     points = runs.withColumn(
         "_at", F.explode(F.sequence("_run", F.least(F.col("_to"), F.col("_run") + (RUN - 1))))
     )
@@ -230,7 +231,7 @@ def _sliced(df: DataFrame, fps: float, limit: int, few: bool, slice_s: float) ->
     per_slice = max(int(slice_s * fps), 1)
     carried = _carried(df.columns)
     on_grid = _on_grid(
-        _filled_in_slices(samples, carried, per_slice), df.columns, fps, limit
+        _filled_in_slices(samples, carried, per_slice), df.columns, fps, limit, spread=True
     )
     types = dict(df.dtypes)
     unmet = rows.groupBy(*AGENT_KEYS, "_start", "_points").agg(
@@ -245,7 +246,9 @@ def _sliced(df: DataFrame, fps: float, limit: int, few: bool, slice_s: float) ->
         "_pos": F.lit(-1).cast("bigint"), "_next_k": F.lit(None).cast("bigint"),
         "_first": F.lit(True),
     }
-    return on_grid.unionByName(_on_grid(unmet.withColumns(empty), df.columns, fps, limit))
+    return on_grid.unionByName(
+        _on_grid(unmet.withColumns(empty), df.columns, fps, limit, spread=True)
+    )
 
 
 def resample_tracking(
@@ -259,7 +262,8 @@ def resample_tracking(
 
     Samples whose time is not a grid time are left out. Positions are interpolated over the first
     ``max_gap_s`` of each gap, with a ``<column>_was_missing`` flag; other columns take the value
-    before, or else the one after. Series with more than ``hot_rows`` rows are resampled in slices.
+    before, or else the one after. Series with more than ``hot_rows`` rows or grid points are
+    resampled in slices.
     """
     if target_fps <= 0:
         raise ValueError("target_fps must be positive")
@@ -268,7 +272,9 @@ def resample_tracking(
         raise ValueError("max_gap_s must cover at least one frame")
     df = canonical_tracking(tracking).drop(*[f"{c}_was_missing" for c in INTERPOLATED])
     df = df.where(is_finite(F.col("time_s")))
-    hot = HotKeys(df, AGENT_KEYS, hot_rows)
+    # A stray time makes a grid far longer than the series has rows.
+    span = (F.max("time_s") - F.min("time_s")) * F.lit(float(target_fps))
+    hot = HotKeys(df, AGENT_KEYS, hot_rows, F.greatest(F.count("*").cast("double"), span))
     out = _whole(hot.cool(df), target_fps, limit)
     if hot.any:
         out = out.unionByName(

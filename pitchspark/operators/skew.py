@@ -23,24 +23,24 @@ SALTS = 64
 SLICE_S = 3600.0
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality on the given keys."""
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & left[k].eqNullSafe(right[k])
-    return condition
 
 
 class HotKeys:
-    """The keys with more than ``limit`` rows, and how to divide a table by them."""
+    """The keys with more than ``limit`` rows, and how to divide a table by them.
 
-    def __init__(self, df: DataFrame, keys: list[str], limit: int | None):
+    ``size`` replaces the row count where a key's cost is not its number of rows.
+    """
+
+    def __init__(
+        self, df: DataFrame, keys: list[str], limit: int | None, size: Column | None = None
+    ):
         self.keys = keys
         self.any = False
         self.few = True
         if limit is None:
             return
-        over = df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
+        size = F.count("*") if size is None else size
+        over = df.groupBy(*keys).agg(size.alias("_size")).where(F.col("_size") > limit).select(*keys)
         found = over.limit(BROADCAST_ROWS + 1).collect()
         self.any = bool(found)
         self.few = len(found) <= BROADCAST_ROWS
@@ -49,6 +49,11 @@ class HotKeys:
                 over = F.broadcast(df.sparkSession.createDataFrame(found, over.schema))
             self.table = over.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
 
+    @classmethod
+    def of(cls, df: DataFrame, keys: list[str], limit: int | None | HotKeys) -> HotKeys:
+        """A check already made for the same rows is used again."""
+        return limit if isinstance(limit, HotKeys) else cls(df, keys, limit)
+
     def _condition(self) -> Column:
         condition = F.lit(True)
         for k in self.keys:

@@ -21,6 +21,17 @@ def sort_struct(names: list[str]) -> Column:
     return F.struct(*fields)
 
 
+def joined_on(df: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on null-safe equality, keeping one set of the keys."""
+    named = side.select(
+        *[F.col(k).alias(f"_on_{k}") for k in keys], *[c for c in side.columns if c not in keys]
+    )
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_on_{k}"))
+    return df.join(named, condition).drop(*[f"_on_{k}" for k in keys])
+
+
 def neighbours(
     df: DataFrame,
     keys: list[str],
@@ -58,7 +69,8 @@ def neighbours(
     # A slice has at least one row, so depth slices on each side hold enough rows.
     empty = F.slice("_head", 1, 0)
     ends = ends.select(
-        *[F.col(k).alias(f"_e_{k}") for k in [*keys, slice_col]],
+        *keys,
+        slice_col,
         F.concat(
             *[F.coalesce(F.lag("_tail", d).over(across), empty) for d in reversed(depths)]
         ).alias("_before"),
@@ -66,10 +78,7 @@ def neighbours(
             "_after"
         ),
     )
-    condition = F.lit(True)
-    for k in [*keys, slice_col]:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"_e_{k}"))
-    joined = inner.join(ends, condition)
+    joined = joined_on(inner, ends, [*keys, slice_col])
     filled = {}
     for d in depths:
         # How many of the d rows looked back (or ahead) lie inside the slice.
@@ -84,5 +93,5 @@ def neighbours(
             f"next{d}", F.get("_after", F.lit(d - 1) - inside_next)
         )
     return joined.withColumns(filled).drop(
-        "_cur", "_before", "_after", *[f"_e_{k}" for k in [*keys, slice_col]]
+        "_cur", "_before", "_after"
     )

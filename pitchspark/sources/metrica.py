@@ -217,18 +217,29 @@ def tracking_from_lines(lines: DataFrame, few_files: bool) -> DataFrame:
     )
     # Lines of a file without a header must survive, to be reported.
     is_data = F.coalesce(F.col("line_pos") > F.col("header_end"), F.lit(True))
-    cells = joined.where((F.btrim("value") != "") & is_data).select(
+    split = joined.where((F.btrim("value") != "") & is_data).select(
         "match_id", "team", "source_file", "period_pos", "frame_pos", "time_pos",
-        _cells(F.col("value")).alias("cells"), F.explode(pairs).alias("pair"),
+        pairs.alias("pairs"), F.split("value", ",", -1).alias("cells"),
     )
-    raw_x = _double(F.get("cells", F.col("pair.x_pos")))
-    raw_y = _double(F.get("cells", F.col("pair.y_pos")))
+
+    def cell(pos: Column) -> Column:
+        return F.btrim(F.get("cells", pos), F.lit(' "'))
+
+    # Each entity takes its two cells before the explode, which then copies no whole lines.
+    cells = split.select(
+        "match_id", "team", "source_file",
+        *[cell(F.col(f"{k}_pos")).alias(k) for k in ("period", "frame", "time")],
+        F.explode(F.transform("pairs", lambda p: F.struct(
+            p["prefix"].alias("prefix"), cell(p["x_pos"]).alias("x"), cell(p["y_pos"]).alias("y")
+        ))).alias("pair"),
+    )
+    raw_x, raw_y = _double(F.col("pair.x")), _double(F.col("pair.y"))
     columns = {
         "match_id": F.col("match_id"),
         "dataset": F.lit(METRICA),
-        "period": F.get("cells", F.col("period_pos")),
-        "frame_id": F.get("cells", F.col("frame_pos")),
-        "time_s": F.get("cells", F.col("time_pos")),
+        "period": F.col("period"),
+        "frame_id": F.col("frame"),
+        "time_s": F.col("time"),
         "source_file": F.col("source_file"),
         **_agent_columns(F.col("pair.prefix"), F.col("team")),
         **_positions(raw_x, raw_y),

@@ -182,10 +182,11 @@ def test_clips_and_trails(spark):
                 if len(near) > 1:
                     want += [(match, period, frame, agent, r["frame_id"], round(r["x_m"], 6))
                              for r in near]
-        got = clips.agent_trails(clip, trail).select(
-            F.coalesce("match_id", F.lit("")), "period", "frame_id", "agent_id", "point_frame_id",
-            "x_m")
-        assert as_set(got) == sorted(want, key=lambda r: tuple((v is None, str(v)) for v in r))
+        for hot_rows in (None, 0, 8):
+            got = clips.agent_trails(clip, trail, hot_rows).select(
+                F.coalesce("match_id", F.lit("")), "period", "frame_id", "agent_id",
+                "point_frame_id", "x_m")
+            assert as_set(got) == sorted(want, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
 def test_hot_keys_and_attach(spark):
