@@ -23,8 +23,6 @@ SALTS = 64
 SLICE_S = 3600.0
 
 
-
-
 class HotKeys:
     """The keys with more than ``limit`` rows, and how to divide a table by them.
 
