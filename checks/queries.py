@@ -23,12 +23,11 @@ WINDOW_FEATURES = ["x_m", "y_m", "raw_x"]
 
 def tidy(df: DataFrame) -> DataFrame:
     """Doubles to six places, without negative zero."""
-    out = []
-    for name, dtype in df.dtypes:
-        r = F.round(name, 6)
-        out.append(F.when(r == 0, 0.0).otherwise(r).alias(name) if dtype == "double"
-                   else F.col(name))
-    return df.select(*out)
+    return df.selectExpr(*[
+        f"CASE WHEN round({name}, 6) = 0 THEN 0D ELSE round({name}, 6) END AS {name}"
+        if dtype == "double" else name
+        for name, dtype in df.dtypes
+    ])
 
 
 def canonical_tracking(spark, sf):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DoubleType, IntegerType, LongType
 
 INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
@@ -19,14 +18,15 @@ def is_finite(c: Column) -> Column:
     return F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
 
 
-def coerce(c: Column, source: str, target: DataType) -> Column:
-    """Cast, giving null for what cannot be read; whole-number columns keep whole numbers only."""
-    if isinstance(target, DoubleType):
-        return no_nan(c.try_cast("double"))
-    if isinstance(target, (IntegerType, LongType)) and source not in INTEGRAL:
-        as_double = c.try_cast("double")
-        return F.when(as_double == F.rint(as_double), as_double.try_cast(target))
-    return c.try_cast(target)
+def coerce(name: str, source: str, target: str) -> str:
+    """SQL cast that gives null for what cannot be read; whole-number columns keep whole numbers."""
+    column = "`" + name.replace("`", "``") + "`"
+    as_double = f"try_cast({column} AS double)"
+    if target == "double":
+        return f"nanvl({as_double}, CAST(NULL AS double))"
+    if target in ("int", "bigint") and source not in INTEGRAL:
+        return f"CASE WHEN {as_double} = rint({as_double}) THEN try_cast({as_double} AS {target}) END"
+    return column if source == target else f"try_cast({column} AS {target})"
 
 
 def half_even(value: float) -> int:

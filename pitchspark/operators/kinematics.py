@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchspark.constants import AGENT_KEYS
-from pitchspark.functions.casts import is_finite, no_nan
+from pitchspark.functions.casts import is_finite
 from pitchspark.operators.skew import HOT_AGENT_ROWS, SLICE_S, HotKeys, attach, time_slice
 from pitchspark.operators.timeseries import (
     SERIES_ORDER,
@@ -20,46 +20,41 @@ from pitchspark.schema import canonical_tracking
 KINEMATICS = ["vx_mps", "vy_mps", "speed_mps", "ax_mps2", "ay_mps2", "accel_mps2"]
 
 
-def _ratio(num: Column, den: Column) -> Column:
-    return F.try_divide(num, den)
-
-
-def _gradient(before: Column, here: Column, after: Column, name: str, even: Column) -> Column:
+def _gradient(before: str, here: str, after: str, name: str) -> str:
     """Second-order derivative of ``name`` at ``here``, one-sided where a neighbour is missing.
 
-    With evenly spaced times the middle value is not read, so it may be missing.
+    With evenly spaced times the middle value is not read, so it may be missing. The points are
+    struct columns with a time ``t``.
     """
-    hs = here["t"] - before["t"]
-    hd = after["t"] - here["t"]
-    v0, v1, v2 = before[name], here[name], after[name]
-    weighted = (
-        _ratio(-hd, hs * (hs + hd)) * v0
-        + _ratio(hd - hs, hs * hd) * v1
-        + _ratio(hs, hd * (hs + hd)) * v2
-    )
-    return (
-        F.when(before.isNull(), _ratio(v2 - v1, hd))
-        .when(after.isNull(), _ratio(v1 - v0, hs))
-        .when(even, _ratio(v2 - v0, F.lit(2.0) * hd))
-        .otherwise(weighted)
-    )
+    hs, hd = f"({here}.t - {before}.t)", f"({after}.t - {here}.t)"
+    v0, v1, v2 = (f"{p}.{name}" for p in (before, here, after))
+    return f"""CASE
+        WHEN {before} IS NULL THEN try_divide({v2} - {v1}, {hd})
+        WHEN {after} IS NULL THEN try_divide({v1} - {v0}, {hs})
+        WHEN _even THEN try_divide({v2} - {v0}, 2D * {hd})
+        ELSE try_divide(-{hd}, {hs} * ({hs} + {hd})) * {v0}
+           + try_divide({hd} - {hs}, {hs} * {hd}) * {v1}
+           + try_divide({hs}, {hd} * ({hs} + {hd})) * {v2} END"""
+
+
+def _forward(before: str, here: str, after: str, name: str) -> str:
+    """Slope to the next row, null unless time advances; the last row repeats the slope before it."""
+    hs, hd = f"({here}.t - {before}.t)", f"({after}.t - {here}.t)"
+    v0, v1, v2 = (f"{p}.{name}" for p in (before, here, after))
+    return f"""CASE
+        WHEN {after} IS NULL THEN CASE WHEN {hs} > 0 THEN try_divide({v1} - {v0}, {hs}) END
+        WHEN {hd} > 0 THEN try_divide({v2} - {v1}, {hd}) END"""
 
 
-def _forward(before: Column, here: Column, after: Column, name: str) -> Column:
-    """Slope to the next row, null unless time advances; the last row repeats the slope before it."""
-    hs = here["t"] - before["t"]
-    hd = after["t"] - here["t"]
-    return F.when(
-        after.isNull(), F.when(hs > 0, _ratio(here[name] - before[name], hs))
-    ).otherwise(F.when(hd > 0, _ratio(after[name] - here[name], hd)))
-
-
-def _derivative(before, here, after, name, flags) -> Column:
-    return no_nan(
-        F.when(flags["flat"], 0.0)
-        .when(flags["repeats"], _forward(before, here, after, name))
-        .otherwise(_gradient(before, here, after, name, flags["even"]))
-    )
+def _by_flags(repeated: str, otherwise: str) -> str:
+    """Zero in a flat series, else the derivative for its kind; never NaN."""
+    return f"""nanvl(CASE WHEN _flat THEN 0D WHEN _repeats THEN {repeated} ELSE {otherwise} END,
+        CAST(NULL AS DOUBLE))"""
+
+
+def _derivative(name: str) -> Column:
+    around = ("prev1", "here", "next1", name)
+    return F.expr(_by_flags(_forward(*around), _gradient(*around)))
 
 
 def _with_magnitudes(df: DataFrame) -> DataFrame:
@@ -69,17 +64,18 @@ def _with_magnitudes(df: DataFrame) -> DataFrame:
     })
 
 
-def _flags(rows, times_ok, low_t, high_t, low_dt, high_dt) -> dict[str, Column]:
-    """What the whole series says about each of its rows.
+# What a whole series says about each of its rows, given its number of rows, whether all times are
+# finite, and its least and greatest time and step. flat: too few rows or times, or an unusable
+# time, so every derivative is zero. repeats: some time occurs twice. even: all steps are equal.
+FLAGS = {
+    "_flat": "coalesce(_rows < 2 OR NOT _times_ok OR _low_t = _high_t, true)",
+    "_repeats": "coalesce(_low_dt <= 0, false)",
+    "_even": "coalesce(_low_dt = _high_dt, false)",
+}
 
-    flat: too few rows or times, or an unusable time, so every derivative is zero.
-    repeats: some time occurs twice. even: all steps are exactly equal.
-    """
-    return {
-        "flat": (rows < 2) | ~times_ok | (low_t == high_t),
-        "repeats": low_dt <= 0,
-        "even": low_dt == high_dt,
-    }
+
+def _flags() -> dict[str, Column]:
+    return {name: F.expr(text) for name, text in FLAGS.items()}
 
 
 def _point(x: str, y: str) -> Column:
@@ -93,29 +89,17 @@ def _whole_series(df: DataFrame) -> DataFrame:
     out = neighbours(df.repartition(*AGENT_KEYS), AGENT_KEYS, order, _point("x_m", "y_m"), depth=1)
     series = Window.partitionBy(*AGENT_KEYS)
     step = F.col("next1.t") - F.col("time_s")
-    whole = _flags(
-        F.count("*").over(series),
-        F.min(is_finite(F.col("time_s"))).over(series),
-        F.min("time_s").over(series),
-        F.max("time_s").over(series),
-        F.min(step).over(series),
-        F.max(step).over(series),
-    )
     out = out.withColumns({
-        f"_{k}": F.coalesce(whole[k], F.lit(k == "flat")) for k in whole
-    })
-    flags = {k: F.col(f"_{k}") for k in whole}
-    here = _point("x_m", "y_m")
-    out = out.withColumns({
-        v: _derivative(F.col("prev1"), here, F.col("next1"), axis, flags)
-        for v, axis in [("vx_mps", "x"), ("vy_mps", "y")]
-    }).drop("prev1", "next1")
+        "_rows": F.count("*").over(series),
+        "_times_ok": F.min(is_finite(F.col("time_s"))).over(series),
+        "_low_t": F.min("time_s").over(series),
+        "_high_t": F.max("time_s").over(series),
+        "_low_dt": F.min(step).over(series),
+        "_high_dt": F.max(step).over(series),
+    }).withColumns(_flags())
+    out = out.withColumns({"vx_mps": _derivative("x"), "vy_mps": _derivative("y")})
     out = neighbours(out, AGENT_KEYS, order, _point("vx_mps", "vy_mps"), depth=1)
-    here = _point("vx_mps", "vy_mps")
-    out = out.withColumns({
-        a: _derivative(F.col("prev1"), here, F.col("next1"), axis, flags)
-        for a, axis in [("ax_mps2", "x"), ("ay_mps2", "y")]
-    })
+    out = out.withColumns({"ax_mps2": _derivative("x"), "ay_mps2": _derivative("y")})
     return out.select(*df.columns, "vx_mps", "vy_mps", "ax_mps2", "ay_mps2")
 
 
@@ -151,69 +135,43 @@ def _sliced_series(df: DataFrame, few: bool, slice_s: float) -> DataFrame:
         F.least(F.min(step), F.min(F.when(F.col("_n") > 1, 0.0))).alias("_low_dt"),
         F.max(step).alias("_high_dt"),
     )
-    names = ["_rows", "_times_ok", "_low_t", "_high_t", "_low_dt", "_high_dt"]
-    flags = _flags(*[F.col(n) for n in names])
-    whole = whole.select(
-        *AGENT_KEYS,
-        *[F.coalesce(flags[k], F.lit(k == "flat")).alias(f"_{k}") for k in flags],
-    )
-    around = attach(around, whole, AGENT_KEYS, few, F.col("_slice")).withColumn("_m0", moment)
-    flags = {k: F.col(f"_{k}") for k in flags}
-    m = {i: F.col(c) for i, c in zip(range(-2, 3), ("prev2", "prev1", "_m0", "next1", "next2"))}
+    whole = whole.withColumns(_flags()).select(*AGENT_KEYS, *FLAGS)
+    around = attach(around, whole, AGENT_KEYS, few, F.col("_slice"))
 
-    def first_of(point: Column) -> Column:
-        return F.when(
-            point.isNotNull(),
-            F.struct(point["t"].alias("t"), point["fx"].alias("x"), point["fy"].alias("y")),
-        )
-
-    def last_row_velocity(i: int) -> Column:
-        """Velocity of the last row at the i-th moment from here.
+    def last_row_velocity(before: str, here: str, after: str) -> Column:
+        """Velocity of the last row at the moment ``here``.
 
         Where times repeat, that row looks ahead to the first row of the next moment. The last
         row of the series looks back, and has no slope when the row before it has the same time.
         """
-        here, before, after = m[i], m.get(i - 1, F.lit(None)), m.get(i + 1, F.lit(None))
+        ahead = f"named_struct('t', {after}.t, 'x', {after}.fx, 'y', {after}.fy)"
         slope = {}
         for name in ("x", "y"):
-            ahead = _forward(before, here, first_of(after), name)
-            back = F.when(after.isNull() & (here["n"] > 1), F.lit(None)).otherwise(ahead)
-            plain = _gradient(before, here, after, name, flags["even"])
-            slope[name] = no_nan(
-                F.when(flags["flat"], 0.0).when(flags["repeats"], back).otherwise(plain)
-            )
-        return F.when(
-            here.isNotNull(),
-            F.struct(here["t"].alias("t"), here["n"].alias("n"),
-                     slope["x"].alias("x"), slope["y"].alias("y")),
-        )
+            repeated = f"""CASE WHEN {after} IS NOT NULL THEN {_forward(before, here, ahead, name)}
+                WHEN {here}.n = 1 THEN {_forward(before, here, after, name)} END"""
+            slope[name] = _by_flags(repeated, _gradient(before, here, after, name))
+        return F.expr(f"""CASE WHEN {here} IS NOT NULL THEN named_struct(
+            't', {here}.t, 'n', {here}.n, 'x', {slope['x']}, 'y', {slope['y']}) END""")
 
     around = around.withColumns({
-        "_v_before": last_row_velocity(-1),
-        "_v": last_row_velocity(0),
-        "_v_after": last_row_velocity(1),
+        "_v_before": last_row_velocity("prev2", "prev1", "here"),
+        "_v": last_row_velocity("prev1", "here", "next1"),
+        "_v_after": last_row_velocity("here", "next1", "next2"),
     })
-    v0, v1, v2 = F.col("_v_before"), F.col("_v"), F.col("_v_after")
     # Of several rows at one time only the last has a velocity.
-    v2_first = F.when(
-        v2.isNotNull(),
-        F.struct(v2["t"].alias("t"),
-                 *[F.when(v2["n"] == 1, v2[c]).alias(c) for c in ("x", "y")]),
-    )
+    around = around.withColumn("_v_first_after", F.expr("""CASE WHEN _v_after IS NOT NULL THEN
+        named_struct('t', _v_after.t, 'x', CASE WHEN _v_after.n = 1 THEN _v_after.x END,
+                     'y', CASE WHEN _v_after.n = 1 THEN _v_after.y END) END"""))
     accel = {}
     for c in ("x", "y"):
-        ahead = _forward(v0, v1, v2_first, c)
-        back = F.when(v2.isNull() & (v1["n"] > 1), F.lit(None)).otherwise(ahead)
-        accel[c] = no_nan(
-            F.when(flags["flat"], 0.0)
-            .when(flags["repeats"], back)
-            .otherwise(_gradient(v0, v1, v2, c, flags["even"]))
-        )
+        repeated = f"""CASE WHEN _v_after IS NOT NULL OR _v.n = 1
+            THEN {_forward('_v_before', '_v', '_v_first_after', c)} END"""
+        accel[c] = F.expr(_by_flags(repeated, _gradient("_v_before", "_v", "_v_after", c)))
     solved = around.select(
         *AGENT_KEYS, "time_s",
         F.col("_last").alias("_m_last"),
         F.col("_flat").alias("_m_flat"),
-        v1["x"].alias("_vx"), v1["y"].alias("_vy"),
+        F.col("_v.x").alias("_vx"), F.col("_v.y").alias("_vy"),
         accel["x"].alias("_ax"), accel["y"].alias("_ay"),
     )
     rows = joined_on(distinct, solved, [*AGENT_KEYS, "time_s"]).withColumn(

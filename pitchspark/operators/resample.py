@@ -45,36 +45,34 @@ def _filled(samples: DataFrame, part: list[str], carried: list[str]) -> DataFram
     and of the first one after it; ``_f_<c>`` and ``_b_<c>`` hold just the value. A row position
     counts every output row, so copies at one time take a position each.
     """
-    order = nulls_last(SERIES_ORDER)
-    ordered = Window.partitionBy(*part).orderBy(*order)
-    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy(*part).orderBy(
-        *[F.col(c).desc_nulls_first() for c in SERIES_ORDER]
-    )
+    keys = ", ".join(part)
+    ascending = ", ".join(f"{c} ASC NULLS LAST" for c in SERIES_ORDER)
+    descending = ", ".join(f"{c} DESC NULLS FIRST" for c in SERIES_ORDER)
+    ordered = f"OVER (PARTITION BY {keys} ORDER BY {ascending})"
+    so_far = ordered[:-1] + " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    earlier = ordered[:-1] + " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     # Looking ahead as a running value in reverse order: linear, unlike a shrinking frame.
-    later = back.rowsBetween(Window.unboundedPreceding, -1)
-    out = samples.withColumns({
-        "_new": F.coalesce(F.lag("_k").over(ordered) != F.col("_k"), F.lit(True)).cast("int"),
-        "_first": F.lag("_k").over(ordered).isNull(),
-        "_next_k": F.lead("_k").over(ordered),
-        "_rows_before": F.coalesce(F.sum("_copies").over(earlier), F.lit(0)),
-    })
-    out = out.withColumn(
-        "_pos", F.col("_k") + F.col("_rows_before") - F.sum("_new").over(so_far) + 1
-    )
-    last_pos = F.col("_pos") + F.col("_copies") - 1
-
-    def seen(c: str, pos: Column) -> Column:
-        return F.when(F.col(c).isNotNull(), F.struct(pos.alias("pos"), F.col(c).alias("value")))
-
-    out = out.withColumns(
-        {f"_p_{c}": F.last(seen(c, last_pos), True).over(so_far) for c in INTERPOLATED}
-        | {f"_f_{c}": F.last(c, True).over(so_far) for c in carried}
-    )
-    return out.withColumns(
-        {f"_n_{c}": F.last(seen(c, F.col("_pos")), True).over(later) for c in INTERPOLATED}
-        | {f"_b_{c}": F.last(c, True).over(later) for c in carried}
+    later = f"""OVER (PARTITION BY {keys} ORDER BY {descending}
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+    out = samples.selectExpr(
+        "*",
+        f"CAST(coalesce(lag(_k) {ordered} <> _k, true) AS int) AS _new",
+        f"lag(_k) {ordered} IS NULL AS _first",
+        f"lead(_k) {ordered} AS _next_k",
+        f"coalesce(sum(_copies) {earlier}, 0L) AS _rows_before",
+    ).selectExpr("*", f"_k + _rows_before - sum(_new) {so_far} + 1 AS _pos")
+
+    def seen(c: str, pos: str) -> str:
+        return f"CASE WHEN {c} IS NOT NULL THEN named_struct('pos', {pos}, 'value', {c}) END"
+
+    return out.selectExpr(
+        "*",
+        *[f"last({seen(c, '_pos + _copies - 1')}, true) {so_far} AS _p_{c}" for c in INTERPOLATED],
+        *[f"last(`{c}`, true) {so_far} AS `_f_{c}`" for c in carried],
+    ).selectExpr(
+        "*",
+        *[f"last({seen(c, '_pos')}, true) {later} AS _n_{c}" for c in INTERPOLATED],
+        *[f"last(`{c}`, true) {later} AS `_b_{c}`" for c in carried],
     )
 
 
@@ -176,26 +174,23 @@ def _on_grid(
         .otherwise(F.col("_pos") + F.col("_copies") - 1 + F.col("_at") - F.col("_k")),
     )
 
-    def interpolated(c: str) -> Column:
-        p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")
-        away = F.col("_pos") - p["pos"]
-        slope = F.try_divide(n["value"] - p["value"], (n["pos"] - p["pos"]).cast("double"))
-        between = (F.col("_at") >= F.col("_k")) & (away <= limit)
-        return F.coalesce(
-            F.when(own, F.col(c)),
-            F.when(between, slope * away.cast("double") + p["value"]),
-        )
+    def interpolated(c: str) -> str:
+        p, n = f"_p_{c}", f"_n_{c}"
+        slope = f"try_divide({n}.value - {p}.value, CAST({n}.pos - {p}.pos AS double))"
+        return f"""CASE WHEN _at = _k AND {c} IS NOT NULL THEN {c}
+            WHEN _at >= _k AND _pos - {p}.pos <= {limit}
+            THEN {slope} * CAST(_pos - {p}.pos AS double) + {p}.value END AS {c}"""
 
     time_s = _grid_time(F.col("_at"), fps)
-    values = {
-        "time_s": time_s,
-        "frame_id": F.rint(time_s * F.lit(fps)).cast("bigint"),
-    }
-    values |= {c: interpolated(c) for c in INTERPOLATED}
-    values |= {c: F.coalesce(f"_f_{c}", f"_b_{c}") for c in carried}
-    return points.select(
-        *[values[c].alias(c) if c in values else F.col(c) for c in columns],
-        *[(~own | F.col(c).isNull()).alias(f"{c}_was_missing") for c in INTERPOLATED],
+    values = {c: interpolated(c) for c in INTERPOLATED}
+    # A sample in front of the grid gives its keys only.
+    values |= {c: f"CASE WHEN _k >= 0 THEN coalesce(`_f_{c}`, `_b_{c}`) END AS `{c}`"
+               for c in carried}
+    values |= {"time_s": "_grid_t AS time_s",
+               "frame_id": f"CAST(rint(_grid_t * {float(fps)}D) AS bigint) AS frame_id"}
+    return points.withColumn("_grid_t", time_s).selectExpr(
+        *[values.get(c, c) for c in columns],
+        *[f"NOT (_at = _k AND {c} IS NOT NULL) AS {c}_was_missing" for c in INTERPOLATED],
     )
 
 
@@ -208,12 +203,9 @@ def _whole(df: DataFrame, fps: float, limit: int) -> DataFrame:
         "_start": F.min("time_s").over(series), "_end": F.max("time_s").over(series)
     }).withColumns(_grid_columns(fps))
     rows = rows.withColumn("_any", F.max(F.col("_k").isNotNull()).over(series))
-    # A series that never meets its grid is kept as one empty sample in front of the grid.
+    # A series that never meets its grid is kept as one sample in front of the grid.
     rows = rows.where(F.col("_k").isNotNull() | (~F.col("_any") & (F.col("_rank") == 1)))
-    kept = [*AGENT_KEYS, "time_s"]
     rows = rows.withColumns({
-        c: F.when(F.col("_any"), F.col(c)) for c in df.columns if c not in kept
-    }).withColumns({
         "_k": F.coalesce("_k", F.lit(-1).cast("bigint")), "_copies": F.lit(1).cast("bigint")
     })
     return _on_grid(_filled(rows, AGENT_KEYS, _carried(df.columns)), df.columns, fps, limit)

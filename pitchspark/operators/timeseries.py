@@ -40,7 +40,9 @@ def neighbours(
     depth: int,
     slice_col: str | None = None,
 ) -> DataFrame:
-    """Add ``prev1..`` and ``next1..``: the payload of the rows before and after, null at the ends.
+    """Add ``here``, the payload, and ``prev1..`` and ``next1..``, that of the rows around it.
+
+    Rows beyond an end of the series are null.
 
     With ``slice_col``, an ordered slice number, each slice is a group of its own. The rows just
     outside a slice are found from the first and last rows of all slices, a table smaller than the
@@ -48,13 +50,13 @@ def neighbours(
     """
     depths = range(1, depth + 1)
     w = Window.partitionBy(*keys, *([slice_col] if slice_col else [])).orderBy(*order)
-    inner = df.withColumn("_cur", payload)
+    inner = df.withColumn("here", payload)
     inner = inner.withColumns(
-        {f"prev{d}": F.lag("_cur", d).over(w) for d in depths}
-        | {f"next{d}": F.lead("_cur", d).over(w) for d in depths}
+        {f"prev{d}": F.lag("here", d).over(w) for d in depths}
+        | {f"next{d}": F.lead("here", d).over(w) for d in depths}
     )
     if slice_col is None:
-        return inner.drop("_cur")
+        return inner
 
     def present(*names):
         return F.filter(F.array(*names), lambda p: p.isNotNull())
@@ -62,8 +64,8 @@ def neighbours(
     ahead = [f"next{d}" for d in depths][: depth - 1]
     behind = [f"prev{d}" for d in reversed(depths)][1:]
     ends = inner.groupBy(*keys, slice_col).agg(
-        F.max(F.when(F.col("prev1").isNull(), present("_cur", *ahead))).alias("_head"),
-        F.max(F.when(F.col("next1").isNull(), present(*behind, "_cur"))).alias("_tail"),
+        F.max(F.when(F.col("prev1").isNull(), present("here", *ahead))).alias("_head"),
+        F.max(F.when(F.col("next1").isNull(), present(*behind, "here"))).alias("_tail"),
     )
     across = Window.partitionBy(*keys).orderBy(F.col(slice_col).asc_nulls_last())
     # A slice has at least one row, so depth slices on each side hold enough rows.
@@ -92,6 +94,4 @@ def neighbours(
         filled[f"next{d}"] = F.coalesce(
             f"next{d}", F.get("_after", F.lit(d - 1) - inside_next)
         )
-    return joined.withColumns(filled).drop(
-        "_cur", "_before", "_after"
-    )
+    return joined.withColumns(filled).drop("_before", "_after")

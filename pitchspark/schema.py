@@ -109,18 +109,18 @@ def order_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def _canonical(df: DataFrame, schema: StructType) -> DataFrame:
     types = dict(df.dtypes)
-    known = [
-        coerce(F.col(f.name), types[f.name], f.dataType).alias(f.name)
-        if f.name in types
-        else F.lit(None).cast(f.dataType).alias(f.name)
-        for f in schema
-    ]
-    extras = [
-        coerce(F.col(c), types[c], DoubleType()).alias(c) if types[c] == "double" else F.col(c)
-        for c in df.columns
-        if c not in schema.names
-    ]
-    return df.select(*known, *extras)
+    columns = []
+    for field in schema:
+        target = field.dataType.simpleString()
+        source = types.get(field.name)
+        value = coerce(field.name, source, target) if source else f"CAST(NULL AS {target})"
+        columns.append(f"{value} AS {field.name}")
+    for name in df.columns:
+        if name not in schema.names:
+            quoted = "`" + name.replace("`", "``") + "`"
+            value = coerce(name, "double", "double") if types[name] == "double" else quoted
+            columns.append(f"{value} AS {quoted}")
+    return df.selectExpr(*columns)
 
 
 def canonical_tracking(df: DataFrame) -> DataFrame:

@@ -138,36 +138,38 @@ def _bare(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
 
 
-def xy_pairs(columns: DataFrame) -> DataFrame:
-    """Column positions of each entity: one row per (source_file, prefix) with both axes."""
-    prefix = F.trim(F.regexp_extract("name", AXIS_NAME, 1))
-    axis = F.lower(F.regexp_extract("name", AXIS_NAME, 2))
-    return columns.where(F.col("name").rlike(AXIS_NAME)).groupBy(
-        "source_file", prefix.alias("prefix")
-    ).agg(
-        F.max(F.when(axis == "x", F.col("pos"))).alias("x_pos"),
-        F.max(F.when(axis == "y", F.col("pos"))).alias("y_pos"),
-    ).where(F.col("x_pos").isNotNull() & F.col("y_pos").isNotNull())
-
-
 def header_map(lines: DataFrame) -> DataFrame:
-    """One row per file: where its header ends, the key columns, and the x/y pairs."""
-    columns = header_columns(lines)
-    bare = _bare(F.col("name"))
+    """One row per file: where its header ends, the key columns, and the x/y pairs.
+
+    A pair is a prefix named with both axes; the last column of a name counts. Pairs are null for
+    a file without any.
+    """
+    named = header_columns(lines).withColumns({
+        "bare": _bare(F.col("name")),
+        "prefix": F.when(F.col("name").rlike(AXIS_NAME),
+                         F.trim(F.regexp_extract("name", AXIS_NAME, 1))),
+        "axis": F.lower(F.regexp_extract("name", AXIS_NAME, 2)),
+    })
 
-    def at(name: str) -> Column:
-        return F.max(F.when(bare == name, F.col("pos")))
+    def last(condition: Column) -> Column:
+        return F.max(F.when(condition, F.col("pos")))
 
-    keys = columns.groupBy("source_file").agg(
+    keys = {k: last(F.col("bare") == k) for k in ("period", "frame", "time", "times")}
+    by_prefix = named.groupBy("source_file", "prefix").agg(
         F.max("header_end").alias("header_end"),
-        at("period").alias("period_pos"),
-        at("frame").alias("frame_pos"),
-        F.coalesce(at("times"), at("time")).alias("time_pos"),
+        last(F.col("axis") == "x").alias("x_pos"),
+        last(F.col("axis") == "y").alias("y_pos"),
+        *[c.alias(k) for k, c in keys.items()],
     )
-    pairs = xy_pairs(columns).groupBy("source_file").agg(
-        F.collect_list(F.struct("prefix", "x_pos", "y_pos")).alias("pairs")
+    whole = F.col("prefix").isNotNull() & F.col("x_pos").isNotNull() & F.col("y_pos").isNotNull()
+    pairs = F.collect_list(F.when(whole, F.struct("prefix", "x_pos", "y_pos")))
+    return by_prefix.groupBy("source_file").agg(
+        F.max("header_end").alias("header_end"),
+        F.max("period").alias("period_pos"),
+        F.max("frame").alias("frame_pos"),
+        F.coalesce(F.max("times"), F.max("time")).alias("time_pos"),
+        F.when(F.size(pairs) > 0, pairs).alias("pairs"),
     )
-    return keys.join(pairs, "source_file", "left")
 
 
 def _agent_columns(prefix: Column, team: Column) -> dict[str, Column]:
