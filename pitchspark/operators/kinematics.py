@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchspark.constants import AGENT_KEYS
@@ -52,11 +52,6 @@ def _by_flags(repeated: str, otherwise: str) -> str:
         CAST(NULL AS DOUBLE))"""
 
 
-def _derivative(name: str) -> Column:
-    around = ("prev1", "here", "next1", name)
-    return F.expr(_by_flags(_forward(*around), _gradient(*around)))
-
-
 def _with_magnitudes(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "speed_mps": F.hypot("vx_mps", "vy_mps"),
@@ -78,29 +73,73 @@ def _flags() -> dict[str, Column]:
     return {name: F.expr(text) for name, text in FLAGS.items()}
 
 
-def _point(x: str, y: str) -> Column:
-    return F.struct(F.col("time_s").alias("t"), F.col(x).alias("x"), F.col(y).alias("y"))
+# How the derivative at a row is taken, by the series flags and the steps to its neighbours.
+KIND = """CASE WHEN _flat THEN 'zero'
+    WHEN _repeats AND _t2 IS NULL THEN CASE WHEN _hs > 0 THEN 'back' END
+    WHEN _repeats THEN CASE WHEN _hd > 0 THEN 'ahead' END
+    WHEN _t0 IS NULL THEN 'ahead'
+    WHEN _t2 IS NULL THEN 'back'
+    WHEN _even THEN 'even' ELSE 'weighted' END"""
+
+
+def _derivative(before: str, here: str, after: str) -> str:
+    return f"""nanvl(CASE _kind WHEN 'zero' THEN 0D
+        WHEN 'even' THEN try_divide({after} - {before}, 2D * _hd)
+        WHEN 'weighted' THEN _w0 * {before} + _w1 * {here} + _w2 * {after}
+        WHEN 'ahead' THEN try_divide({after} - {here}, _hd)
+        WHEN 'back' THEN try_divide({here} - {before}, _hs) END, CAST(NULL AS DOUBLE))"""
 
 
 def _whole_series(df: DataFrame) -> DataFrame:
-    """One shuffle and one sort serve every window below."""
-    order = nulls_last(SERIES_ORDER)
-    # Explicit, so that the payload copied for the neighbours is formed after the shuffle.
-    out = neighbours(df.repartition(*AGENT_KEYS), AGENT_KEYS, order, _point("x_m", "y_m"), depth=1)
-    series = Window.partitionBy(*AGENT_KEYS)
-    step = F.col("next1.t") - F.col("time_s")
-    out = out.withColumns({
-        "_rows": F.count("*").over(series),
-        "_times_ok": F.min(is_finite(F.col("time_s"))).over(series),
-        "_low_t": F.min("time_s").over(series),
-        "_high_t": F.max("time_s").over(series),
-        "_low_dt": F.min(step).over(series),
-        "_high_dt": F.max(step).over(series),
-    }).withColumns(_flags())
-    out = out.withColumns({"vx_mps": _derivative("x"), "vy_mps": _derivative("y")})
-    out = neighbours(out, AGENT_KEYS, order, _point("vx_mps", "vy_mps"), depth=1)
-    out = out.withColumns({"ax_mps2": _derivative("x"), "ay_mps2": _derivative("y")})
-    return out.select(*df.columns, "vx_mps", "vy_mps", "ax_mps2", "ay_mps2")
+    """One shuffle and one sort serve every window below.
+
+    What depends on the times alone is worked out once for both axes and both derivatives. The
+    steps are separate projections, which keeps the generated methods small enough to compile.
+    """
+    keys, order = ", ".join(AGENT_KEYS), ", ".join(f"{c} ASC NULLS LAST" for c in SERIES_ORDER)
+    ordered = f"OVER (PARTITION BY {keys} ORDER BY {order})"
+    series = f"OVER (PARTITION BY {keys})"
+
+    def around(*columns: tuple[str, str]) -> list[str]:
+        return [
+            f"{function}({c}) {ordered} AS _{short}{i}"
+            for c, short in columns for function, i in (("lag", 0), ("lead", 2))
+        ]
+
+    out = (
+        df.repartition(*AGENT_KEYS)
+        .selectExpr("*", *around(("time_s", "t"), ("x_m", "x"), ("y_m", "y")))
+        .selectExpr("*", "time_s - _t0 AS _hs", "_t2 - time_s AS _hd")
+        .selectExpr(
+            "*",
+            f"count(*) {series} AS _rows",
+            f"min(coalesce(NOT isnan(time_s) AND abs(time_s) < double('inf'), false)) {series} "
+            "AS _times_ok",
+            f"min(time_s) {series} AS _low_t",
+            f"max(time_s) {series} AS _high_t",
+            f"min(_hd) {series} AS _low_dt",
+            f"max(_hd) {series} AS _high_dt",
+        )
+        .withColumns(_flags())
+        .selectExpr(
+            "*",
+            f"{KIND} AS _kind",
+            "try_divide(-_hd, _hs * (_hs + _hd)) AS _w0",
+            "try_divide(_hd - _hs, _hs * _hd) AS _w1",
+            "try_divide(_hs, _hd * (_hs + _hd)) AS _w2",
+        )
+        .selectExpr(
+            "*",
+            f"{_derivative('_x0', 'x_m', '_x2')} AS vx_mps",
+            f"{_derivative('_y0', 'y_m', '_y2')} AS vy_mps",
+        )
+        .selectExpr("*", *around(("vx_mps", "vx"), ("vy_mps", "vy")))
+    )
+    return out.selectExpr(
+        *[f"`{c}`" for c in df.columns], "vx_mps", "vy_mps",
+        f"{_derivative('_vx0', 'vx_mps', '_vx2')} AS ax_mps2",
+        f"{_derivative('_vy0', 'vy_mps', '_vy2')} AS ay_mps2",
+    )
 
 
 def _sliced_series(df: DataFrame, few: bool, slice_s: float) -> DataFrame:
