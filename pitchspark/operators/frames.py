@@ -16,7 +16,6 @@ from pitchspark.operators.timeseries import sort_struct
 BALL_DISTANCE = ["distance_to_ball_m"]
 NEAREST = ["nearest_teammate_distance_m", "nearest_opponent_distance_m"]
 TEAM_SHAPE = ["team_centroid_x_m", "team_centroid_y_m", "team_width_m", "team_length_m"]
-INFINITY = float("inf")
 
 
 def _is_player() -> Column:
@@ -49,41 +48,40 @@ def _shape(over: Callable[[Column], Column] = lambda c: c) -> dict[str, Column]:
     }
 
 
-def _nearest_listed(mates: bool) -> Column:
-    """Distance from this row to the closest listed player of its own team, or of another."""
-
-    def squared(p: Column) -> Column:
-        dx, dy = p["x"] - F.col("x_m"), p["y"] - F.col("y_m")
-        same = p["team"].eqNullSafe(F.col("team_id"))
-        return F.when(same if mates else ~same, dx * dx + dy * dy).otherwise(INFINITY)
-
-    distances = F.transform("_players", squared)
-    # The row itself is among its team's players, at distance zero.
-    closest = F.get(F.sort_array(distances), F.lit(1)) if mates else F.array_min(distances)
-    return F.when(_has_place() & (closest < INFINITY), F.sqrt(closest))
+# Squared distance from this row to a listed place.
+SQUARED = "(px, py) -> (px - x_m) * (px - x_m) + (py - y_m) * (py - y_m)"
+# The row itself is among its team's places, at distance zero, so the second smallest is wanted.
+NEAREST_MATE = f"get(sort_array(zip_with(_xs, _ys, {SQUARED})), 1)"
+NEAREST_OPPONENT = f"""array_min(transform(
+    filter(_teams, t -> NOT (t.team_id <=> team_id)),
+    t -> array_min(zip_with(t._xs, t._ys, {SQUARED}))))"""
 
 
 def _by_window(df: DataFrame, added: list[str]) -> DataFrame:
-    """One shuffle by frame serves the windows over frames and over the teams within them."""
+    """One shuffle by frame serves the windows over frames and over the teams within them.
+
+    The places of a team's players are listed per team, and the teams per frame, so that no list
+    element has to be tested for its team.
+    """
     frame = Window.partitionBy(*FRAME_KEYS)
     team = Window.partitionBy(*FRAME_KEYS, "team_id")
-    out = df.repartition(*FRAME_KEYS)
+    by_team, by_frame, computed = {}, {}, {}
     if TEAM_SHAPE[0] in added:
-        # Before the frame windows, whose order is then given by this sort.
-        out = out.withColumns(_shape(lambda c: c.over(team)))
-    gathered, computed = {}, {}
+        by_team |= _shape(lambda c: c.over(team))
+    if NEAREST[0] in added:
+        for listed, name in (("_xs", "x_m"), ("_ys", "y_m")):
+            by_team[listed] = F.collect_list(F.when(_has_place(), F.col(name))).over(team)
+        lists = F.when(_has_place(), F.struct("team_id", "_xs", "_ys"))
+        by_frame["_teams"] = F.collect_set(lists).over(frame)
+        for name, squared in zip(NEAREST, (NEAREST_MATE, NEAREST_OPPONENT)):
+            computed[name] = F.when(_has_place(), F.sqrt(F.expr(squared)))
     if BALL_DISTANCE[0] in added:
-        gathered["_ball"] = _first_ball().over(frame)
+        by_frame["_ball"] = _first_ball().over(frame)
         computed["distance_to_ball_m"] = _ball_distance()
-    if NEAREST[0] in added:
-        player = F.struct(
-            F.col("team_id").alias("team"), F.col("x_m").alias("x"), F.col("y_m").alias("y")
-        )
-        gathered["_players"] = F.collect_list(F.when(_has_place(), player)).over(frame)
-        computed["nearest_teammate_distance_m"] = _nearest_listed(mates=True)
-        computed["nearest_opponent_distance_m"] = _nearest_listed(mates=False)
-    if gathered:
-        out = out.withColumns(gathered).withColumns(computed)
+    out = df.repartition(*FRAME_KEYS)
+    # Teams first: their sort also serves the windows over whole frames.
+    for columns in (by_team, by_frame, computed):
+        out = out.withColumns(columns) if columns else out
     return out.select(*df.columns, *added)
 
 
