@@ -8,7 +8,6 @@ points off the pitch. ``TRACKING_SQL`` states the same projection for the oracle
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
