@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What counts as white space between words, as characters and as a pattern of a word.
 SPACES = " \t\n\x0b\x0c\r"
@@ -50,6 +51,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def extended(schema: T.StructType, columns: str) -> T.StructType:
+    """The schema with more columns, given as in CREATE TABLE."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(columns).fields])
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """Number the rows. The numbers are the same in every scan as long as the rows come from the
     same files in the same session, so give it a stored table, not the result of a shuffle."""

@@ -8,14 +8,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchspark.llm import embeddings, exact_dedup, mixing, packing, simhash, token_files
-from pitchspark.llm.common import shared_path
+from pitchspark.llm import (
+    embeddings,
+    exact_dedup,
+    html_layout,
+    language,
+    mixing,
+    packing,
+    quality,
+    simhash,
+    token_files,
+    toxicity,
+)
+from pitchspark.llm.common import in_fold, shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), folds=4, held_out=2)
+    return toxicity.scored(docs, model).select(
+        "doc_id",
+        in_fold(F.col("doc_id"), 4, 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "threshold",
+        "toxic",
+    )
+
+
 def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     path = shared_path(spark, "token-files")
@@ -33,6 +57,10 @@ def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.embedding_groups(_table(spark, sf_dir, "embeddings"))
 
 
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.extracted(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -53,14 +81,41 @@ def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).drop("row")
 
 
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels")
+    return quality.scored(docs, labels, folds=4, held_out=2).select(
+        "doc_id",
+        in_fold(F.col("doc_id"), 4, 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(docs, folds=3, held_out=1)
+    return language.identified(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        in_fold(F.col("doc_id"), 3, 1).alias("held_out"),
+        "lang_pred",
+        "score",
+        "ambiguous",
+    )
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxic_scores,
         "op2_token_output": token_output,
         "op3_best_fit_packing": best_fit_packing,
         "op4_embedding_dedup": embedding_dedup,
+        "op5_html_text": html_text,
         "op6_simhash_dedup": simhash_dedup,
         "op7_mix_sources": mix_sources,
         "op8_exact_dedup": exact_copies,
+        "op9_quality": quality_scores,
+        "op10_language": languages,
     }
 
 
