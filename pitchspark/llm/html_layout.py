@@ -273,12 +273,7 @@ def _shown(node: Node, hidden: set[str]) -> bool:
             or any(f".{c}" in hidden for c in attrs.get("class", "").split())
         ):
             return False
-    if tag in hidden or tag == "dialog" and "open" not in attrs:
-        return False
-    parent = node.parent
-    return not (
-        parent is not None and parent.tag == "details" and "open" not in parent.attrs and tag != "summary"
-    )
+    return tag not in hidden and (tag != "dialog" or "open" in attrs)
 
 
 class _Flow:
@@ -415,7 +410,10 @@ def render(root: Node, hidden: set[str]) -> str:
                 flow, pre = _Flow(), 0
                 lists = lists if tag == "li" else []
             work.append((node, True))
-            work.extend((kid, False) for kid in reversed(node.kids))
+            kids = node.kids
+            if tag == "details" and "open" not in node.attrs:
+                kids = [k for k in kids if isinstance(k, Node) and k.tag == "summary"][:1]
+            work.extend((kid, False) for kid in reversed(kids))
             continue
         if tag in ("li", "td", "th", "blockquote", "dd", "table", "caption"):
             lines = flow.done()
