@@ -107,12 +107,18 @@ def order_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*known, *[c for c in df.columns if c not in known])
 
 
-def _canonical(df: DataFrame, schema: StructType) -> DataFrame:
+def canonical(df: DataFrame, schema: StructType, clean: frozenset[str] = frozenset()) -> DataFrame:
+    """Cast to a schema; unreadable numbers and NaN become null, missing columns are added as nulls,
+    and extras are kept. Columns named in ``clean`` are doubles known to hold no NaN; they stay as
+    they are, so that filters on them reach the scan."""
     types = dict(df.dtypes)
     columns = []
     for field in schema:
         target = field.dataType.simpleString()
         source = types.get(field.name)
+        if field.name in clean:
+            columns.append(field.name)
+            continue
         value = coerce(field.name, source, target) if source else f"CAST(NULL AS {target})"
         columns.append(f"{value} AS {field.name}")
     for name in df.columns:
@@ -125,12 +131,12 @@ def _canonical(df: DataFrame, schema: StructType) -> DataFrame:
 
 def canonical_tracking(df: DataFrame) -> DataFrame:
     """Cast to the tracking schema; unreadable numbers and NaN become null, extras are kept."""
-    return _canonical(df, TRACKING_SCHEMA)
+    return canonical(df, TRACKING_SCHEMA)
 
 
 def canonical_events(df: DataFrame) -> DataFrame:
     """Cast to the event schema; unreadable numbers and NaN become null, extras are kept."""
-    return _canonical(df, EVENT_SCHEMA)
+    return canonical(df, EVENT_SCHEMA)
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,20 @@ def list_files(
     return sorted(unquote(p) for p in listing.inputFiles())
 
 
+def listing(spark: SparkSession, root: str, pattern: str) -> DataFrame | None:
+    """``source_file`` of every file below ``root`` whose name matches, named as by ``file_path``;
+    None if there is no such directory. Contents are not read."""
+    try:
+        files = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+            .load(str(root))
+        )
+    except AnalysisException:
+        return None
+    return files.select(file_path().alias("source_file"))
+
+
 def name_of(path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
@@ -37,6 +51,10 @@ def file_path() -> Column:
     return F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
 
 
+def folder(path: Column) -> Column:
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
 def parent_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
 

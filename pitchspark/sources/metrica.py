@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import re
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchspark.constants import BALL, METRICA, PLAYER
-from pitchspark.functions.casts import no_nan
+from pitchspark.functions.casts import coerce, no_nan
 from pitchspark.functions.coordinates import to_meters_from_normalized
-from pitchspark.functions.labels import find_column, sanitize_label, trailing_number
+from pitchspark.functions.labels import bare_name, find_column, sanitize_label, trailing_number
 from pitchspark.operators.skew import BROADCAST_ROWS, attach
-from pitchspark.schema import canonical_events, canonical_tracking
-from pitchspark.sources.files import file_path, list_files, name_of, parent_name, parent_of
+from pitchspark.schema import TRACKING_SCHEMA, canonical_events, canonical_tracking
+from pitchspark.sources.files import file_path, folder, listing, stem
 
 # How coordinate columns are named once an entity and its axis are joined.
 AXIS_NAME = r"^(.+?)[_\s.-]+([xyXY])$"
@@ -33,10 +34,25 @@ EVENT_NAMES = {
     "end_y_m": ["End Y", "End_y"],
 }
 MAX_HEADER_ROWS = 3
+# What file names say besides the match.
+NAME_WORDS = "(?i)raw|tracking|events?|data|home|away|team"
+TRACKING_FILES = "*[tT][rR][aA][cC][kK][iI][nN][gG]*.[cC][sS][vV]"
+EVENT_FILES = "*[eE][vV][eE][nN][tT]*.[cC][sS][vV]"
+
+
+def _fields(line: Column) -> Column:
+    """The cells of a CSV line; quoted ones may hold commas and doubled quotes."""
+    quoted = F.transform(
+        F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',\s*("(?:[^"]|"")*"|[^,]*)')),
+        lambda c: F.when(
+            c.startswith('"'), F.replace(F.regexp_extract(c, '^"(.*)"', 1), F.lit('""'), F.lit('"'))
+        ).otherwise(c),
+    )
+    return F.when(line.contains('"'), quoted).otherwise(F.split(line, ",", -1))
 
 
 def _cells(line: Column) -> Column:
-    return F.transform(F.split(line, ",", -1), lambda c: F.btrim(c, F.lit(' "\r﻿')))
+    return F.transform(_fields(line), lambda c: F.btrim(c, F.lit(' "\r﻿')))
 
 
 def _named(label: Column) -> Column:
@@ -96,7 +112,7 @@ def header_columns(lines: DataFrame) -> DataFrame:
     label = F.element_at("levels", -1)
     columns = rows.withColumns({
         "label": label,
-        "first_named": F.coalesce(F.get(F.filter("levels", _named), F.lit(0)), F.lit("")),
+        "any_level": F.coalesce(F.get(F.filter("levels", _named), F.lit(0)), F.lit("")),
         "axis": F.lower(F.get(F.filter(F.reverse("levels"), _is_axis), F.lit(0))),
         "upper": F.get(
             F.filter(F.slice("levels", F.lit(1), F.size("levels") - 1), _named), F.lit(0)
@@ -113,7 +129,7 @@ def header_columns(lines: DataFrame) -> DataFrame:
         F.when(F.col("axis").isNotNull() & ~_is_axis(F.col("upper")), F.col("upper")), True
     ).over(within)
     flattened = (
-        F.when(F.col("axis").isNull(), F.col("first_named"))
+        F.when(F.col("axis").isNull(), F.col("any_level"))
         .when(entity.isNull(), F.col("axis"))
         .otherwise(F.concat_ws("_", entity, F.col("axis")))
     )
@@ -141,8 +157,8 @@ def _bare(c: Column) -> Column:
 def header_map(lines: DataFrame) -> DataFrame:
     """One row per file: where its header ends, the key columns, and the x/y pairs.
 
-    A pair is a prefix named with both axes; the last column of a name counts. Pairs are null for
-    a file without any.
+    A pair is a prefix named with both axes; the last column of a name counts. Pairs are in the
+    order of their columns, and null for a file without any.
     """
     named = header_columns(lines).withColumns({
         "bare": _bare(F.col("name")),
@@ -162,7 +178,7 @@ def header_map(lines: DataFrame) -> DataFrame:
         *[c.alias(k) for k, c in keys.items()],
     )
     whole = F.col("prefix").isNotNull() & F.col("x_pos").isNotNull() & F.col("y_pos").isNotNull()
-    pairs = F.collect_list(F.when(whole, F.struct("prefix", "x_pos", "y_pos")))
+    pairs = F.sort_array(F.collect_list(F.when(whole, F.struct("x_pos", "y_pos", "prefix"))))
     return by_prefix.groupBy("source_file").agg(
         F.max("header_end").alias("header_end"),
         F.max("period").alias("period_pos"),
@@ -172,12 +188,15 @@ def header_map(lines: DataFrame) -> DataFrame:
     )
 
 
+def _is_ball(prefix: Column) -> Column:
+    return F.lower(prefix).contains(BALL)
+
+
 def _agent_columns(prefix: Column, team: Column) -> dict[str, Column]:
-    is_ball = F.lower(prefix).contains(BALL)
     player = F.concat_ws("_", team, sanitize_label(prefix))
 
     def pick(ball: Column, other: Column) -> Column:
-        return F.when(is_ball, ball).otherwise(other)
+        return F.when(_is_ball(prefix), ball).otherwise(other)
 
     none = F.lit(None)
     return {
@@ -202,14 +221,48 @@ def _double(c: Column) -> Column:
     return no_nan(c.try_cast("double"))
 
 
-def tracking_from_lines(lines: DataFrame, few_files: bool) -> DataFrame:
+def _once_in_line(pairs: Column) -> Column:
+    """Pairs without those whose agent an earlier pair of the file names."""
+    def agent(p: Column) -> Column:
+        return F.when(_is_ball(p["prefix"]), BALL).otherwise(
+            F.concat(F.lit("_"), sanitize_label(p["prefix"]))
+        )
+
+    agents = F.transform(pairs, agent)
+    return F.filter(pairs, lambda p, i: F.array_position(agents, agent(p)) == i + 1)
+
+
+def _first_lines(split: DataFrame) -> DataFrame:
+    """Of the lines of one frame, the first of each file; the away one without its ball if the home
+    one has a ball. A frame's lines are few, and are gathered before they become a row per agent."""
+    kinds = {"period": "period", "frame": "frame_id", "time": "time_s"}
+    keyed = split.withColumns({
+        f"_{k}": F.expr(coerce(k, "string", TRACKING_SCHEMA[name].dataType.simpleString()))
+        for k, name in kinds.items()
+    })
+    frame = ["match_id", *[f"_{k}" for k in kinds]]
+    first = F.row_number().over(Window.partitionBy(*frame, "team").orderBy("line_pos"))
+    has_ball = F.exists("pairs", lambda p: _is_ball(p["prefix"]))
+    other = F.max((F.col("team") == "home") & has_ball).over(Window.partitionBy(*frame))
+    kept = keyed.withColumn("_first", first).where("_first = 1").withColumn("_other", other)
+    return kept.withColumn(
+        "pairs",
+        F.when((F.col("team") != "home") & F.col("_other"),
+               F.filter("pairs", lambda p: ~_is_ball(p["prefix"]))).otherwise(F.col("pairs")),
+    )
+
+
+def tracking_from_lines(lines: DataFrame, few_files: bool, once: bool = False) -> DataFrame:
     """Canonical tracking from raw CSV lines of any number of files, one row per frame and entity.
 
     ``lines`` has match_id, team, source_file, line_pos and value. Fails on a file whose header
     names no period, frame, time or coordinate columns. ``few_files`` allows broadcasting the
-    headers.
+    headers. With ``once``, each agent has one row per match, period, frame and time: that of the
+    file's first line, and of the home file for a ball that both files have.
     """
     headers = header_map(lines)
+    if once:
+        headers = headers.withColumn("pairs", _once_in_line(F.col("pairs")))
     joined = attach(lines, headers, ["source_file"], few_files, F.col("value"))
     usable = F.array(*[
         F.col(c).isNotNull() for c in ("period_pos", "frame_pos", "time_pos", "pairs")
@@ -220,17 +273,19 @@ def tracking_from_lines(lines: DataFrame, few_files: bool) -> DataFrame:
     # Lines of a file without a header must survive, to be reported.
     is_data = F.coalesce(F.col("line_pos") > F.col("header_end"), F.lit(True))
     split = joined.where((F.btrim("value") != "") & is_data).select(
-        "match_id", "team", "source_file", "period_pos", "frame_pos", "time_pos",
-        pairs.alias("pairs"), F.split("value", ",", -1).alias("cells"),
+        "match_id", "team", "source_file", "line_pos", "period_pos", "frame_pos", "time_pos",
+        pairs.alias("pairs"), _fields(F.col("value")).alias("cells"),
     )
 
     def cell(pos: Column) -> Column:
         return F.btrim(F.get("cells", pos), F.lit(' "'))
 
+    split = split.withColumns({k: cell(F.col(f"{k}_pos")) for k in ("period", "frame", "time")})
+    if once:
+        split = _first_lines(split)
     # Each entity takes its two cells before the explode, which then copies no whole lines.
     cells = split.select(
-        "match_id", "team", "source_file",
-        *[cell(F.col(f"{k}_pos")).alias(k) for k in ("period", "frame", "time")],
+        "match_id", "team", "source_file", "period", "frame", "time",
         F.explode(F.transform("pairs", lambda p: F.struct(
             p["prefix"].alias("prefix"), cell(p["x_pos"]).alias("x"), cell(p["y_pos"]).alias("y")
         ))).alias("pair"),
@@ -293,17 +348,6 @@ def tracking_from_wide(
     ))
 
 
-def keep_home_copy(tracking: DataFrame, from_home: Column) -> DataFrame:
-    """One row per (match, period, frame, time, agent), from the home file if it has one.
-
-    The ball is in both files. The rank filter is applied before the shuffle as well as after it.
-    """
-    once = Window.partitionBy("match_id", "period", "frame_id", "time_s", "agent_id").orderBy(
-        from_home.desc(), "source_file", "x_m", "y_m"
-    )
-    return tracking.withColumn("_rank", F.row_number().over(once)).where("_rank = 1").drop("_rank")
-
-
 def events_to_canonical(events: DataFrame, match_id: Column) -> DataFrame:
     """Canonical events; columns are found by tolerant names and the whole row is kept as JSON."""
     raw = [c for c in events.columns if not c.startswith("_")]
@@ -328,62 +372,175 @@ def events_to_canonical(events: DataFrame, match_id: Column) -> DataFrame:
     ))
 
 
-def discover(spark: SparkSession, raw_dir: str, match_id: str | None) -> dict[str, list[str]]:
-    """Paths by role. A match has one file per role, the first by path.
+def _quoted(text: Column) -> Column:
+    array = F.to_json(F.array(text))
+    return F.substr(array, F.lit(2), F.length(array) - 2)
+
+
+def _json_value(cell: Column) -> Column:
+    """A cell as JSON: null if empty, a number if it reads as one, else text."""
+    text = F.btrim(cell, F.lit(" \r"))
+    return (
+        F.when(F.coalesce(text, F.lit("")).isin("", "NaN", "nan"), "null")
+        .when(text.rlike(r"^-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?$"), text)
+        .otherwise(_quoted(text))
+    )
+
+
+def events_from_lines(lines: DataFrame, few_files: bool) -> DataFrame:
+    """Canonical events from raw CSV lines of any number of files, each with its own header.
+
+    ``lines`` has match_id, source_file, line_pos and value. A file's first line that isn't empty
+    names its columns, found by tolerant names; the whole row is kept as JSON, in which a cell is
+    a number or text by its own content.
+    """
+    lines = lines.where(F.btrim("value") != "")
+    headers = lines.groupBy("source_file").agg(
+        F.min("line_pos").alias("header_pos"), _cells(F.min_by("value", "line_pos")).alias("names")
+    )
+    bare = F.transform("names", _bare)
+    last = F.size("names")
+
+    def position(candidates: list[str]) -> Column:
+        # The last column of a name counts.
+        return F.coalesce(*[
+            F.when(F.array_contains(bare, bare_name(c)),
+                   last - F.array_position(F.reverse(bare), bare_name(c)))
+            for c in candidates
+        ])
+
+    headers = headers.withColumns({f"{k}_pos": position(c) for k, c in EVENT_NAMES.items()})
+    joined = attach(lines, headers, ["source_file"], few_files, F.col("value"))
+    rows = joined.where(F.col("line_pos") > F.col("header_pos")).withColumn(
+        "cells", _fields(F.col("value"))
+    )
+
+    def value(key: str) -> Column:
+        text = F.btrim(F.get("cells", F.col(f"{key}_pos")), F.lit(" \r"))
+        return F.when(~text.isin("", "NaN", "nan"), text)
+
+    columns = {k: value(k) for k in EVENT_NAMES}
+    columns["team_id"] = F.lower(columns["team_id"])
+    for key in ("x_m", "end_x_m"):
+        columns[key], _ = to_meters_from_normalized(_double(columns[key]), F.lit(0.0))
+    for key in ("y_m", "end_y_m"):
+        _, columns[key] = to_meters_from_normalized(F.lit(0.0), _double(columns[key]))
+    named = F.transform("names", lambda name, i: F.concat(
+        _quoted(name), F.lit(":"), _json_value(F.get("cells", i))
+    ))
+    return canonical_events(rows.select(
+        "match_id",
+        F.lit(METRICA).alias("dataset"),
+        *[c.alias(name) for name, c in columns.items()],
+        F.concat(F.lit("{"), F.array_join(named, ","), F.lit("}")).alias("raw_event"),
+    ))
+
+
+def discover(
+    spark: SparkSession, raw_dir: str, match_id: str | None = None
+) -> tuple[DataFrame, dict[str, int]] | None:
+    """source_file, role (home, away or events) and match_id of every file of a match below
+    ``raw_dir``, and how many files and matches there are; None if there are no files.
 
-    Without ``match_id`` each directory is a match; with it, the whole tree is one match.
+    A match is a directory, or, where a directory's file names have different parts besides the
+    role, each such part. It is named by the part, or else by the directory; equal names of
+    different directories are told apart by their paths below ``raw_dir``. ``match_id`` chooses the
+    match of that name or directory; a single match of another name takes it. Two files of one role
+    in one match fail, and so does a ``match_id`` that fits no match or several.
     """
-    chosen: dict[tuple[str, str], str] = {}
-    for path in list_files(spark, raw_dir, "*.[cC][sS][vV]"):
-        name = name_of(path).lower()
-        if "tracking" in name and "home" in name:
-            role = "home"
-        elif "tracking" in name and "away" in name:
-            role = "away"
-        elif "event" in name:
-            role = "events"
-        else:
-            continue
-        chosen.setdefault((role, parent_of(path) if match_id is None else match_id), path)
-    files: dict[str, list[str]] = {"home": [], "away": [], "events": []}
-    for (role, _), path in chosen.items():
-        files[role].append(path)
-    return files
-
-
-def _match(path: Column, match_id: str | None) -> Column:
-    return parent_name(path) if match_id is None else F.lit(match_id)
+    found = listing(spark, raw_dir, "*.[cC][sS][vV]")
+    if found is None:
+        return None
+    path, name = F.col("source_file"), F.lower(F.regexp_extract("source_file", "[^/]+$", 0))
+    role = (
+        F.when(name.contains("tracking") & name.contains("home"), "home")
+        .when(name.contains("tracking") & name.contains("away"), "away")
+        .when(name.contains("event"), "events")
+    )
+    part = F.btrim(
+        F.regexp_replace(F.regexp_replace(stem(path), NAME_WORDS, ""), r"[_\s.-]+", "_"), F.lit("_")
+    )
+    files = found.select(
+        "source_file", role.alias("role"), folder(path).alias("folder"), part.alias("part")
+    ).where(F.col("role").isNotNull())
+    counts = files.groupBy("folder", "part").agg(
+        *[F.count_if(F.col("role") == r).alias(r) for r in ("home", "away", "events")]
+    )
+    directory = F.regexp_extract("folder", "[^/]*$", 0)
+    below = F.substring_index("folder", str(raw_dir).strip("/") + "/", -1)
+    several = F.count("*").over(Window.partitionBy("folder")) > 1
+    own = F.when(several & (F.col("part") != ""), F.col("part")).otherwise(directory)
+    longer = F.when(several & (F.col("part") != ""), F.concat_ws("/", below, "part")).otherwise(below)
+    matches = counts.withColumns({"own": own, "longer": longer, "directory": directory})
+    clash = F.count("*").over(Window.partitionBy("own")) > 1
+    matches = matches.withColumn("match", F.when(clash, F.col("longer")).otherwise(F.col("own")))
+    if match_id is not None:
+        if matches.limit(2).count() > 1:
+            matches = matches.where(F.array_contains(F.array("match", "own", "directory"), match_id))
+    twice = F.greatest("home", "away", "events") > 1
+    summary = matches.agg(
+        F.count("*").alias("matches"),
+        F.sum(F.col("home") + F.col("away") + F.col("events")).alias("files"),
+        *[F.count_if(F.col(r) == 0).alias(f"no_{r}") for r in ("home", "away", "events")],
+        F.min(F.when(twice, F.concat_ws("/", "folder", "part"))).alias("twice"),
+        F.concat_ws(", ", F.min("longer"), F.max("longer")).alias("some"),
+    ).first().asDict()
+    if match_id is not None and summary["matches"] != 1:
+        those = f": {summary['some']}" if summary["matches"] else ""
+        raise ValueError(
+            f"{summary['matches']} Metrica matches below {raw_dir} fit the match id {match_id}{those}"
+        )
+    if not summary["matches"]:
+        return None
+    if summary["twice"]:
+        raise ValueError(f"a Metrica match has two files of one role: {summary['twice']}")
+    label = F.col("match") if match_id is None else F.lit(match_id)
+    named = matches.select("folder", "part", label.alias("match_id"))
+    return files.join(named, ["folder", "part"]).select("source_file", "role", "match_id"), summary
+
+
+def _lines(spark: SparkSession, raw_dir: str, pattern: str, files: DataFrame, few: bool) -> DataFrame:
+    """The lines of some files with match_id, team, source_file and line_pos."""
+    lines = (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+        .text(str(raw_dir))
+        .select(
+            "value",
+            file_path().alias("source_file"),
+            F.struct(
+                F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("line"),
+            ).alias("line_pos"),
+        )
+    )
+    return attach(lines, files.withColumnRenamed("role", "team"), ["source_file"], few, F.col("value"),
+                  how="inner")
 
 
 def read_tracking(spark: SparkSession, raw_dir: str, match_id: str | None = None) -> DataFrame:
-    """Tracking of every match below ``raw_dir``, read in one job."""
-    files = discover(spark, raw_dir, match_id)
-    paths = files["home"] + files["away"]
-    if not paths:
+    """Tracking of every match below ``raw_dir``, or of one, read in one job; see ``discover``."""
+    found = discover(spark, raw_dir, match_id)
+    if found is None or found[1]["no_home"] == found[1]["no_away"] == found[1]["matches"]:
         raise FileNotFoundError(f"no Metrica tracking CSVs below {raw_dir}")
-    path = file_path()
-    lines = spark.read.text(paths).select(
-        "value",
-        path.alias("source_file"),
-        _match(path, match_id).alias("match_id"),
-        F.when(F.lower(F.regexp_extract(path, "[^/]+$", 0)).contains("home"), "home")
-        .otherwise("away").alias("team"),
-        F.struct(
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-        ).alias("line_pos"),
-    )
-    tracking = tracking_from_lines(lines, few_files=len(paths) <= BROADCAST_ROWS)
-    home = F.lower(F.regexp_extract("source_file", "[^/]+$", 0)).contains("home")
-    return keep_home_copy(tracking, home)
+    files, summary = found
+    for role in ("home", "away"):
+        if summary[f"no_{role}"]:
+            warnings.warn(
+                f"{summary[f'no_{role}']} of {summary['matches']} Metrica matches below {raw_dir} "
+                f"have no {role} tracking file", stacklevel=2,
+            )
+    few = summary["files"] <= BROADCAST_ROWS
+    lines = _lines(spark, raw_dir, TRACKING_FILES, files.where("role <> 'events'"), few)
+    return tracking_from_lines(lines, few_files=few, once=True)
 
 
 def read_events(spark: SparkSession, raw_dir: str, match_id: str | None = None) -> DataFrame:
-    """Events of every match below ``raw_dir``; no rows when there are no event files."""
-    paths = discover(spark, raw_dir, match_id)["events"]
-    if not paths:
+    """Events of every match below ``raw_dir``, or of one; no rows when there are no event files."""
+    found = discover(spark, raw_dir, match_id)
+    if found is None or found[1]["no_events"]:
+        warnings.warn(f"Metrica matches below {raw_dir} have no event file", stacklevel=2)
+    if found is None:
         return canonical_events(spark.createDataFrame([], "match_id string"))
-    events = spark.read.csv(paths, header=True, inferSchema=True).select(
-        "*", file_path().alias("_path")
-    )
-    return events_to_canonical(events, _match(F.col("_path"), match_id))
+    files, summary = found
+    few = summary["files"] <= BROADCAST_ROWS
+    return events_from_lines(_lines(spark, raw_dir, EVENT_FILES, files.where("role = 'events'"), few), few)

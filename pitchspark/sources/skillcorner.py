@@ -9,7 +9,7 @@ from pitchspark.constants import BALL, PLAYER, SKILLCORNER
 from pitchspark.functions.casts import no_nan
 from pitchspark.functions.coordinates import center_to_top_left
 from pitchspark.schema import canonical_events, canonical_tracking
-from pitchspark.sources.files import file_path, list_files, parent_name, stem
+from pitchspark.sources.files import file_path, folder, listing, parent_name, stem
 
 # Objects are read as maps: whether a key is absent or null decides visibility and ball rows.
 FRAME_SCHEMA = (
@@ -89,26 +89,49 @@ def frames_to_tracking(
     ))
 
 
+def _own_match(path: Column) -> Column:
+    own_name = F.regexp_extract(stem(path), "^(.+?)_tracking", 1)
+    return F.when(own_name != "", own_name).otherwise(parent_name(path))
+
+
 def read_tracking(
     spark: SparkSession, raw_dir: str, match_id: str | None = None, clock_times: bool = False
 ) -> DataFrame:
-    """Tracking from ``*tracking*.jsonl`` files.
+    """Tracking from ``*tracking*.jsonl`` files, each under the part of its name before
+    ``_tracking``, or else its directory.
 
-    With ``match_id`` only the first file by path is read, as one match. Without it all files are,
-    each under the part of its name before ``_tracking``, or else its directory.
+    ``match_id`` chooses the files of that name or directory; if there is one match only, of
+    another name, it takes the given one. Without a match that fits, or with such files in several
+    directories, it fails.
     """
-    paths = list_files(spark, raw_dir, "*tracking*.jsonl")
-    if not paths:
+    pattern = "*tracking*.jsonl"
+    found = listing(spark, raw_dir, pattern)
+    if found is None or found.isEmpty():
         raise FileNotFoundError(f"no SkillCorner tracking JSONL files below {raw_dir}")
-    frames = spark.read.schema(FRAME_SCHEMA).option("mode", "FAILFAST").json(
-        paths if match_id is None else paths[:1]
-    ).select("*", file_path().alias("_path"))
     path = F.col("_path")
-    own_name = F.regexp_extract(stem(path), "^(.+?)_tracking", 1)
-    match = F.when(own_name != "", own_name).otherwise(parent_name(path))
-    return frames_to_tracking(
-        frames, match if match_id is None else F.lit(match_id), path, clock_times
+    frames = (
+        spark.read.schema(FRAME_SCHEMA).option("mode", "FAILFAST")
+        .option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+        .json(str(raw_dir)).select("*", file_path().alias("_path"))
     )
+    if match_id is None:
+        return frames_to_tracking(frames, _own_match(path), path, clock_times)
+
+    def fits(c: Column) -> Column:
+        return (_own_match(c) == match_id) | (parent_name(c) == match_id)
+
+    source = F.col("source_file")
+    places = found.select(_own_match(source).alias("match"), folder(source).alias("folder"),
+                          fits(source).alias("fits")).distinct()
+    chosen, others = (places.where(c).limit(2).collect() for c in ("fits", "not fits"))
+    if len(chosen) > 1 or not chosen and len(others) > 1:
+        raise ValueError(
+            f"{'several' if chosen else 'no'} SkillCorner matches below {raw_dir} fit the match id "
+            f"{match_id}: there are {', '.join(r.folder + '/' + r.match for r in chosen or others)}"
+        )
+    if chosen:
+        frames = frames.where(fits(path))
+    return frames_to_tracking(frames, F.lit(match_id), path, clock_times)
 
 
 def read_events(spark: SparkSession, raw_dir: str, match_id: str | None = None) -> DataFrame:

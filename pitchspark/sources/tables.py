@@ -3,19 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from pitchspark.schema import EVENT_SCHEMA, FEATURE_SCHEMA, TRACKING_SCHEMA, ensure_columns
+from pitchspark.functions.casts import no_nan
+from pitchspark.schema import EVENT_SCHEMA, FEATURE_SCHEMA, TRACKING_SCHEMA, canonical
 
 PARTITIONS = ["dataset", "match_id"]
+# Kept in the files' schema for columns that were written without NaN.
+NO_NAN = {"no_nan": True}
 
 
 def write_table(df: DataFrame, path: str) -> str:
     """Write by dataset and match, replacing just the matches present in ``df``.
 
     The rebalance hint gathers a match into few files and lets adaptive execution split one that
-    is too large for a task.
+    is too large for a task. NaN becomes null, and the files say so.
     """
+    kinds = dict(df.dtypes)
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in kinds}
+    df = df.select(*[
+        no_nan(quoted[c]).alias(c, metadata=NO_NAN) if kinds[c] == "double" else quoted[c]
+        for c in kinds
+    ])
     (
         df.hint("rebalance", *PARTITIONS)
         .write.mode("overwrite")
@@ -27,10 +37,25 @@ def write_table(df: DataFrame, path: str) -> str:
 
 
 def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Scan with the canonical types, so that a match named by digits stays text; keep extras."""
-    extras = [f for f in spark.read.parquet(path).schema if f.name not in schema.names]
-    scan = spark.read.schema(StructType(schema.fields + extras)).parquet(path)
-    return ensure_columns(scan, schema)
+    """Scan with the files' own types, so that other tools' tables can be read, then canonicalise.
+
+    Whole numbers and decimals are read as their widest type, which files of either width give.
+    Values of partition directories are text, so that a match named by digits keeps its name.
+    """
+    own = spark.read.option("recursiveFileLookup", True).parquet(path).schema
+    wide = {"tinyint": LongType(), "smallint": LongType(), "int": LongType(), "float": DoubleType()}
+    fields = [
+        StructField(f.name, wide.get(f.dataType.simpleString(), f.dataType)) for f in own
+    ]
+    clean = frozenset(
+        f.name for f in own if f.metadata.get("no_nan") and isinstance(f.dataType, DoubleType)
+        and f.name in schema.names and isinstance(schema[f.name].dataType, DoubleType)
+    )
+    for f in spark.read.parquet(path).schema:
+        if f.name not in own.names:
+            known = f.name in schema.names
+            fields.append(StructField(f.name, StringType() if known else f.dataType))
+    return canonical(spark.read.schema(StructType(fields)).parquet(path), schema, clean)
 
 
 def read_tracking(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pitchspark import cli
 from pitchspark.plans import jobs
-from pitchspark.schema import FEATURE_SCHEMA, TRACKING_COLUMNS
+from pitchspark.schema import FEATURE_SCHEMA, TRACKING_COLUMNS, TRACKING_SCHEMA
 from pitchspark.sources import tables
 from tests.helpers import as_set, table
 from tests.test_sources import AWAY, TWO_ROWS, write
@@ -82,3 +82,23 @@ def test_a_match_filter_prunes_partitions(spark, tmp_path):
         "x_m")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(match_id" in plan
     assert "GreaterThan(time_s,1.0)" in plan and "ReadSchema: struct<time_s:double,x_m:double>" in plan
+
+
+def test_tables_of_other_tools(spark, tmp_path):
+    """Other widths of numbers, floats, a match named by digits, and stored NaN."""
+    path = str(tmp_path / "other.parquet")
+    for mode, kinds in (("overwrite", "bigint"), ("append", "int")):
+        spark.createDataFrame(
+            [(7, 2, 9.0, float("nan"), 1.5, "x")],
+            "match_id bigint, period bigint, jersey_number double, x_m double, y_m float, extra string",
+        ).selectExpr("match_id", f"cast(period as {kinds}) as period", "jersey_number", "x_m", "y_m",
+                     "extra").write.mode(mode).parquet(path)
+    df = tables.read_tracking(spark, path)
+    assert df.schema[:len(TRACKING_SCHEMA)] == TRACKING_SCHEMA and df.columns[-1] == "extra"
+    for r in df.collect():
+        assert (r.match_id, r.period, r.jersey_number, r.x_m, r.y_m, r.z_m, r.extra) == (
+            "7", 2, 9, None, 1.5, None, "x")
+    own = str(tmp_path / "own.parquet")
+    tables.write_table(df.withColumn("dataset", F.lit("d")).withColumn("match_id", F.lit("007")), own)
+    again = tables.read_tracking(spark, own).first()
+    assert (again.match_id, again.x_m, again.period) == ("007", None, 2)

@@ -55,15 +55,62 @@ def test_metrica_tracking(spark, tmp_path):
     assert rows["game2", 5, "home_player_2"].period == 2
 
 
-def test_metrica_single_match_takes_first_file(spark, tmp_path):
-    write(tmp_path / "b" / "tracking_home.csv", ONE_ROW)
-    write(tmp_path / "a" / "tracking_home.csv", TWO_ROWS)
-    df = metrica.read_tracking(spark, str(tmp_path), "m1")
-    assert {(r.match_id, r.agent_id) for r in df.collect()} == {
-        ("m1", "home_player11"), ("m1", "ball")
+def test_metrica_keeps_every_match(spark, tmp_path):
+    write(tmp_path / "flat" / "g1_Tracking_Home.csv", TWO_ROWS)
+    write(tmp_path / "flat" / "g1_Tracking_Away.csv", AWAY)
+    write(tmp_path / "flat" / "g2_Tracking_Home.csv", ONE_ROW)
+    write(tmp_path / "a" / "game" / "tracking_home.csv", ONE_ROW)
+    write(tmp_path / "b" / "game" / "tracking_home.csv", TWO_ROWS)
+    with pytest.warns(UserWarning, match="3 of 4 Metrica matches .* no away"):
+        rows = metrica.read_tracking(spark, str(tmp_path)).collect()
+    agents = {}
+    for r in rows:
+        agents.setdefault(r.match_id, set()).add(r.agent_id)
+    assert agents == {
+        "g1": {"home_player11", "away_player7", "ball"}, "g2": {"home_player_2", "ball"},
+        "a/game": {"home_player_2", "ball"}, "b/game": {"home_player11", "ball"},
+    }
+    assert len(rows) == 6 + 2 + 2 + 4
+    for chosen, count in (("g1", 6), ("g2", 2), ("b/game", 4)):
+        got = metrica.read_tracking(spark, str(tmp_path), chosen)
+        assert {r.match_id for r in got.collect()} == {chosen} and got.count() == count
+    for chosen in ("game", "flat", "other"):
+        with pytest.raises(ValueError, match=f"match id {chosen}"):
+            metrica.read_tracking(spark, str(tmp_path), chosen)
+
+
+def test_metrica_single_match_takes_the_name(spark, tmp_path):
+    write(tmp_path / "x" / "tracking_home.csv", TWO_ROWS)
+    assert {r.match_id for r in metrica.read_tracking(spark, str(tmp_path), "m1").collect()} == {"m1"}
+    write(tmp_path / "x" / "home_tracking.csv", ONE_ROW)
+    with pytest.raises(ValueError, match="two files of one role"):
+        metrica.read_tracking(spark, str(tmp_path))
+
+
+def test_metrica_keeps_the_first_line(spark, tmp_path):
+    """Of repeated frames the first line, even if it is empty; of repeated agents the first pair."""
+    header = "Period,Frame,Time [s],P 1_x,P 1_y,P-1_x,P-1_y,Ball_x,Ball_y\n"
+    write(tmp_path / "g" / "tracking_home.csv", header
+          + "1,0,0.0,0.9,0.9,0.1,0.1,0.5,0.5\n1,0,0.0,0.1,0.1,0.1,0.1,0.1,0.1\n"
+          + "1,1,0.1,,,,,,\n1,1.0,0.10,0.3,0.3,0.3,0.3,0.3,0.3\n")
+    write(tmp_path / "g" / "tracking_away.csv",
+          "Period,Frame,Time [s],Q_x,Q_y,Ball_x,Ball_y\n1,1,0.1,0.2,0.2,0.7,0.7\n1,2,0.2,,,0.8,0.8\n")
+    rows = metrica.read_tracking(spark, str(tmp_path)).collect()
+    got = {(r.frame_id, r.agent_id): r.raw_x for r in rows}
+    assert len(rows) == len(got) and got == {
+        (0, "home_p_1"): 0.9, (0, "ball"): 0.5, (1, "home_p_1"): None, (1, "ball"): None,
+        (1, "away_q"): 0.2, (2, "away_q"): None, (2, "ball"): 0.8,
     }
 
 
+def test_metrica_quoted_cells(spark, tmp_path):
+    write(tmp_path / "g" / "tracking_home.csv",
+          'Period,Frame,Time [s],"Doe, J 1",,Ball,\n,,,x,y,x,y\n1,0,"0.0",0.1,"0.2",0.5,0.5\n')
+    rows = {r.agent_id: r for r in metrica.read_tracking(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"home_doe_j_1", "ball"}
+    assert (rows["home_doe_j_1"].raw_y, rows["ball"].raw_x) == (0.2, 0.5)
+
+
 def test_metrica_many_files_plan_gives_the_same_rows(spark, tmp_path):
     write(tmp_path / "a" / "tracking_home.csv", TWO_ROWS)
     write(tmp_path / "b" / "tracking_away.csv", AWAY)
@@ -117,6 +164,25 @@ def test_metrica_events(spark, tmp_path):
     raw = json.loads(second.raw_event)
     assert raw["Subtype"] is None and raw["Start Frame"] == 3 and raw["To"] == "Player8"
     assert metrica.read_events(spark, str(tmp_path / "none")).count() == 0
+    # Other columns in another order, quotes, and a column that is text in some rows only.
+    write(
+        tmp_path / "h" / "RawEventsData.csv",
+        'From,"Start, note",Start Y,Start X,Period,Type,Team,Start Frame\n'
+        'Player1,"say ""x"", y",0.5,0.5,2,SHOT,HOME,7\n7,plain,,,2,12,Away,8\n',
+    )
+    by_match = {r.match_id: [] for r in metrica.read_events(spark, str(tmp_path)).collect()}
+    for r in metrica.read_events(spark, str(tmp_path)).orderBy("frame_id").collect():
+        by_match[r.match_id].append(r)
+    assert [len(by_match[m]) for m in ("g", "h")] == [2, 2]
+    shot, other = by_match["h"]
+    assert (shot.period, shot.team_id, shot.event_type, shot.x_m, shot.y_m) == (2, "home", "SHOT", 52.5, 34.0)
+    assert shot.time_s is None and shot.player_id == "Player1"
+    assert json.loads(shot.raw_event) == {
+        "From": "Player1", "Start, note": 'say "x", y', "Start Y": 0.5, "Start X": 0.5, "Period": 2,
+        "Type": "SHOT", "Team": "HOME", "Start Frame": 7,
+    }
+    assert (other.player_id, other.event_type, other.x_m) == ("7", "12", None)
+    assert by_match["g"][1].event_type == "PASS" and by_match["g"][1].frame_id == 3
 
 
 def test_skillcorner(spark, tmp_path):
@@ -148,8 +214,16 @@ def test_skillcorner(spark, tmp_path):
     assert rows["11", 3, "ball"].time_s is None
     timed = skillcorner.read_tracking(spark, str(tmp_path), clock_times=True)
     assert timed.where("frame_id = 3").first().time_s == 62.5
-    one = skillcorner.read_tracking(spark, str(tmp_path), "m")
-    assert {r.match_id for r in one.collect()} == {"m"} and one.count() == 4
+    for chosen, count in (("11", 4), ("22", 3)):
+        one = skillcorner.read_tracking(spark, str(tmp_path), chosen)
+        assert {r.match_id for r in one.collect()} == {chosen} and one.count() == count
+    with pytest.raises(ValueError, match="no SkillCorner matches .* match id m"):
+        skillcorner.read_tracking(spark, str(tmp_path), "m")
+    named = skillcorner.read_tracking(spark, str(tmp_path / "22"), "m")
+    assert {r.match_id for r in named.collect()} == {"m"} and named.count() == 3
+    write(tmp_path / "x" / "11" / "tracking.jsonl", json.dumps(frames[0]) + "\n")
+    with pytest.raises(ValueError, match="several SkillCorner matches"):
+        skillcorner.read_tracking(spark, str(tmp_path), "11")
     with pytest.raises(FileNotFoundError):
         skillcorner.read_tracking(spark, str(tmp_path / "22" / "none"))
 
