@@ -325,8 +325,18 @@ pairs AS (
 METRICA = """
 played AS (SELECT DISTINCT match_id, period, frame_id FROM tracking),
 entities AS (
-  SELECT team, label FROM (VALUES ('home'), ('away')) teams(team)
-  CROSS JOIN (SELECT 'player_' || unnest(range(1, 12)) AS label UNION ALL SELECT 'ball')
+  SELECT 'home' AS team, 'player_' || i AS label, 'home_' || i AS agent FROM range(1, 12) r(i)
+  UNION ALL SELECT 'away', 'player_' || i, 'away_' || i FROM range(1, 12) r(i)
+  UNION ALL SELECT CASE WHEN i < 12 THEN 'home' ELSE 'away' END, 'sub_' || i, 'sub_' || i
+            FROM range(23) r(i)
+  UNION ALL VALUES ('home', 'ball', 'ball'), ('away', 'ball', 'no agent')
+),
+-- Home files have a second, empty line for some frames, before or after the other one.
+lines AS (
+  SELECT *, false AS empty, 1 AS place FROM played CROSS JOIN entities
+  UNION ALL
+  SELECT *, true, CASE WHEN frame_id % 13 = 0 THEN 0 ELSE 2 END FROM played CROSS JOIN entities
+  WHERE team = 'home' AND (frame_id % 13 = 0 OR frame_id % 7 = 0)
 ),
 metrica AS (
   SELECT p.match_id, p.period, p.frame_id, p.frame_id / CAST(10 AS DOUBLE) AS time_s,
@@ -334,18 +344,18 @@ metrica AS (
          CASE WHEN label = 'ball' THEN 'ball' ELSE 'player' END AS agent_type,
          CASE WHEN label = 'ball' THEN 'ball' ELSE team END AS team_id,
          CASE WHEN label <> 'ball' THEN team || '_' || label END AS player_id,
-         TRY_CAST(replace(label, 'player_', '') AS INTEGER) AS jersey_number,
+         TRY_CAST(split_part(label, '_', 2) AS INTEGER) AS jersey_number,
          CASE WHEN label = 'ball' THEN 'ball' ELSE 'player' END AS role,
-         CASE WHEN label = 'ball' AND team = 'away' THEN CAST(0.25 AS DOUBLE) ELSE t.raw_x END
-           AS raw_x,
-         CASE WHEN label = 'ball' AND team = 'away' THEN CAST(0.75 AS DOUBLE) ELSE t.raw_y END
-           AS raw_y,
-         p.match_id || '_' || team AS source_file, team
-  FROM played p CROSS JOIN entities e
+         CASE WHEN empty THEN NULL WHEN agent = 'no agent' THEN CAST(0.25 AS DOUBLE)
+              ELSE t.raw_x END AS raw_x,
+         CASE WHEN empty THEN NULL WHEN agent = 'no agent' THEN CAST(0.75 AS DOUBLE)
+              ELSE t.raw_y END AS raw_y,
+         p.match_id || '_' || team AS source_file, team,
+         min(place) OVER (PARTITION BY p.match_id, p.period, p.frame_id, team, label) = place
+           AS kept
+  FROM lines p
   LEFT JOIN tracking t ON t.match_id = p.match_id AND t.period = p.period
-       AND t.frame_id = p.frame_id
-       AND t.agent_id = CASE WHEN label = 'ball' THEN 'ball'
-                             ELSE team || replace(label, 'player', '') END
+       AND t.frame_id = p.frame_id AND t.agent_id = p.agent
 )
 """
 
@@ -358,6 +368,33 @@ SELECT match_id, period, frame_id, {r6('time_s')}, agent_id, agent_type, team_id
 FROM metrica {where}"""
 
 
+WIDE = """
+wide AS (
+  SELECT match_id, period, frame_id, min(time_s) AS time_s FROM tracking
+  GROUP BY match_id, period, frame_id
+),
+wide_agents AS (
+  SELECT 'ball' AS agent UNION ALL SELECT 'home_' || i FROM range(1, 12) r(i)
+  UNION ALL SELECT 'away_' || i FROM range(1, 12) r(i) UNION ALL SELECT 'sub_' || i FROM range(23) r(i)
+),
+wide_rows AS (
+  SELECT 'm' AS match_id, w.period, w.frame_id, w.time_s, agent, t.raw_x, t.raw_y
+  FROM wide w CROSS JOIN wide_agents LEFT JOIN tracking t
+    ON t.match_id = w.match_id AND t.period = w.period AND t.frame_id = w.frame_id
+   AND t.agent_id = agent
+)
+"""
+
+EVENT_FILES = """
+event_rows AS (
+  SELECT *, round(raw_x, 3) AS x3, match_id[-1] < '5' AS long FROM tracking
+),
+event_json AS (
+  SELECT *, CASE WHEN x3 IS NULL THEN 'null' ELSE CAST(x3 AS VARCHAR) END AS jx FROM event_rows
+)
+"""
+
+
 def all_oracles() -> dict[str, str]:
     t = _with(T)
     kin = _with(T, KINEMATICS)
@@ -407,6 +444,7 @@ SELECT match_id, period, frame_id, {r6('time_s')}, agent_id, {r6('105 - x_m', 'x
 SELECT count(*) FILTER ({OFF}) = 0 AS ok, count(*) FILTER ({OFF}) AS out_of_bounds_rows
 FROM tracking""",
         "velocity": kin + rows("vx_mps", "vy_mps", table="kin"),
+        "velocity_split": kin + rows("vx_mps", "vy_mps", table="kin"),
         "acceleration": kin + rows("ax_mps2", "ay_mps2", table="kin"),
         "speed": kin + rows("speed_mps", "accel_mps2", table="kin"),
         "distance_to_ball": _with(T, BALL) + rows("distance_to_ball_m", table="""(
@@ -421,6 +459,9 @@ FROM shape""",
    AND s.team_id IS NOT DISTINCT FROM t.team_id)"""),
         "nearest_players": _with(T, NEAREST) + rows(*NEAREST_COLUMNS, table="""(
   SELECT t.*, n.* EXCLUDE (match_id, period, frame_id, agent_id) FROM tracking t
+  LEFT JOIN nearest n USING (match_id, period, frame_id, agent_id))"""),
+        "nearest_players_split": _with(T, NEAREST) + rows(*NEAREST_COLUMNS, table="""(
+  SELECT t.*, n.* EXCLUDE (match_id, period, frame_id, agent_id) FROM tracking t
   LEFT JOIN nearest n USING (match_id, period, frame_id, agent_id))"""),
         "all_features": _with(T, KINEMATICS, BALL, SHAPE, NEAREST, FEATURES) + f"""
 SELECT {TRACKING_ROUNDED}, {', '.join(r6(c) for c in FEATURE_COLUMNS)} FROM feat""",
@@ -451,6 +492,13 @@ GROUP BY {G}""",
 SELECT match_id, period, frame_id, {r6('time_s')}, agent_id, {r6('x_m_new', 'x_m')},
        {r6('y_m_new', 'y_m')}, CAST(NULL AS DOUBLE) AS z_m, {r6('raw_x_new', 'raw_x')},
        x_m_was_missing, raw_y_was_missing FROM resampled""",
+        "resample_split": _with(T, RESAMPLED) + f"""
+SELECT match_id, period, frame_id, {r6('time_s')}, agent_id, {r6('x_m_new', 'x_m')},
+       {r6('y_m_new', 'y_m')}, CAST(NULL AS DOUBLE) AS z_m, {r6('raw_x_new', 'raw_x')},
+       x_m_was_missing, raw_y_was_missing FROM resampled""",
+        "resample_heights": _with(T, RESAMPLED) + f"""
+SELECT match_id, period, frame_id, {r6('time_s')}, agent_id, {r6('y_m_new', 'z_m')},
+       raw_y_was_missing AS z_m_was_missing FROM resampled""",
         "resample_filled": _with(T, RESAMPLED) + f"""
 SELECT match_id, period, frame_id, {r6('time_s')}, agent_id,
        {', '.join(f'{c}_new AS {c}' for c in CARRIED)} FROM resampled""",
@@ -489,16 +537,47 @@ SELECT match_id, period, frame_id, {r6('time_s')}, agent_id, team_id, point_fram
        {r6('point_time_s')}, {r6('x_m')}, {r6('y_m')} FROM pairs WHERE n > 1""",
         "metrica_header_map": _with(T, """
 headers AS (
-  SELECT unnest(range(27)) AS pos
+  SELECT unnest(range(51)) AS pos
 )""") + """
 SELECT match_id || '_' || team AS source_file, CAST(pos AS INTEGER) AS pos,
        CASE WHEN pos = 0 THEN 'Period' WHEN pos = 1 THEN 'Frame' WHEN pos = 2 THEN 'Time [s]'
-            ELSE CASE WHEN pos < 25 THEN 'Player ' || ((pos - 1) // 2) ELSE 'Ball' END
+            ELSE CASE WHEN pos < 25 THEN 'Player ' || ((pos - 1) // 2)
+                      WHEN team = 'home' AND pos < 49 THEN 'Sub, ' || ((pos - 25) // 2)
+                      WHEN team = 'away' AND pos < 47 THEN 'Sub, ' || ((pos - 1) // 2)
+                      ELSE 'Ball' END
                  || CASE WHEN pos % 2 = 1 THEN '_x' ELSE '_y' END END AS name
 FROM (SELECT DISTINCT match_id FROM tracking)
-CROSS JOIN (VALUES ('home'), ('away')) teams(team) CROSS JOIN headers""",
+CROSS JOIN (VALUES ('home'), ('away')) teams(team) CROSS JOIN headers
+WHERE team = 'home' OR pos < 49""",
         "metrica_wide_to_long": _metrica(""),
-        "metrica_dedupe": _metrica("WHERE agent_id <> 'ball' OR team = 'home'"),
+        "metrica_dedupe": _metrica("WHERE kept AND (agent_id <> 'ball' OR team = 'home')"),
+        "metrica_wide_table": _with(T, WIDE) + f"""
+SELECT match_id, period, frame_id, {r6('time_s')},
+       CASE WHEN agent = 'ball' THEN agent ELSE 'home_' || agent END AS agent_id,
+       CASE WHEN agent = 'ball' THEN 'ball' ELSE 'player' END AS agent_type,
+       CASE WHEN agent = 'ball' THEN 'ball' ELSE 'home' END AS team_id,
+       CASE WHEN agent <> 'ball' THEN 'home_' || agent END AS player_id,
+       TRY_CAST(split_part(agent, '_', 2) AS INTEGER) AS jersey_number,
+       CASE WHEN agent = 'ball' THEN 'ball' ELSE 'player' END AS role,
+       {r6('raw_x * 105', 'x_m')}, {r6('raw_y * 68', 'y_m')}, {r6('raw_x')},
+       raw_x IS NOT NULL AND raw_y IS NOT NULL AS is_visible, 'wide' AS source_file
+FROM wide_rows""",
+        "metrica_events_files": _with(T, EVENT_FILES) + f"""
+SELECT match_id, period, CAST(NULL AS DOUBLE) AS time_s, frame_id,
+       CASE WHEN long THEN team_id END AS team_id, CASE WHEN long THEN agent_id END AS player_id,
+       agent_type AS event_type, CASE WHEN NOT long THEN '7' END AS event_subtype,
+       {r6('x3 * 105', 'x_m')}, CAST(NULL AS DOUBLE) AS y_m,
+       CASE WHEN NOT long THEN CAST(1050 AS DOUBLE) END AS end_x_m, CAST(NULL AS DOUBLE) AS end_y_m,
+       CAST(NULL AS VARCHAR) AS outcome,
+       CASE WHEN long THEN
+         '{{"Team":' || coalesce('"' || team_id || '"', 'null') || ',"Type":"' || agent_type
+         || '","Period":' || period || ',"Start Frame":' || frame_id || ',"From":"' || agent_id
+         || '","Start X":' || jx || ',"Note":"' || role || ', so \\"called\\""}}'
+       ELSE
+         '{{"start_x":' || jx || ',"Subtype":7,"Type":"' || agent_type || '","Frame":' || frame_id
+         || ',"End, X":1e1,"Period":' || period || '}}'
+       END AS raw_event
+FROM event_json""",
         "metrica_events": t + f"""
 SELECT match_id, 'metrica' AS dataset, period, {r6('time_s')}, frame_id, team_id, player_id,
        agent_type AS event_type, role AS event_subtype, {r6('raw_x * 105', 'x_m')},

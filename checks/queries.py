@@ -43,7 +43,7 @@ def canonical_tracking(spark, sf):
 
 
 def canonical_events(spark, sf):
-    # Fractions of a second are kept to six places on both sides.
+    # Whole seconds only: the fractions are cut on both sides.
     raw = events_table(spark, sf).select(
         F.concat(F.lit("u"), F.col("user_id") % 5).alias("match_id"),
         F.lit("synthetic").alias("dataset"),
@@ -117,6 +117,13 @@ def velocity(spark, sf):
     return kinematics.add_kinematics(tracking_table(spark, sf)).select(*ROW, "vx_mps", "vy_mps")
 
 
+def velocity_split(spark, sf):
+    """As velocity, with every series in slices of some rows."""
+    return kinematics.add_kinematics(tracking_table(spark, sf), 0, 400).select(
+        *ROW, "vx_mps", "vy_mps"
+    )
+
+
 def acceleration(spark, sf):
     return kinematics.add_kinematics(tracking_table(spark, sf)).select(*ROW, "ax_mps2", "ay_mps2")
 
@@ -149,6 +156,13 @@ def nearest_players(spark, sf):
     )
 
 
+def nearest_players_split(spark, sf):
+    """As nearest_players, with every frame on the plan for large ones."""
+    return frames.add_frame_features(tracking_table(spark, sf), frames.NEAREST, 0).select(
+        *ROW, *frames.NEAREST
+    )
+
+
 def all_features(spark, sf):
     return compute_features(tracking_table(spark, sf))
 
@@ -199,6 +213,21 @@ def resample_interpolated(spark, sf):
     )
 
 
+def resample_split(spark, sf):
+    """As resample_interpolated, with every series in slices of some samples."""
+    return resample.resample_tracking(tracking_table(spark, sf), 10.0, 0.2, 0, 400).select(
+        *ROW, "x_m", "y_m", "z_m", "raw_x", "x_m_was_missing", "raw_y_was_missing"
+    )
+
+
+def resample_heights(spark, sf):
+    """Heights, which the table lacks, from its y."""
+    t = tracking_table(spark, sf).withColumn("z_m", F.col("y_m"))
+    return resample.resample_tracking(t, target_fps=10.0, max_gap_s=0.2).select(
+        *ROW, "z_m", "z_m_was_missing"
+    )
+
+
 def resample_filled(spark, sf):
     return _resampled(spark, sf).select(
         *ROW, "team_id", "jersey_number", "role", "is_visible", "source_file"
@@ -272,9 +301,19 @@ def agent_trails(spark, sf):
     return clips.agent_trails(clips.clip_rows(tracking_table(spark, sf), 0.0, 30.0), 0.5)
 
 
+# The entities of a file: label in the header and agent of the table.
+METRICA_FILES = {
+    "home": [(f"Player {i}", f"home_{i}") for i in range(1, 12)]
+    + [(f"Sub, {i}", f"sub_{i}") for i in range(12)] + [("Ball", "ball")],
+    "away": [(f"Player {i}", f"away_{i}") for i in range(1, 12)]
+    + [(f"Sub, {i}", f"sub_{i}") for i in range(12, 23)] + [("Ball", "away ball")],
+}
+
+
 def _metrica_lines(spark, sf):
-    """The tracking rows as raw CSV lines: a labelled two-row header for the home files, and a
-    three-row header without axis labels for the away files, whose ball differs."""
+    """All tracking rows as raw CSV lines: a labelled two-row header for the home files, and a
+    three-row header without axis labels for the away files, whose ball differs. Some labels are
+    quoted. Some home frames have an empty line too, before or after the other one."""
     t = tracking_table(spark, sf)
     at = F.concat_ws(",", F.coalesce(F.col("raw_x").cast("string"), F.lit("")),
                      F.coalesce(F.col("raw_y").cast("string"), F.lit("NaN")))
@@ -282,37 +321,40 @@ def _metrica_lines(spark, sf):
         F.map_from_entries(F.collect_list(F.struct("agent_id", at))).alias("at")
     )
 
-    def cell(agent):
-        return F.coalesce(F.try_element_at("at", F.lit(agent)), F.lit(","))
-
-    def header(df, team, position, text):
-        return df.select("match_id", F.lit(team).alias("team"),
-                         F.lit(position).cast("bigint").alias("line_pos"),
-                         F.lit(text).alias("value"))
-
-    matches = t.select("match_id").distinct()
-    files = []
-    for team in ("home", "away"):
-        players = range(1, 12)
-        ball = cell("ball") if team == "home" else F.lit("0.25,0.75")
-        files.append(by_frame.select(
-            "match_id", F.lit(team).alias("team"), (F.col("frame_id") + 10).alias("line_pos"),
-            F.concat_ws(",", "period", "frame_id", F.col("frame_id") / 10.0,
-                        *[cell(f"{team}_{i}") for i in players], ball).alias("value"),
-        ))
-        labels = "".join(f"Player {i},," for i in players) + "Ball,"
+    def line(team, position, text):
+        return F.struct(F.lit(team).alias("team"), position.cast("bigint").alias("line_pos"),
+                        text.alias("value"))
+
+    place = F.col("frame_id") * 3 + 10
+    keys = ["period", "frame_id", F.col("frame_id") / 10.0]
+    lines, headers = [], []
+    for team, entities in METRICA_FILES.items():
+        cells = [
+            F.lit("0.25,0.75") if agent == "away ball"
+            else F.coalesce(F.try_element_at("at", F.lit(agent)), F.lit(","))
+            for _, agent in entities
+        ]
+        lines.append(line(team, place, F.concat_ws(",", *keys, *cells)))
+        quoted = [f'"{label}"' if "," in label else label for label, _ in entities]
+        labels = "Period,Frame,Time [s]," + ",,".join(quoted) + ","
         if team == "home":
-            files.append(header(matches, team, 0, "Period,Frame,Time [s]," + labels))
-            files.append(header(matches, team, 1, ",,," + ",".join(["x,y"] * 12)))
+            texts = [labels, ",,," + ",".join(["x,y"] * len(entities))]
         else:
-            files.append(header(matches, team, 0, ",,," + "Away,," * 11 + ","))
-            files.append(header(matches, team, 1, ",,," + "".join(f"{i},," for i in players)
-                                + ","))
-            files.append(header(matches, team, 2, "Period,Frame,Time [s]," + labels))
-    lines = files[0]
-    for other in files[1:]:
-        lines = lines.unionByName(other)
-    return lines.withColumn("source_file", F.concat_ws("_", "match_id", "team"))
+            numbers = [label.split(" ")[-1] for label, _ in entities[:-1]]
+            texts = [",,," + "Away,," * len(numbers) + ",", ",,," + ",,".join(numbers) + ",,,", labels]
+        headers += [line(team, F.lit(i), F.lit(text)) for i, text in enumerate(texts)]
+    empty = F.concat_ws(",", *keys, F.lit("," * (2 * len(METRICA_FILES["home"]) - 1)))
+    before, after = F.col("frame_id") % 13 == 0, F.col("frame_id") % 7 == 0
+    lines.append(F.when(before | after, line("home", F.when(before, place - 1).otherwise(place + 1),
+                                             empty)))
+    data = by_frame.select("match_id", F.explode(F.filter(F.array(*lines), lambda x: x.isNotNull()))
+                           .alias("line"))
+    named = t.select("match_id").distinct().select(
+        "match_id", F.explode(F.array(*headers)).alias("line")
+    )
+    return data.unionByName(named).select("match_id", "line.*").withColumn(
+        "source_file", F.concat_ws("_", "match_id", "team")
+    )
 
 
 METRICA_SHOWN = [*ROW, "agent_type", "team_id", "player_id", "jersey_number", "role",
@@ -330,12 +372,58 @@ def metrica_wide_to_long(spark, sf):
 
 
 def metrica_dedupe(spark, sf):
-    long = metrica.tracking_from_lines(_metrica_lines(spark, sf), few_files=False)
-    return metrica.keep_home_copy(long, F.col("source_file").endswith("home")).select(
+    return metrica.tracking_from_lines(_metrica_lines(spark, sf), few_files=False, once=True).select(
+        *METRICA_SHOWN
+    )
+
+
+def metrica_wide_table(spark, sf):
+    """A table with a column per agent and axis, from the frames of all agents."""
+    t = tracking_table(spark, sf)
+    agents = ["ball", *[f"home_{i}" for i in range(1, 12)], *[f"away_{i}" for i in range(1, 12)],
+              *[f"sub_{i}" for i in range(23)]]
+    wide = t.groupBy("match_id", F.col("period").alias("Period"), F.col("frame_id").alias("Frame")).agg(
+        F.min("time_s").alias(" Time [s]"),
+        *[F.max(F.when(F.col("agent_id") == a, F.col(f"raw_{c}"))).alias(f"{a} {c.upper()}")
+          for a in agents for c in ("x", "y")],
+    )
+    return metrica.tracking_from_wide(wide.drop("match_id"), "home", "m", "wide").select(
         *METRICA_SHOWN
     )
 
 
+def metrica_events_files(spark, sf):
+    """All tracking rows as event lines of files with one of two headers."""
+    t = tracking_table(spark, sf)
+
+    def text(c, none=""):
+        return F.coalesce(F.col(c).cast("string"), F.lit(none))
+
+    long = F.col("match_id").substr(-1, 1) < "5"
+    quoted = F.concat(F.lit('"'), text("role"), F.lit(', so ""called"""'))
+    value = F.when(long, F.concat_ws(
+        ",", text("team_id"), text("agent_type"), "period", "frame_id", "agent_id",
+        F.round("raw_x", 3).cast("string"), quoted,
+    )).otherwise(F.concat_ws(
+        ",", F.round("raw_x", 3).cast("string"), F.lit("7"), text("agent_type", "NaN"), "frame_id",
+        F.lit("1e1"), "period",
+    ))
+    # A missing x is an empty cell, which concat_ws would leave out.
+    value = F.when(F.col("raw_x").isNull() & long, F.concat_ws(
+        ",", text("team_id"), text("agent_type"), "period", "frame_id", "agent_id", F.lit(""), quoted,
+    )).when(F.col("raw_x").isNull(), F.concat_ws(
+        ",", F.lit(""), F.lit("7"), text("agent_type", "NaN"), "frame_id", F.lit("1e1"), "period",
+    )).otherwise(value)
+    lines = t.select("match_id", "match_id", (F.monotonically_increasing_id() + 1).alias("line_pos"),
+                     value.alias("value")).toDF("match_id", "source_file", "line_pos", "value")
+    headers = t.select("match_id").distinct().select(
+        "match_id", F.col("match_id").alias("source_file"), F.lit(0).cast("bigint").alias("line_pos"),
+        F.when(long, "Team,Type,Period,Start Frame,From,Start X,Note").otherwise(
+            'start_x,"Subtype",Type,Frame,"End, X",Period').alias("value"),
+    )
+    return metrica.events_from_lines(lines.unionByName(headers), few_files=False).drop("dataset")
+
+
 def metrica_events(spark, sf):
     t = tracking_table(spark, sf)
     raw = t.select(
@@ -415,13 +503,15 @@ QUERIES = [
     canonical_tracking, canonical_events, schema_invalid_types, schema_validation,
     normalized_to_meters, center_to_topleft, grid120_to_meters,
     clip_to_pitch, flip_pitch, out_of_bounds_rows, bounds_summary,
-    velocity, acceleration, speed, distance_to_ball, team_shape, team_shape_attached,
-    nearest_players, all_features, average_speed_and_ball_distance,
+    velocity, velocity_split, acceleration, speed, distance_to_ball, team_shape,
+    team_shape_attached, nearest_players, nearest_players_split, all_features, average_speed_and_ball_distance,
     frame_monotonicity, impossible_speeds, missingness, quality_summary,
-    time_extents, resample_grid, resample_interpolated, resample_filled,
+    time_extents, resample_grid, resample_interpolated, resample_split, resample_heights,
+    resample_filled,
     agent_slots, time_index, window_meta, window_cells, window_tensors,
     constant_velocity_rollout, clip_rows, clip_frames, agent_trails,
-    metrica_header_map, metrica_wide_to_long, metrica_dedupe, metrica_events,
+    metrica_header_map, metrica_wide_to_long, metrica_dedupe, metrica_wide_table, metrica_events,
+    metrica_events_files,
     skillcorner_frames, statsbomb_events, soccertrack_mapping,
 ]
 

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from pitchspark.constants import AGENT_KEYS
 from pitchspark.functions.casts import is_finite
-from pitchspark.operators.skew import HOT_AGENT_ROWS, SLICE_S, HotKeys, attach, time_slice
+from pitchspark.operators.skew import HOT_AGENT_ROWS, SLICE_ROWS, HotKeys, attach, sliced
 from pitchspark.operators.timeseries import (
-    SERIES_ORDER,
+    collapsed,
     joined_on,
     neighbours,
     nulls_last,
     sort_struct,
+    total_order,
 )
 from pitchspark.schema import canonical_tracking
 
@@ -90,14 +91,16 @@ def _derivative(before: str, here: str, after: str) -> str:
         WHEN 'back' THEN try_divide({here} - {before}, _hs) END, CAST(NULL AS DOUBLE))"""
 
 
-def _whole_series(df: DataFrame) -> DataFrame:
+def _whole_series(df: DataFrame, order: list[str]) -> DataFrame:
     """One shuffle and one sort serve every window below.
 
     What depends on the times alone is worked out once for both axes and both derivatives. The
     steps are separate projections, which keeps the generated methods small enough to compile.
     """
-    keys, order = ", ".join(AGENT_KEYS), ", ".join(f"{c} ASC NULLS LAST" for c in SERIES_ORDER)
-    ordered = f"OVER (PARTITION BY {keys} ORDER BY {order})"
+    keys = ", ".join(AGENT_KEYS)
+    quoted = ["`" + c.replace("`", "``") + "`" for c in order]
+    by = ", ".join(f"{c} ASC NULLS LAST" for c in quoted)
+    ordered = f"OVER (PARTITION BY {keys} ORDER BY {by})"
     series = f"OVER (PARTITION BY {keys})"
 
     def around(*columns: tuple[str, str]) -> list[str]:
@@ -136,24 +139,25 @@ def _whole_series(df: DataFrame) -> DataFrame:
         .selectExpr("*", *around(("vx_mps", "vx"), ("vy_mps", "vy")))
     )
     return out.selectExpr(
-        *[f"`{c}`" for c in df.columns], "vx_mps", "vy_mps",
+        *["`" + c.replace("`", "``") + "`" for c in df.columns], "vx_mps", "vy_mps",
         f"{_derivative('_vx0', 'vx_mps', '_vx2')} AS ax_mps2",
         f"{_derivative('_vy0', 'vy_mps', '_vy2')} AS ay_mps2",
     )
 
 
-def _sliced_series(df: DataFrame, few: bool, slice_s: float) -> DataFrame:
+def _sliced_series(df: DataFrame, order: list[str], few: bool, slice_rows: int) -> DataFrame:
     """The same results for series too long for one task.
 
     Copies of a row are collapsed to one with a count before anything is ordered, then rows of
     equal time to their first and last, so that neither can fill a slice. Derivatives are taken
     between times, slice by slice, and joined back to the rows.
     """
-    distinct = df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
-    place = sort_struct(SERIES_ORDER[1:])
+    distinct = collapsed(df, order)
+    place = sort_struct(order[1:])
     moments = distinct.groupBy(*AGENT_KEYS, "time_s").agg(
         F.sum("_copies").alias("_n"), F.min(place).alias("_first"), F.max(place).alias("_last")
-    ).withColumn("_slice", time_slice(F.col("time_s"), slice_s))
+    )
+    moments = sliced(moments, nulls_last([*AGENT_KEYS, "time_s"]), slice_rows)
     moment = F.struct(
         F.col("time_s").alias("t"),
         F.col("_n").alias("n"),
@@ -220,7 +224,7 @@ def _sliced_series(df: DataFrame, few: bool, slice_s: float) -> DataFrame:
         (place == F.col("_m_last")) & (F.col("_copy") == F.col("_copies"))
     )
     return rows.select(
-        *df.columns,
+        *["`" + c.replace("`", "``") + "`" for c in df.columns],
         *[
             F.when(has_value, F.col(c)).alias(name)
             for name, c in [("vx_mps", "_vx"), ("vy_mps", "_vy"),
@@ -230,17 +234,23 @@ def _sliced_series(df: DataFrame, few: bool, slice_s: float) -> DataFrame:
 
 
 def add_kinematics(
-    tracking: DataFrame, hot_rows: int | None | HotKeys = HOT_AGENT_ROWS, slice_s: float = SLICE_S
+    tracking: DataFrame,
+    hot_rows: int | None | HotKeys = HOT_AGENT_ROWS,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Add velocity, speed, acceleration and its magnitude per (match, period, agent).
 
     Series of fewer than two rows or times, or with a missing time, get zeros. A series with
-    repeated times gets forward differences, all others central ones. Series with more than
-    ``hot_rows`` rows are split into slices of ``slice_s`` seconds; None skips the check.
+    repeated times gets forward differences, all others central ones; of rows tied in all that
+    orders a series the last one in the order of the other columns carries them. Series with more
+    than ``hot_rows`` rows are split into slices of about ``slice_rows`` times; None skips the
+    check.
     """
     df = canonical_tracking(tracking).drop(*KINEMATICS)
+    names = df.columns
     hot = HotKeys.of(df, AGENT_KEYS, hot_rows)
-    out = _whole_series(hot.cool(df))
+    df, order = total_order(df)
+    out = _whole_series(hot.cool(df), order)
     if hot.any:
-        out = out.unionByName(_sliced_series(hot.hot(df), hot.few, slice_s))
-    return _with_magnitudes(out)
+        out = out.unionByName(_sliced_series(hot.hot(df), order, hot.few, slice_rows))
+    return _with_magnitudes(out.drop(*[c for c in order if c not in names]))

@@ -15,8 +15,9 @@ from pitchspark.constants import (
 )
 from pitchspark.operators.kinematics import add_kinematics
 from pitchspark.operators.pitch import out_of_bounds_rows, validate_pitch_bounds
-from pitchspark.operators.skew import HOT_AGENT_ROWS, SLICE_S, HotKeys, time_slice
+from pitchspark.operators.skew import HOT_AGENT_ROWS, SLICE_ROWS, HotKeys, sliced
 from pitchspark.operators.timeseries import neighbours, nulls_last
+from pitchspark.schema import canonical_tracking
 
 FRAME_FALLS = "frame_id decreases"
 
@@ -28,13 +29,14 @@ def _falls_in_rows(df: DataFrame) -> DataFrame:
     ).groupBy(*AGENT_KEYS).agg(F.bool_or("_falls").alias("_falls"))
 
 
-def _falls_in_slices(df: DataFrame, slice_s: float) -> DataFrame:
+def _falls_in_slices(df: DataFrame, slice_rows: int) -> DataFrame:
     """Rows of one time shrink to their lowest and highest frame, then slices are compared."""
     moments = df.groupBy(*AGENT_KEYS, "time_s").agg(
         F.min("frame_id").alias("low"),
         # A row without a frame comes last at its time and is compared with nothing.
         F.when(F.count("*") == F.count("frame_id"), F.max("frame_id")).alias("high"),
-    ).withColumn("_slice", time_slice(F.col("time_s"), slice_s))
+    )
+    moments = sliced(moments, nulls_last([*AGENT_KEYS, "time_s"]), slice_rows)
     around = neighbours(
         moments, AGENT_KEYS, nulls_last(["time_s"]), F.struct("low", "high"), 1, "_slice"
     )
@@ -44,14 +46,16 @@ def _falls_in_slices(df: DataFrame, slice_s: float) -> DataFrame:
 
 
 def frame_monotonicity(
-    tracking: DataFrame, hot_rows: int | None | HotKeys = HOT_AGENT_ROWS, slice_s: float = SLICE_S
+    tracking: DataFrame,
+    hot_rows: int | None | HotKeys = HOT_AGENT_ROWS,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """The (match, period, agent) series whose frame_id falls while time goes on."""
     df = tracking.select(*AGENT_KEYS, "time_s", "frame_id")
     hot = HotKeys.of(df, AGENT_KEYS, hot_rows)
     out = _falls_in_rows(hot.cool(df))
     if hot.any:
-        out = out.unionByName(_falls_in_slices(hot.hot(df), slice_s))
+        out = out.unionByName(_falls_in_slices(hot.hot(df), slice_rows))
     return out.where("_falls").select(*AGENT_KEYS, F.lit(FRAME_FALLS).alias("issue"))
 
 
@@ -98,6 +102,7 @@ def check_quality(
     An existing ``speed_mps`` column is used; otherwise speeds are computed. Missing positions do
     not count against ``ok``.
     """
+    tracking = canonical_tracking(tracking)
     hot = HotKeys(tracking, AGENT_KEYS, hot_rows)
     moving = tracking if "speed_mps" in tracking.columns else add_kinematics(tracking, hot)
     falls = frame_monotonicity(tracking, hot)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from pitchspark.constants import AGENT_KEYS
 from pitchspark.functions.casts import half_even, is_finite
-from pitchspark.operators.skew import HOT_AGENT_ROWS, SLICE_S, HotKeys, attach
-from pitchspark.operators.timeseries import SERIES_ORDER, joined_on, nulls_last
+from pitchspark.operators.skew import HOT_AGENT_ROWS, SLICE_ROWS, HotKeys, attach, sliced
+from pitchspark.operators.timeseries import collapsed, joined_on, nulls_last, total_order
 from pitchspark.schema import canonical_tracking
 
 # The columns that are interpolated; all others are carried forward, then back.
@@ -38,7 +38,9 @@ def _carried(df_columns: list[str]) -> list[str]:
     return [c for c in df_columns if c not in [*AGENT_KEYS, "time_s", "frame_id", *INTERPOLATED]]
 
 
-def _filled(samples: DataFrame, part: list[str], carried: list[str]) -> DataFrame:
+def _filled(
+    samples: DataFrame, part: list[str], carried: list[str], order: list[str]
+) -> DataFrame:
     """For each sample: its row position, the next sample's grid point, and the values around it.
 
     ``_p_<c>`` and ``_n_<c>`` hold position and value of the last present value up to this row
@@ -46,8 +48,9 @@ def _filled(samples: DataFrame, part: list[str], carried: list[str]) -> DataFram
     counts every output row, so copies at one time take a position each.
     """
     keys = ", ".join(part)
-    ascending = ", ".join(f"{c} ASC NULLS LAST" for c in SERIES_ORDER)
-    descending = ", ".join(f"{c} DESC NULLS FIRST" for c in SERIES_ORDER)
+    quoted = ["`" + c.replace("`", "``") + "`" for c in order]
+    ascending = ", ".join(f"{c} ASC NULLS LAST" for c in quoted)
+    descending = ", ".join(f"{c} DESC NULLS FIRST" for c in quoted)
     ordered = f"OVER (PARTITION BY {keys} ORDER BY {ascending})"
     so_far = ordered[:-1] + " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     earlier = ordered[:-1] + " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -76,14 +79,16 @@ def _filled(samples: DataFrame, part: list[str], carried: list[str]) -> DataFram
     )
 
 
-def _filled_in_slices(samples: DataFrame, carried: list[str], per_slice: int) -> DataFrame:
-    """As ``_filled``, with series cut into slices of grid points and joined up afterwards.
+def _filled_in_slices(
+    samples: DataFrame, carried: list[str], order: list[str], slice_rows: int
+) -> DataFrame:
+    """As ``_filled``, with series cut into slices of samples and joined up afterwards.
 
     What a slice needs from the others is a handful of values: how many rows come before it, and
     the present values nearest to its two ends. These come from one summary row per slice.
     """
-    samples = samples.withColumn("_slice", F.expr(f"_k div {per_slice}"))
-    out = _filled(samples, [*AGENT_KEYS, "_slice"], carried)
+    samples = sliced(samples, nulls_last([*AGENT_KEYS, *order]), slice_rows)
+    out = _filled(samples, [*AGENT_KEYS, "_slice"], carried, order)
     named = {"_p_": INTERPOLATED, "_f_": carried}
     ahead = {"_n_": INTERPOLATED, "_b_": carried}
 
@@ -100,6 +105,7 @@ def _filled_in_slices(samples: DataFrame, carried: list[str], per_slice: int) ->
     ends = out.groupBy(*AGENT_KEYS, "_slice").agg(
         (F.sum("_copies") - F.sum("_new")).alias("_extra"),
         F.min("_k").alias("_first_k"),
+        F.max("_k").alias("_last_k"),
         *[at_end(p + c).alias(p + c) for p, cs in named.items() for c in cs],
         *[at_start(c, p + c).alias(p + c) for p, cs in ahead.items() for c in cs],
     )
@@ -109,7 +115,12 @@ def _filled_in_slices(samples: DataFrame, carried: list[str], per_slice: int) ->
         Window.partitionBy(*AGENT_KEYS).orderBy(F.desc("_slice"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    ends = ends.withColumn("_shift", F.coalesce(F.sum("_extra").over(before), F.lit(0)))
+    # A slice may begin at the grid point where the one before it ends: then that point isn't new.
+    again = F.coalesce(F.lag("_last_k").over(onward) == F.col("_first_k"), F.lit(False)).cast("int")
+    ends = ends.withColumn("_again", again).withColumn(
+        "_shift",
+        F.coalesce(F.sum(F.col("_extra") + F.col("_again")).over(before), F.lit(0)) + F.col("_again"),
+    )
 
     def shifted(c: Column) -> Column:
         return F.when(c.isNotNull(), F.struct((c["pos"] + F.col("_shift")).alias("pos"),
@@ -194,10 +205,10 @@ def _on_grid(
     )
 
 
-def _whole(df: DataFrame, fps: float, limit: int) -> DataFrame:
+def _whole(df: DataFrame, names: list[str], order: list[str], fps: float, limit: int) -> DataFrame:
     """One shuffle: windows over whole series, then the grid is generated from the samples."""
     series = Window.partitionBy(*AGENT_KEYS)
-    ordered = series.orderBy(*nulls_last(SERIES_ORDER))
+    ordered = series.orderBy(*nulls_last(order))
     rows = df.repartition(*AGENT_KEYS).withColumn("_rank", F.row_number().over(ordered))
     rows = rows.withColumns({
         "_start": F.min("time_s").over(series), "_end": F.max("time_s").over(series)
@@ -208,28 +219,29 @@ def _whole(df: DataFrame, fps: float, limit: int) -> DataFrame:
     rows = rows.withColumns({
         "_k": F.coalesce("_k", F.lit(-1).cast("bigint")), "_copies": F.lit(1).cast("bigint")
     })
-    return _on_grid(_filled(rows, AGENT_KEYS, _carried(df.columns)), df.columns, fps, limit)
+    return _on_grid(_filled(rows, AGENT_KEYS, _carried(names), order), names, fps, limit)
 
 
-def _sliced(df: DataFrame, fps: float, limit: int, few: bool, slice_s: float) -> DataFrame:
+def _sliced(
+    df: DataFrame, names: list[str], order: list[str], fps: float, limit: int, few: bool,
+    slice_rows: int,
+) -> DataFrame:
     spread = F.struct("time_s", "frame_id")
     extent = df.groupBy(*AGENT_KEYS).agg(
         F.min("time_s").alias("_start"), F.max("time_s").alias("_end")
     )
     rows = attach(df, extent, AGENT_KEYS, few, spread).withColumns(_grid_columns(fps))
-    samples = rows.where(F.col("_k").isNotNull()).groupBy(
-        *df.columns, "_start", "_end", "_points", "_k"
-    ).agg(F.count("*").alias("_copies"))
-    per_slice = max(int(slice_s * fps), 1)
-    carried = _carried(df.columns)
+    # What the grid adds is the same in all copies of a row.
+    samples = collapsed(rows.where(F.col("_k").isNotNull()), order)
+    carried = _carried(names)
     on_grid = _on_grid(
-        _filled_in_slices(samples, carried, per_slice), df.columns, fps, limit, spread=True
+        _filled_in_slices(samples, carried, order, slice_rows), names, fps, limit, spread=True
     )
     types = dict(df.dtypes)
     unmet = rows.groupBy(*AGENT_KEYS, "_start", "_points").agg(
         F.max("_k").alias("_met")
     ).where(F.col("_met").isNull())
-    nothing = {c: F.lit(None).cast(types[c]) for c in df.columns if c not in AGENT_KEYS}
+    nothing = {c: F.lit(None).cast(types[c]) for c in names if c not in AGENT_KEYS}
     empty = {f"{p}{c}": F.lit(None).cast("struct<pos:bigint,value:double>")
              for p in ("_p_", "_n_") for c in INTERPOLATED}
     empty |= {f"{p}{c}": nothing[c] for p in ("_f_", "_b_") for c in carried}
@@ -239,7 +251,7 @@ def _sliced(df: DataFrame, fps: float, limit: int, few: bool, slice_s: float) ->
         "_first": F.lit(True),
     }
     return on_grid.unionByName(
-        _on_grid(unmet.withColumns(empty), df.columns, fps, limit, spread=True)
+        _on_grid(unmet.withColumns(empty), names, fps, limit, spread=True)
     )
 
 
@@ -248,14 +260,14 @@ def resample_tracking(
     target_fps: float = 10.0,
     max_gap_s: float = 0.5,
     hot_rows: int | None = HOT_AGENT_ROWS,
-    slice_s: float = SLICE_S,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Put each (match, period, agent) series on a regular grid from its first to its last time.
 
     Samples whose time is not a grid time are left out. Positions are interpolated over the first
     ``max_gap_s`` of each gap, with a ``<column>_was_missing`` flag; other columns take the value
     before, or else the one after. Series with more than ``hot_rows`` rows or grid points are
-    resampled in slices.
+    resampled in slices of about ``slice_rows`` samples.
     """
     if target_fps <= 0:
         raise ValueError("target_fps must be positive")
@@ -267,10 +279,12 @@ def resample_tracking(
     # A stray time makes a grid far longer than the series has rows.
     span = (F.max("time_s") - F.min("time_s")) * F.lit(float(target_fps))
     hot = HotKeys(df, AGENT_KEYS, hot_rows, F.greatest(F.count("*").cast("double"), span))
-    out = _whole(hot.cool(df), target_fps, limit)
+    names = df.columns
+    df, order = total_order(df)
+    out = _whole(hot.cool(df), names, order, target_fps, limit)
     if hot.any:
         out = out.unionByName(
-            _sliced(hot.hot(df), target_fps, limit, hot.few, slice_s)
+            _sliced(hot.hot(df), names, order, target_fps, limit, hot.few, slice_rows)
         )
     return out
 

@@ -9,6 +9,8 @@ plan that splits them. With no such key the second plan is never built.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,9 @@ HOT_FRAME_ROWS = 256
 BROADCAST_ROWS = 10_000
 # Copies made of a lookup side that is too large to broadcast.
 SALTS = 64
-# Seconds per slice when one key's time series is split.
+# Rows per slice when one key's time series is split.
+SLICE_ROWS = HOT_AGENT_ROWS
+# Seconds per slice where distinct times are numbered.
 SLICE_S = 3600.0
 
 
@@ -92,6 +96,23 @@ def attach(
     return joined.drop("_salt", "_side_salt", *[f"_side_{k}" for k in keys])
 
 
+def sliced(df: DataFrame, order: list[Column], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Add ``_slice``, an ordered number; a slice has at most about ``slice_rows`` rows.
+
+    The rows are sorted into ranges of ``order``, whose bounds Spark takes from a sample, so they
+    follow the data: no crowded time makes a slice larger than others. Three times as many ranges
+    are made as needed, since a sample is not exact. The result is checkpointed, as all users of
+    it must see the same bounds.
+    """
+    ranges = max(2, -(-3 * df.count() // slice_rows))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pitchspark-"))
+    ranged = df.repartitionByRange(ranges, *order)
+    return ranged.withColumn("_slice", F.spark_partition_id()).checkpoint()
+
+
 def time_slice(time: Column, width_s: float = SLICE_S) -> Column:
     """Number of the fixed-width slice holding a time; null for a missing or infinite time."""
     return F.floor(time / F.lit(width_s)).try_cast("bigint")

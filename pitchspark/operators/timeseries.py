@@ -4,20 +4,60 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Total order of a series. Rows equal in all of these are interchangeable.
+from pitchspark.constants import AGENT_KEYS
+
+# Order of a series; ties are settled by ``total_order``.
 SERIES_ORDER = ["time_s", "frame_id", "x_m", "y_m", "source_file"]
 
 
+def _sortable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_sortable(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _sortable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def total_order(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The table, and the columns that order a series so that only copies of a row are equal.
+
+    Extra columns without an order of their own, such as maps, are ordered by their JSON text, in
+    columns added for it.
+    """
+    order = list(SERIES_ORDER)
+    for f in df.schema.fields:
+        if f.name in AGENT_KEYS or f.name in SERIES_ORDER:
+            continue
+        if _sortable(f.dataType):
+            order.append(f.name)
+        else:
+            quoted = F.col("`" + f.name.replace("`", "``") + "`")
+            df = df.withColumn(f"_tie{len(order)}", F.to_json(F.struct(quoted)))
+            order.append(f"_tie{len(order)}")
+    return df, order
+
+
+def collapsed(df: DataFrame, order: list[str]) -> DataFrame:
+    """Copies of a row as one row with their number, ``_copies``; ``order`` is that of
+    ``total_order``, and other columns are the same in all copies."""
+    keys = [*AGENT_KEYS, *order]
+    quoted = {c: "`" + c.replace("`", "``") + "`" for c in df.columns}
+    rest = [F.any_value(quoted[c]).alias(c) for c in df.columns if c not in keys]
+    return df.groupBy(*[quoted[k] for k in keys]).agg(F.count("*").alias("_copies"), *rest)
+
+
 def nulls_last(names: list[str]) -> list[Column]:
-    return [F.col(c).asc_nulls_last() for c in names]
+    return [F.col("`" + c.replace("`", "``") + "`").asc_nulls_last() for c in names]
 
 
 def sort_struct(names: list[str]) -> Column:
     """A struct whose minimum and maximum follow ascending order with nulls last."""
     fields = []
     for c in names:
-        fields += [F.col(c).isNull().alias(f"{c}_null"), F.col(c)]
+        quoted = F.col("`" + c.replace("`", "``") + "`")
+        fields += [quoted.isNull().alias(f"{c}_null"), quoted]
     return F.struct(*fields)
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from pitchspark.operators import frames
 from pitchspark.operators.kinematics import add_kinematics
 from pitchspark.operators.nearest import nearest_other
+from pitchspark.operators.resample import resample_tracking
+from pitchspark.operators.skew import sliced
+from pitchspark.operators.timeseries import nulls_last
 from pitchspark.plans.features import compute_features
 from pitchspark.schema import FEATURE_VALUES, TRACKING_COLUMNS
 from tests.helpers import as_set, table
@@ -78,8 +81,8 @@ def series_rows():
     return rows
 
 
-@pytest.mark.parametrize("hot_rows, slice_s", [(None, 1.0), (0, 1.0), (0, 20.0), (3, 4.0)])
-def test_kinematics_match_numpy(spark, hot_rows, slice_s):
+@pytest.mark.parametrize("hot_rows, slice_rows", [(None, 9), (0, 4), (0, 60), (3, 12)])
+def test_kinematics_match_numpy(spark, hot_rows, slice_rows):
     rows = series_rows()
     expected = []
     groups = {}
@@ -95,7 +98,7 @@ def test_kinematics_match_numpy(spark, hot_rows, slice_s):
             expected.append((period, agent, r["frame_id"], vx[i], vy[i],
                              np.hypot(vx[i], vy[i]), ax[i], ay[i], np.hypot(ax[i], ay[i])))
     got = as_set(
-        add_kinematics(table(spark, rows), hot_rows, slice_s),
+        add_kinematics(table(spark, rows), hot_rows, slice_rows),
         ["period", "agent_id", "frame_id", "vx_mps", "vy_mps", "speed_mps", "ax_mps2", "ay_mps2",
          "accel_mps2"],
     )
@@ -116,11 +119,46 @@ def test_copies_and_ties_do_not_depend_on_the_plan(spark):
             for f, t, x in [(0, 0.0, 1.0), (1, 1.0, 4.0), (1, 1.0, 4.0), (1, 1.0, 4.0),
                             (2, 1.0, 5.0), (3, 2.0, 9.0), (4, 5.0, 9.0), (4, 5.0, 9.0)]]
     df = table(spark, rows)
-    usual, split = add_kinematics(df, None), add_kinematics(df, 0, 1.0)
+    usual, split = add_kinematics(df, None), add_kinematics(df, 0, 4)
     assert as_set(usual) == as_set(split)
     assert split.count() == 8
 
 
+def test_ties_in_other_columns_do_not_depend_on_the_plan(spark):
+    """Of rows tied in what orders a series one carries the values, also with extras such as maps."""
+    rows = [{"frame_id": int(t), "time_s": t, "x_m": 5 * t, "role": role}
+            for t in (0.0, 1.0, 2.0) for role in ("b", "a", None)]
+    df = table(spark, rows).withColumns({
+        "tags": F.create_map(F.lit("role"), "role"),
+        "any": F.expr("parse_json(concat('{\"f\": ', frame_id, '}'))"),
+        "extra name": F.length("role"),
+    })
+    usual, split = add_kinematics(df, None), add_kinematics(df, 0, 2)
+    assert usual.columns == split.columns
+    shown = ["time_s", "role", "vx_mps", "vy_mps", "ax_mps2"]
+    assert as_set(usual, shown) == as_set(split, shown)
+    moving = [(r.time_s, r.role) for r in usual.collect() if r.vx_mps is not None]
+    assert sorted(t for t, _ in moving) == [0.0, 1.0]
+    for r in split.collect():
+        assert r.tags == {"role": r.role}
+    shown = ["time_s", "x_m", "role"]
+    assert as_set(resample_tracking(df, 2.0, 1.0, None), shown) == as_set(
+        resample_tracking(df, 2.0, 1.0, 0, 2), shown
+    )
+
+
+def test_slices_follow_the_rows(spark):
+    """A merged feed of 45 minutes with most rows at one moment: no slice has too many."""
+    rows = spark.range(40_000).selectExpr(
+        "'m' AS match_id", "1 AS period", "'a' AS agent_id",
+        "CASE WHEN id % 4 = 0 THEN id * 0.0675D ELSE 100D END AS time_s", "id AS frame_id",
+        "id % 7 * 1D AS x_m", "0D AS y_m", "'f' AS source_file",
+    )
+    order = nulls_last(["match_id", "period", "agent_id", "time_s", "frame_id"])
+    sizes = [r["count"] for r in sliced(rows, order, 1000).groupBy("_slice").count().collect()]
+    assert sum(sizes) == 40_000 and max(sizes) <= 1000
+
+
 def test_infinite_positions_give_nulls_and_no_nan(spark):
     df = table(spark, [{"frame_id": i, "time_s": float(i), "x_m": x}
                        for i, x in enumerate([0.0, math.inf, math.inf, 3.0])])

@@ -96,8 +96,8 @@ def test_labels(spark):
     assert find_column(["a"], ["b"]) is None
 
 
-@pytest.mark.parametrize("hot_rows, slice_s", [(None, 1.0), (0, 2.0)])
-def test_frame_monotonicity(spark, hot_rows, slice_s):
+@pytest.mark.parametrize("hot_rows, slice_rows", [(None, 9), (0, 6)])
+def test_frame_monotonicity(spark, hot_rows, slice_rows):
     def series(agent, pairs):
         return [{"agent_id": agent, "time_s": t, "frame_id": f} for t, f in pairs]
 
@@ -110,7 +110,7 @@ def test_frame_monotonicity(spark, hot_rows, slice_s):
         + series("untimed", [(0.0, 5), (None, 3), (None, 4)])
         + series("untimed_up", [(0.0, 2), (None, 3), (None, 4)])
     ))
-    out = quality.frame_monotonicity(df, hot_rows, slice_s)
+    out = quality.frame_monotonicity(df, hot_rows, slice_rows)
     assert [r[2] for r in as_set(out)] == ["down", "tie_down", "untimed"]
     assert out.first().issue == "frame_id decreases"
 

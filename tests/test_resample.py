@@ -53,10 +53,10 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("hot_rows, slice_s", [(None, 1.0), (0, 0.5), (0, 3.0), (10, 1.0)])
-def test_resample_matches_pandas(spark, hot_rows, slice_s):
+@pytest.mark.parametrize("hot_rows, slice_rows", [(None, 9), (0, 3), (0, 40), (10, 7)])
+def test_resample_matches_pandas(spark, hot_rows, slice_rows):
     df = table(spark, rows())
-    out = resample_tracking(df, 10.0, 0.5, hot_rows, slice_s)
+    out = resample_tracking(df, 10.0, 0.5, hot_rows, slice_rows)
     assert out.columns == df.columns + [f"{c}_was_missing" for c in INTERPOLATED]
     got = as_set(out, ["agent_id", "time_s", "frame_id", "x_m", "x_m_was_missing", "team_id"])
     want = expected(rows(), 10.0, 0.5)
@@ -69,7 +69,7 @@ def test_copies_take_a_position_each(spark):
     series = [{"frame_id": 0, "time_s": 0.0, "x_m": 0.0}, {"frame_id": 5, "time_s": 1.0, "x_m": 9.0}]
     series += [{"frame_id": 2, "time_s": 0.5, "x_m": None}] * 3
     df = table(spark, series)
-    usual, split = resample_tracking(df, 4.0, 2.0, None), resample_tracking(df, 4.0, 2.0, 0, 0.5)
+    usual, split = resample_tracking(df, 4.0, 2.0, None), resample_tracking(df, 4.0, 2.0, 0, 3)
     assert as_set(usual) == as_set(split)
     assert [r.x_m for r in usual.orderBy("time_s", "x_m").collect()] == pytest.approx(
         [0.0, 1.5, 3.0, 4.5, 6.0, 7.5, 9.0])
