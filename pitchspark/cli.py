@@ -50,19 +50,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "ingest":
         try:
             done = jobs.ingest(spark, args.dataset, args.raw_dir, args.out_dir, args.match_id)
-        except FileNotFoundError as missing:
+        except (FileNotFoundError, ValueError) as missing:
             print(missing)
             return 1
         print(json.dumps(done))
     elif args.command == "features":
         print(json.dumps({"features": jobs.features(spark, args.tracking, args.out)}))
     elif args.command == "quality":
-        report = jobs.quality(spark, args.tracking)
-        print(json.dumps(report.summary.first().asDict()))
-        if args.out:
-            for part in ("frame_monotonicity", "coordinate_bounds", "out_of_bounds",
-                         "impossible_speeds", "missingness_by_agent", "summary"):
-                getattr(report, part).write.mode("overwrite").parquet(f"{args.out}/{part}.parquet")
+        summary = jobs.quality(spark, args.tracking, args.out)
+        print(json.dumps(summary.first().asDict()))
     else:
         cfg = WindowConfig(args.history_s, args.future_s, args.fps, args.max_agents,
                            args.stride_steps)

@@ -94,21 +94,8 @@ class QualityReport:
     summary: DataFrame
 
 
-def check_quality(
-    tracking: DataFrame, hot_rows: int | None = HOT_AGENT_ROWS
-) -> QualityReport:
-    """Report on frame order, pitch bounds, speeds and missing positions.
-
-    An existing ``speed_mps`` column is used; otherwise speeds are computed. Missing positions do
-    not count against ``ok``.
-    """
-    tracking = canonical_tracking(tracking)
-    hot = HotKeys(tracking, AGENT_KEYS, hot_rows)
-    moving = tracking if "speed_mps" in tracking.columns else add_kinematics(tracking, hot)
-    falls = frame_monotonicity(tracking, hot)
-    bounds = validate_pitch_bounds(tracking)
-    fast = impossible_speeds(moving)
-
+def summarised(falls: DataFrame, fast: DataFrame, bounds: DataFrame) -> DataFrame:
+    """One row from the parts of a report: the number of issues of each kind, and ``ok``."""
     def count(df: DataFrame, part: str) -> DataFrame:
         return df.agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "n", F.lit(True)
                                                       .alias("ok"))
@@ -124,7 +111,7 @@ def check_quality(
     def n(part: str) -> Column:
         return F.max(F.when(F.col("part") == part, F.col("n")))
 
-    summary = counts.agg(
+    return counts.agg(
         n("order").alias("frame_issues"),
         n("speed").alias("speed_issues"),
         n("bounds").alias("out_of_bounds_rows"),
@@ -136,6 +123,24 @@ def check_quality(
         ).alias("ok"),
         "frame_issues", "speed_issues", "out_of_bounds_rows",
     )
+
+
+def check_quality(
+    tracking: DataFrame, hot_rows: int | None = HOT_AGENT_ROWS
+) -> QualityReport:
+    """Report on frame order, pitch bounds, speeds and missing positions.
+
+    An existing ``speed_mps`` column is used; otherwise speeds are computed. Missing positions do
+    not count against ``ok``.
+    """
+    tracking = canonical_tracking(tracking)
+    hot = HotKeys(tracking, AGENT_KEYS, hot_rows)
+    moving = tracking if "speed_mps" in tracking.columns else add_kinematics(tracking, hot)
+    falls = frame_monotonicity(tracking, hot)
+    bounds = validate_pitch_bounds(tracking)
+    fast = impossible_speeds(moving)
+
     return QualityReport(
-        falls, bounds, out_of_bounds_rows(tracking), fast, missingness_by_agent(tracking), summary
+        falls, bounds, out_of_bounds_rows(tracking), fast, missingness_by_agent(tracking),
+        summarised(falls, fast, bounds),
     )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from pitchspark.operators.quality import QualityReport, check_quality
+from pitchspark.operators.quality import check_quality, summarised
 from pitchspark.operators.windows import WindowConfig, build_windows
 from pitchspark.plans.features import compute_features
 from pitchspark.sources import tables
@@ -45,8 +45,26 @@ def features(spark: SparkSession, tracking_path: str, out_path: str) -> str:
     )
 
 
-def quality(spark: SparkSession, tracking_path: str) -> QualityReport:
-    return check_quality(tables.read_tracking(spark, tracking_path))
+def quality(spark: SparkSession, tracking_path: str, out_dir: str | None = None) -> DataFrame:
+    """The summary of the quality report; with ``out_dir``, the parts are written there first, and
+    the summary is made of them."""
+    report = check_quality(tables.read_tracking(spark, tracking_path))
+    if out_dir is None:
+        return report.summary
+
+    def written(df: DataFrame, part: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{out_dir}/{part}.parquet")
+        return spark.read.schema(df.schema).parquet(f"{out_dir}/{part}.parquet")
+
+    parts = {
+        part: written(getattr(report, part), part)
+        for part in ("frame_monotonicity", "coordinate_bounds", "out_of_bounds",
+                     "impossible_speeds", "missingness_by_agent")
+    }
+    return written(
+        summarised(parts["frame_monotonicity"], parts["impossible_speeds"], parts["coordinate_bounds"]),
+        "summary",
+    )
 
 
 def export_windows(

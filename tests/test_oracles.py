@@ -2,6 +2,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from checks.compare import compare, connect
+from checks.oracles import all_oracles
+from checks.queries import all_queries
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -11,13 +13,14 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(all_oracles()))
 def test_query_matches_its_sql(spark, con, name):
     assert compare(spark, con, SF_DIR, name) is None
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(all_queries()) == set(all_oracles())
+    assert set(all_queries()) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
