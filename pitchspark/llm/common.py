@@ -57,8 +57,15 @@ def extended(schema: T.StructType, columns: str) -> T.StructType:
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """Number the rows. The numbers are the same in every scan as long as the rows come from the
-    same files in the same session, so give it a stored table, not the result of a shuffle."""
+    """Number the rows. Give it a stored table, not the result of a shuffle: the numbers are those
+    of the places in the splits of its files, and so the same in every scan of the session.
+
+    Spark makes the splits from sizes and, if it isn't told how many to make at least, from the
+    number of cores at the time; that would change with a lost executor, so it is told here.
+    """
+    spark, least = df.sparkSession, "spark.sql.files.minPartitionNum"
+    if spark.conf.get(least, None) is None:
+        spark.conf.set(least, str(spark.sparkContext.defaultParallelism))
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
