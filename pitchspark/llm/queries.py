@@ -140,14 +140,22 @@ WITH sized AS (
     max(CASE WHEN level * w <= cap THEN level END) OVER (), 'inf'::DOUBLE)) AS target
   FROM levels
 ), rated AS (
-  SELECT doc_id, size, source_size, target,
-    CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
-    ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
+  SELECT doc_id, sized.source, size, source_size, target,
+    CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate
   FROM sized JOIN goals ON sized.source IS NOT DISTINCT FROM goals.source
+), drawn AS (
+  SELECT *, ('0x' || substr(md5('mix' || i || ':' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT
+    / 4294967296.0::DOUBLE AS draw
+  FROM rated CROSS JOIN range(16) seeds(i)
+), taken AS (
+  SELECT *, (size * (floor(rate) + (draw < rate - floor(rate))::INT))::BIGINT AS taken FROM drawn
+), chosen AS (
+  SELECT source, arg_min(i, [off, i]) AS i FROM (
+    SELECT source, i, abs(sum(taken)::DOUBLE - target) AS off FROM taken GROUP BY source, i, target
+  ) GROUP BY source
 )
-SELECT doc_id, size, source_size, target,
-  (size * (floor(rate) + (draw < rate - floor(rate))::INT))::BIGINT AS taken
-FROM rated
+SELECT doc_id, size, source_size, target, taken
+FROM taken JOIN chosen ON taken.source IS NOT DISTINCT FROM chosen.source AND taken.i = chosen.i
 """
 
 EXACT_SQL = r"""
