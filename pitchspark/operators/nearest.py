@@ -2,47 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchspark.operators.skew import attach
+
 # Each level of the grid divides a cell into BRANCH x BRANCH.
 BRANCH = 4
-# The grid is refined until no cell holds more points than this, or doubles resolve no further.
+# The grid is refined until a cell holds about this many points of the largest group.
 CELL_POINTS = 64
-MAX_DEPTH = 13
+# Parts of equally many points that each axis is cut into; within a part, cells divide it evenly.
+PARTS = 128
+
+
+def _share(axis: str) -> Column:
+    """Where a value lies among its group's quantiles, from 0 to below 1, rising with the value."""
+    value, bounds = F.col(axis), F.col(f"_bounds_{axis}")
+    i = F.greatest(F.lit(1), F.least(F.lit(PARTS), F.size(F.filter(bounds, lambda b: b <= value))))
+    low, high = F.get(bounds, i - 1), F.get(bounds, i)
+    within = F.nanvl(F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0)), F.lit(0.0))
+    within = F.greatest(F.lit(0.0), F.least(F.lit(1.0), within))
+    return F.least((i - 1 + within) / F.lit(float(PARTS)), F.lit(1.0 - 2.0**-40))
+
+
+def _placed(points: DataFrame) -> DataFrame:
+    """Points with their place on either axis of the grid."""
+    at = F.lit([i / PARTS for i in range(PARTS + 1)])
+    bounds = points.groupBy("grp").agg(*[
+        F.percentile_approx(axis, at, 10 * PARTS).alias(f"_bounds_{axis}") for axis in ("x", "y")
+    ])
+    with_bounds = attach(points, bounds, ["grp"], False, F.struct("x", "y"), how="inner")
+    return with_bounds.select(*points.columns, _share("x").alias("_ux"), _share("y").alias("_uy"))
 
 
 def nearest_other(points: DataFrame) -> DataFrame:
     """For distinct points (grp, label, x, y), add ``distance`` to the nearest of another label.
 
     Points look only at others of their group. The search goes down a grid of cells shared by all
-    points of a group. At every level a point keeps the cells that can still hold its nearest
-    neighbour: a cell is out when even its closest corner is further than the furthest corner of
-    some other cell known to hold another label. No pair of points is formed above the last
-    level, where the cells left hold few points.
+    points of a group. The grid follows the points, along quantiles of each axis, so that stray
+    coordinates don't leave all others in one cell. At every level a point keeps the cells that can
+    still hold its nearest neighbour: a cell is out when even its closest corner is further than
+    the furthest corner of some other cell known to hold another label. No pair of points is formed
+    above the last level, where the cells left hold few points.
     """
-    extent = points.groupBy("grp").agg(
-        F.min("x").alias("_x0"), F.min("y").alias("_y0"),
-        F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("_side"),
-    )
-    placed = points.join(extent, "grp")
-    side = F.col("_side") * F.lit(1.0 + 1e-9)
-
-    def cell(axis: str, depth: int):
-        share = F.coalesce(F.try_divide(F.col(axis) - F.col(f"_{axis}0"), side), F.lit(0.0))
-        return F.floor(share * F.lit(float(BRANCH**depth))).cast("bigint")
+    placed = _placed(points)
+    largest = points.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
+    depth = max(1, math.ceil(math.log(max(1, largest / CELL_POINTS), BRANCH**2)))
 
     def at_depth(depth: int) -> DataFrame:
-        return placed.withColumns({"cx": cell("x", depth), "cy": cell("y", depth)})
-
-    depth = 1
-    while depth < MAX_DEPTH:
-        fullest = (
-            at_depth(depth).groupBy("grp", "cx", "cy").count().agg(F.max("count")).first()[0]
-        )
-        if fullest is None or fullest <= CELL_POINTS:
-            break
-        depth += 1
+        return placed.withColumns({
+            c: F.floor(F.col(u) * F.lit(float(BRANCH**depth))).cast("bigint")
+            for c, u in (("cx", "_ux"), ("cy", "_uy"))
+        })
 
     here = Window.partitionBy("grp", "label", "x", "y")
     candidates = points.withColumns({
@@ -54,9 +67,22 @@ def nearest_other(points: DataFrame) -> DataFrame:
             F.min("x").alias("_left"), F.max("x").alias("_right"),
             F.min("y").alias("_top"), F.max("y").alias("_bottom"),
         ).select(
-            "grp", F.col("cx").alias("_cx"), F.col("cy").alias("_cy"),
-            F.floor(F.col("cx") / BRANCH).alias("cx"), F.floor(F.col("cy") / BRANCH).alias("cy"),
-            "_low", "_high", "_left", "_right", "_top", "_bottom",
+            "grp", F.floor(F.col("cx") / BRANCH).alias("_px"), F.floor(F.col("cy") / BRANCH).alias("_py"),
+            F.struct(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"),
+                     "_low", "_high", "_left", "_right", "_top", "_bottom").alias("_cell"),
+        )
+        # A cell's parts are few, and are one row, which is copied for the one cell that all
+        # points of a group begin in.
+        parts = cells.groupBy("grp", F.col("_px").alias("cx"), F.col("_py").alias("cy")).agg(
+            F.collect_list("_cell").alias("_cells")
+        )
+        keys = ["grp", "cx", "cy"]
+        if level == 1:
+            candidates = attach(candidates, parts, keys, False, F.struct("x", "y"), how="inner")
+        else:
+            candidates = candidates.join(parts, keys)
+        candidates = candidates.withColumn("_cell", F.explode("_cells")).select(
+            "grp", "label", "x", "y", "_cell.*"
         )
         x, y = F.col("x"), F.col("y")
         near_x = F.greatest(F.col("_left") - x, x - F.col("_right"), F.lit(0.0))
@@ -64,8 +90,7 @@ def nearest_other(points: DataFrame) -> DataFrame:
         far_x = F.greatest(F.abs(x - F.col("_left")), F.abs(x - F.col("_right")))
         far_y = F.greatest(F.abs(y - F.col("_top")), F.abs(y - F.col("_bottom")))
         candidates = (
-            candidates.join(cells, ["grp", "cx", "cy"])
-            .where((F.col("_low") != F.col("label")) | (F.col("_high") != F.col("label")))
+            candidates.where((F.col("_low") != F.col("label")) | (F.col("_high") != F.col("label")))
             .withColumns({
                 "_near": near_x * near_x + near_y * near_y,
                 "_far": far_x * far_x + far_y * far_y,

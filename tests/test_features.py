@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitchspark.operators import frames
+from pitchspark.operators import frames, nearest
 from pitchspark.operators.kinematics import add_kinematics
 from pitchspark.operators.nearest import nearest_other
 from pitchspark.operators.resample import resample_tracking
@@ -147,6 +147,22 @@ def test_ties_in_other_columns_do_not_depend_on_the_plan(spark):
     )
 
 
+def test_cells_follow_the_points(spark):
+    """Stray coordinates leave the other points in small cells, and the distances right."""
+    rng = np.random.default_rng(21)
+    points = [(0, int(i % 2), float(x), float(y))
+              for i, (x, y) in enumerate(rng.uniform(0, 100, (2000, 2)))]
+    points += [(0, 0, 1e12, 5.0), (0, 1, 3.0, -1e12), (1, 0, 1.0, 1.0), (1, 1, 4.0, 5.0)]
+    df = spark.createDataFrame(points, "grp int, label int, x double, y double")
+    cells = nearest._placed(df).selectExpr("grp", "floor(_ux * 16) cx", "floor(_uy * 16) cy")
+    assert max(r["count"] for r in cells.groupBy("grp", "cx", "cy").count().collect()) < 40
+    at = np.array(points)
+    for r in nearest_other(df).collect():
+        others = at[(at[:, 0] == r.grp) & (at[:, 1] != r.label)]
+        want = np.hypot(others[:, 2] - r.x, others[:, 3] - r.y).min()
+        assert r.distance == pytest.approx(want)
+
+
 def test_slices_follow_the_rows(spark):
     """A merged feed of 45 minutes with most rows at one moment: no slice has too many."""
     rows = spark.range(40_000).selectExpr(
