@@ -39,7 +39,7 @@ def write_tokens(
     end_id: int | None = None,
     stripe_bytes: int = STRIPE_BYTES,
     index_rows: int = INDEX_ROWS,
-    compression: str = "zlib",
+    compression: str = "snappy",
 ) -> None:
     """Encode the whole text of every row by the tokenizer's file and write the ids.
 
