@@ -3,59 +3,186 @@
 The tokenizers used here never look across a space that stands between two other characters, so a
 text's ids are those of its parts between spaces, one after the other. Each part is encoded once
 and kept; a text with runs of white space that could be joined across such a cut is encoded whole.
+Single line breaks part words too, as few words after one would be met again with the word before.
+
+Most parts are letters with marks after them. Byte-level tokenizers split those in the same way,
+so the library's model is called for letters and marks on their own, past its normalising and
+splitting; whether that gives the same ids is tried when a tokenizer is loaded.
 """
 
 from __future__ import annotations
 
 import os
+import random
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
-# Parts kept by one Python worker before it starts again with none: about 150 MB.
-CACHED_PARTS = 600_000
+# Parts that one Python worker keeps in each of two generations, and pieces of parts: in all about
+# 150 MB. More are no faster, as they fit the processor's caches less.
+CACHED_PARTS = 120_000
+CACHED_PIECES = 150_000
 # Characters that are encoded at a time.
 CHUNK_CHARS = 1_000_000
 # The characters that the tokenizers' \s matches.
 _SPACE = "\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNSAFE = re.compile(f"[{_SPACE}] (?:[{_SPACE}]|$)")
+# Line breaks that aren't between two other characters.
+_LOOSE_BREAK = re.compile(f"(?:^|[{_SPACE}])\n|\n(?:[{_SPACE}]|$)")
 _CUT = re.compile(f"(?<=[^{_SPACE}]) (?=[^{_SPACE}])")
+# Letters of one code point in any normal form, then marks that belong to no special token.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_SIMPLE = re.compile(rf"([{_LETTERS}]*)([!#$%&()*+,\-./:;=?@\[\]^_{{}}~\"]*)")
+
+
+def _parts_of(text: str) -> list:
+    """What stands between single spaces; a part after a line break begins with it."""
+    if "\n" not in text:
+        return text.split(" ")
+    if not _LOOSE_BREAK.search(text):
+        return text.replace("\n", " \n").split(" ")
+    first, *rest = text.split(" ")
+    return [first, *[(f" {p}",) if p[:1] == "\n" else p for p in rest]]
 
 
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.line_break = self._whole("\n")
+        self.lower = self._whole("A") == self._whole("a")
+        self.spaces = self._whole(" a") != self._whole("a")
+        self.space = self.bytes.pre_tokenize_str(" ")[0][0]
+        self.pieces: dict[str, list[int]] = {}
+        self.simple = self._simple_works()
+        self.code: dict = {}
         self._clear()
 
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _simple_works(self) -> bool:
+        rng = random.Random(1)
+        letters = [chr(c) for c in range(0x41, 0x100) if re.match(f"[{_LETTERS}]", chr(c))]
+        marks = [chr(c) for c in range(0x21, 0x7F) if _SIMPLE.fullmatch(chr(c)) and not chr(c).isalpha()]
+        for i in range(600):
+            kinds = letters[:52] if i % 2 else letters
+            text = "".join(rng.choices(kinds, k=i % 9) + rng.choices(marks, k=i % 4))
+            for spaced in (False, True) if text else ():
+                ids = self._simple_ids(text, spaced)
+                if ids != self._whole(" " * spaced + text):
+                    return False
+                if not spaced and self._whole(f"a\n{text}") != self._whole("a") + self.line_break + ids:
+                    return False
+        return True
+
+    def _piece(self, piece: str) -> list[int]:
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) > CACHED_PIECES:
+                self.pieces.clear()
+            # The library's own names of bytes; ASCII letters and marks are named by themselves.
+            mapped = piece if piece.isascii() and piece[0] != " " else self._mapped(piece)
+            found = self.pieces[piece] = [t.id for t in self.model.tokenize(mapped)]
+        return found
+
+    def _mapped(self, piece: str) -> str:
+        if piece.isascii():
+            return self.space + piece[1:]
+        return self.bytes.pre_tokenize_str(piece)[0][0]
+
+    def _simple_ids(self, part: str, spaced: bool) -> list[int] | None:
+        """Ids of a part of letters and marks; None for another."""
+        match = _SIMPLE.fullmatch(part)
+        if match is None:
+            return None
+        letters, marks = match.groups()
+        if self.lower:
+            letters = letters.lower()
+        space = " " if spaced and self.spaces else ""
+        if not letters:
+            return self._piece(space + marks) if marks else None
+        ids = self._piece(space + letters)
+        return ids + self._piece(marks) if marks else ids
+
     def _clear(self) -> None:
-        self.code: dict = {}
+        """Start a generation; what the one before has is taken over when it is met."""
+        if self.code:
+            self.old = (self.code, self.ids, self.ends)
+        else:
+            self.old = ({}, None, None)
+        self.code = {}
         self.ids = np.zeros(1 << 16, dtype=np.int32)
         self.ends = np.zeros(1 << 14, dtype=np.int64)
         self.used = 0
 
     def _add(self, keys: list) -> None:
-        """Encode parts not met before. A tuple holds a part at the start of a text, without a
-        space before it."""
-        texts = [k[0] if isinstance(k, tuple) else f" {k}" for k in keys]
-        for key, found in zip(
-            keys, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True
-        ):
-            ids, n = found.ids, len(self.code)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            if n + 1 >= len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.ends[n + 1] = self.used
-            self.code[key] = n
+        """Keep the ids of parts not met before. A tuple holds a part at the start of a text,
+        without a space before it, and one that begins with a line break had none before that."""
+        old, ids, ends = self.old
+        found: list = []
+        others = []
+        match, pieces, lower, simple = _SIMPLE.fullmatch, self.pieces.get, self.lower, self.simple
+        space = " " if self.spaces else ""
+        line_break = self.line_break
+        for key in keys:
+            if key in old:
+                at = old[key]
+                found.append(ids[ends[at] : ends[at + 1]].tolist())
+                continue
+            if type(key) is tuple:
+                known = self._simple_ids(key[0], False) if simple else None
+                if known is None:
+                    others.append((len(found), key[0]))
+                found.append(known)
+                continue
+            if key[:1] == "\n":
+                known = self._simple_ids(key[1:], False) if simple else None
+                if known is None:
+                    others.append((len(found), key))
+                else:
+                    known = line_break + known
+                found.append(known)
+                continue
+            # As in _simple_ids, without the calls.
+            cut = match(key) if simple else None
+            letters, marks = cut.groups() if cut else ("", "")
+            if letters:
+                letters = space + (letters.lower() if lower else letters)
+                known = pieces(letters) or self._piece(letters)
+                if marks:
+                    known = known + (pieces(marks) or self._piece(marks))
+            elif marks:
+                known = self._piece(space + marks)
+            else:
+                known = None
+                others.append((len(found), f" {key}"))
+            found.append(known)
+        texts = [text for _, text in others]
+        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        for (place, _), one in zip(others, made, strict=True):
+            found[place] = one.ids
+        n = len(self.code)
+        self.code.update(zip(keys, range(n, n + len(keys)), strict=True))
+        after = self.used + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        total = int(after[-1]) - self.used
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(keys) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[self.used : self.used + total] = np.fromiter(
+            chain.from_iterable(found), np.int32, total
+        )
+        self.ends[n + 1 : n + 1 + len(keys)] = after
+        self.used += total
 
     def _parts(self, parts: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all parts in a row, and the number of ids of each."""
@@ -89,7 +216,7 @@ class Encoder:
                 waiting, sizes, held = [], [], 0
                 yield self._long(text)
                 continue
-            parts: list = text.split(" ")
+            parts = _parts_of(text)
             parts[0] = (parts[0],)
             waiting += parts
             sizes.append(len(parts))
@@ -110,7 +237,7 @@ class Encoder:
                 ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
                 found.append(np.asarray(ids, dtype=np.int32))
             else:
-                parts: list = piece.split(" ")
+                parts = _parts_of(piece)
                 if at == 0:
                     parts[0] = (parts[0],)
                 else:
