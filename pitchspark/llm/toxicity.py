@@ -33,7 +33,7 @@ EPOCHS = 5
 # Share of words left out of a training step.
 LEFT_OUT = 0.3
 # Labelled documents of each class to learn from, and words of the longest of them.
-PER_CLASS = 4000
+PER_CLASS = 1500
 TRAIN_WORDS = 20_000
 # Words that are scored at a time.
 _WORDS = 1 << 16
@@ -54,7 +54,7 @@ def word_ids(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
     kept for places outside of the text."""
     place = np.searchsorted(known, hashes)
     found = known[np.minimum(place, len(known) - 1)] == hashes
-    return np.where(found, place + 2, 1)
+    return np.where(found, place + 2, 1).astype(np.int32)
 
 
 @dataclass
@@ -84,7 +84,7 @@ class Model:
 
 def _joined(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All words in a row, with empty places after each document, and where documents start."""
-    gap = np.zeros(max(WIDTHS), dtype=np.int64)
+    gap = np.zeros(max(WIDTHS), dtype=np.int32)
     starts = np.cumsum([0, *[len(d) + len(gap) for d in docs[:-1]]])
     return np.concatenate([x for d in docs for x in (d, gap)]), starts
 
@@ -124,20 +124,23 @@ def train(hashes: list[np.ndarray], label: np.ndarray, epochs: int, seed: int =
     """The network without its calibration, from the word hashes of each document."""
     rng = np.random.default_rng(seed)
     each = [np.unique(h) for h in hashes]
-    owner = np.repeat(np.arange(len(each)), [len(h) for h in each])
-    every, place, times = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+    every, times = np.unique(np.concatenate(each), return_counts=True)
     # There is always a known hash, so that places can be looked up.
     use = times >= MIN_DOCUMENTS if (times >= MIN_DOCUMENTS).any() else times > 0
     if not len(every):
         every, use, times = np.zeros(1, np.uint32), np.ones(1, bool), np.zeros(1, int)
     known = every[use]
-    up = np.bincount(place, weights=label[owner], minlength=len(every))[use]
+    up = np.zeros(len(known))
+    for h, y in zip(each, label, strict=True):
+        # Each hash is once in a document's.
+        up[np.searchsorted(known, h[np.isin(h, known)])] += y
+    del each
     chance = times[use] * label.mean()
-    embedding = rng.normal(0, 0.02, (len(known) + 2, DIMENSIONS))
+    embedding = 0.02 * rng.standard_normal((len(known) + 2, DIMENSIONS), dtype=np.float32)
     embedding[2:, 0] = np.clip((up - chance) / np.sqrt(chance + 1) / 4, -1, 3)
     docs = [word_ids(h, known) for h in hashes]
     model = Model(
-        embedding=embedding.astype(np.float32),
+        embedding=embedding,
         known=known,
         filters=[
             rng.normal(0, 1 / np.sqrt(w * DIMENSIONS), (w, DIMENSIONS, FILTERS)).astype(np.float32)
