@@ -3,7 +3,6 @@
 The tokenizers used here never look across a space that stands between two other characters, so a
 text's ids are those of its parts between spaces, one after the other. Each part is encoded once
 and kept; a text with runs of white space that could be joined across such a cut is encoded whole.
-Single line breaks part words too, as few words after one would be met again with the word before.
 
 Most parts are letters with marks after them. Byte-level tokenizers split those in the same way,
 so the library's model is called for letters and marks on their own, past its normalising and
@@ -29,24 +28,12 @@ CHUNK_CHARS = 1_000_000
 # The characters that the tokenizers' \s matches.
 _SPACE = "\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNSAFE = re.compile(f"[{_SPACE}] (?:[{_SPACE}]|$)")
-# Line breaks that aren't between two other characters.
-_LOOSE_BREAK = re.compile(f"(?:^|[{_SPACE}])\n|\n(?:[{_SPACE}]|$)")
 _CUT = re.compile(f"(?<=[^{_SPACE}]) (?=[^{_SPACE}])")
 # Letters of one code point in any normal form, then marks that belong to no special token.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _SIMPLE = re.compile(rf"([{_LETTERS}]*)([!#$%&()*+,\-./:;=?@\[\]^_{{}}~\"]*)")
 
 
-def _parts_of(text: str) -> list:
-    """What stands between single spaces; a part after a line break begins with it."""
-    if "\n" not in text:
-        return text.split(" ")
-    if not _LOOSE_BREAK.search(text):
-        return text.replace("\n", " \n").split(" ")
-    first, *rest = text.split(" ")
-    return [first, *[(f" {p}",) if p[:1] == "\n" else p for p in rest]]
-
-
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -57,7 +44,6 @@ class Encoder:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.line_break = self._whole("\n")
         self.lower = self._whole("A") == self._whole("a")
         self.spaces = self._whole(" a") != self._whole("a")
         self.space = self.bytes.pre_tokenize_str(" ")[0][0]
@@ -77,10 +63,7 @@ class Encoder:
             kinds = letters[:52] if i % 2 else letters
             text = "".join(rng.choices(kinds, k=i % 9) + rng.choices(marks, k=i % 4))
             for spaced in (False, True) if text else ():
-                ids = self._simple_ids(text, spaced)
-                if ids != self._whole(" " * spaced + text):
-                    return False
-                if not spaced and self._whole(f"a\n{text}") != self._whole("a") + self.line_break + ids:
+                if self._simple_ids(text, spaced) != self._whole(" " * spaced + text):
                     return False
         return True
 
@@ -126,13 +109,12 @@ class Encoder:
 
     def _add(self, keys: list) -> None:
         """Keep the ids of parts not met before. A tuple holds a part at the start of a text,
-        without a space before it, and one that begins with a line break had none before that."""
+        without a space before it."""
         old, ids, ends = self.old
         found: list = []
         others = []
         match, pieces, lower, simple = _SIMPLE.fullmatch, self.pieces.get, self.lower, self.simple
         space = " " if self.spaces else ""
-        line_break = self.line_break
         for key in keys:
             if key in old:
                 at = old[key]
@@ -144,14 +126,6 @@ class Encoder:
                     others.append((len(found), key[0]))
                 found.append(known)
                 continue
-            if key[:1] == "\n":
-                known = self._simple_ids(key[1:], False) if simple else None
-                if known is None:
-                    others.append((len(found), key))
-                else:
-                    known = line_break + known
-                found.append(known)
-                continue
             # As in _simple_ids, without the calls.
             cut = match(key) if simple else None
             letters, marks = cut.groups() if cut else ("", "")
@@ -216,7 +190,7 @@ class Encoder:
                 waiting, sizes, held = [], [], 0
                 yield self._long(text)
                 continue
-            parts = _parts_of(text)
+            parts: list = text.split(" ")
             parts[0] = (parts[0],)
             waiting += parts
             sizes.append(len(parts))
@@ -237,7 +211,7 @@ class Encoder:
                 ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
                 found.append(np.asarray(ids, dtype=np.int32))
             else:
-                parts = _parts_of(piece)
+                parts: list = piece.split(" ")
                 if at == 0:
                     parts[0] = (parts[0],)
                 else:
