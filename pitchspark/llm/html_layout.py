@@ -6,6 +6,12 @@ the table parts around them, and what stands in a table outside of cells moves i
 the visible part of the tree is rendered: blocks on lines of their own, paragraphs and the like with
 an empty line between them, list items with a bullet or number and indented, preformatted text as
 it is, and table cells in aligned columns.
+
+Hidden is what an attribute or a style sheet hides by display or visibility on a screen. Of a style
+sheet count the rules for a tag, classes and an id of one element, without combinators and pseudo
+classes; the last of the most specific ones wins, important ones first. Bodies of at-rules count if
+they hold for a screen of ``SCREEN`` size (media) or always (supports, layer). The text of drawings
+and formulas is emitted, but not their titles, definitions and annotations.
 """
 
 from __future__ import annotations
@@ -22,6 +28,8 @@ from pitchspark.llm.common import extended, fresh
 
 # Widest table column that cells are aligned to; longer cells move what follows them.
 COLUMN_WIDTH = 80
+# Width and height in CSS pixels that media queries are held against.
+SCREEN = (1280, 800)
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,8 +45,22 @@ IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script st
 IN_TABLE = frozenset("caption colgroup col thead tbody tfoot tr td th script style template".split())
 NEVER_SHOWN = frozenset(
     "head script style template noscript title meta link datalist iframe noembed noframes object "
-    "audio video canvas svg math rp area base param source track col colgroup map".split()
+    "audio video canvas rp area base param source track col colgroup map".split()
+)
+# In drawings; their text stands in <text> only.
+NEVER_DRAWN = frozenset(
+    "desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter".split()
+)
+NEVER_IN_FORMULAS = frozenset("annotation annotation-xml".split())
+# Parts of a formula that stand apart.
+APART = frozenset("mfrac msub msup msubsup munder mover munderover mroot mmultiscripts mtr mtable".split())
+# Start tags that end a drawing or formula.
+ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li "
+    "listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
 )
+# In which HTML may stand.
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 # With an empty line around them, and only on lines of their own.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre table figure fieldset hr xmp".split())
 BLOCKS = SPACED | frozenset(
@@ -71,10 +93,25 @@ WALLS = frozenset("table td th caption html template".split())
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"(\.|#|)(-?[a-zA-Z_][\w-]*)")
-_HIDES = re.compile(r"(?:^|[;\s{])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_COMMENT = re.compile(r"/\*.*?\*/", re.S)
+_SELECTOR = re.compile(r"([a-zA-Z][\w-]*)?((?:[.#]-?[a-zA-Z_][\w-]*)*)")
+_PART = re.compile(r"[.#][\w-]+")
+_DECLARATION = re.compile(
+    r"\s*(?:(display)\s*:\s*(none|block|contents|list-item|flow(?:-root)?|run-in|(?:inline|block|ruby|table|flex|grid)"
+    r"[a-z -]*|initial|inherit|unset|revert(?:-layer)?)|(visibility)\s*:\s*(visible|hidden|collapse|initial|inherit"
+    r"|unset|revert(?:-layer)?))\s*(!\s*important)?\s*", re.I
+)
+_CLOSES_ITSELF = re.compile(r"""(?:^|["'\s]|(?:^|\s)[^\s"'=]+)/$""")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+_STRING = re.compile(r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'""", re.S)
+_AT_RULE = re.compile(r"@([\w-]*)\s*(.*)", re.S)
+_LENGTH = re.compile(r"([+-]?(?:\d+\.?\d*|\.\d+))(px|em|rem|pt|pc|in|cm|mm|q|)")
+_UNITS = {"px": 1, "": 1, "em": 16, "rem": 16, "pt": 4 / 3, "pc": 16, "in": 96, "cm": 96 / 2.54, "mm": 9.6 / 2.54, "q": 2.4 / 2.54}
+_OF_SCREEN = {
+    "orientation": ("landscape",), "prefers-color-scheme": ("light",), "prefers-reduced-motion": ("no-preference",),
+    "prefers-contrast": ("no-preference",), "hover": ("hover",), "any-hover": ("hover",), "pointer": ("fine",),
+    "any-pointer": ("fine", "coarse"), "scripting": ("enabled",), "update": ("fast",), "grid": ("0",),
+    "display-mode": ("browser",), "forced-colors": ("none",), "color": (),
+}
 
 
 class Node:
@@ -125,7 +162,19 @@ class _Builder:
                 self._pop_to(len(self.open) - 1)
             self.open[-1].kids.append(text)
 
+    def foreign(self) -> int:
+        """The place of the drawing or formula whose parts come next, 0 if HTML does."""
+        if self.depth["svg"] or self.depth["math"]:
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i].tag in ("svg", "math"):
+                    return i
+                if self.open[i].tag in HOLDS_HTML:
+                    return 0
+        return 0
+
     def start(self, tag: str, attrs: dict[str, str]) -> None:
+        if tag in ENDS_FOREIGN and (place := self.foreign()):
+            self._pop_to(place)
         if tag in ("html", "body"):
             if self.open[-1].tag == "head":
                 self._pop_to(len(self.open) - 1)
@@ -228,7 +277,11 @@ def parse(html: str) -> tuple[Node, list[str]]:
         if match[3]:
             for name, *values in _ATTRIBUTE.findall(match[3]):
                 attrs.setdefault(name.lower(), unescape(next(filter(None, values), "")))
+        foreign = build.foreign()
         build.start(tag, attrs)
+        if (foreign or tag in ("svg", "math")) and _CLOSES_ITSELF.search(match[3]):
+            build.end(tag)
+            continue
         if tag in RAW or tag in ESCAPABLE:
             if lower is None:
                 lower = html.lower()
@@ -237,7 +290,7 @@ def parse(html: str) -> tuple[Node, list[str]]:
             end = len(html) if tag == "plaintext" else lower.find(f"</{tag}", at)
             end = len(html) if end < 0 else end
             text = html[at:end]
-            if tag == "style":
+            if tag == "style" and on_screen(attrs.get("media", "")):
                 build.rules.append(text)
             if text and build.open[-1].tag == tag:
                 build.open[-1].kids.append(unescape(text) if tag in ESCAPABLE else text)
@@ -247,33 +300,184 @@ def parse(html: str) -> tuple[Node, list[str]]:
     return build.root, build.rules
 
 
-def hidden_selectors(sheets: list[str]) -> set[str]:
-    """Selectors of one tag, class or id whose rule hides what they match."""
-    found = set()
-    for sheet in sheets:
-        for selectors, body in _RULE.findall(_COMMENT.sub(" ", sheet)):
-            if _HIDES.search(body):
-                for one in selectors.split(","):
-                    if _SIMPLE.fullmatch(one.strip()):
-                        found.add(one.strip())
+def _feature(text: str) -> bool | None:
+    """Whether a media feature holds for the screen; None if it isn't known."""
+    text = text.strip().lower()
+    sides = re.split(r"\s*(<=|>=|<|>|=|:)\s*", text)
+    if len(sides) == 1:
+        return True if text in ("width", "height", *_OF_SCREEN) and text != "grid" else None
+    if sides[1] == ":":
+        name, value = sides[0], "".join(sides[2:]).strip()
+        if name in _OF_SCREEN:
+            return value in _OF_SCREEN[name]
+        kind = {"min": ">=", "max": "<="}.get(name[:3])
+        sides = [name[4:], kind, value] if kind and name[3:4] == "-" else [name, "=", value]
+    numbers = []
+    for side in sides[::2]:
+        side = side.removeprefix("device-")
+        found = _LENGTH.fullmatch(side)
+        if side in ("width", "height"):
+            numbers.append(SCREEN[side == "height"])
+        elif found and (found[2] or float(found[1]) == 0):
+            numbers.append(float(found[1]) * _UNITS[found[2]])
+        else:
+            return None
+    compare = {"<": float.__lt__, "<=": float.__le__, ">": float.__gt__, ">=": float.__ge__, "=": float.__eq__}
+    return all(compare[c](float(x), float(y)) for x, c, y in zip(numbers, sides[1::2], numbers[1:]))
+
+
+def _condition(tokens: list[str]) -> bool | None:
+    """Of media types and features in brackets, with not, and, or; takes its tokens away."""
+    found, how, negate = None, None, False
+    while tokens:
+        token = tokens.pop(0)
+        if token == ")":
+            break
+        if token == "(":
+            if tokens and tokens[0] not in ("(", "not") and not tokens[0].startswith("not "):
+                value, closed = _feature(tokens.pop(0)), tokens and tokens.pop(0)
+                value = value if closed in (")", []) else None
+            else:
+                value = _condition(tokens)
+        elif token in ("and", "or"):
+            how = token
+            continue
+        elif token in ("not", "only"):
+            negate ^= token == "not"
+            continue
+        else:
+            value = token in ("all", "screen")
+        if negate and how is None and tokens and tokens[0] == "and":
+            # not <type> and ... negates all of it.
+            rest = _condition(["all", *tokens])
+            tokens.clear()
+            value = value and rest
+        if negate:
+            value, negate = None if value is None else not value, False
+        if how is None:
+            found = value
+        elif how == "and":
+            found = False if False in (found, value) else None if None in (found, value) else True
+        else:
+            found = True if True in (found, value) else None if None in (found, value) else False
+    return found
+
+
+def on_screen(media: str) -> bool:
+    """Whether a list of media queries holds for the screen; one that isn't understood doesn't."""
+    media = _COMMENT.sub(" ", media).strip().lower()
+    if not media:
+        return True
+    for query in media.split(","):
+        tokens = []
+        for part in re.split(r"([()])", query):
+            if part.strip():
+                inside = bool(tokens) and tokens[-1] == "(" and not re.match(r"\s*not\b", part)
+                tokens += [part.strip()] if inside else part.split()
+        if _condition(tokens):
+            return True
+    return False
+
+
+def _declared(body: str) -> dict[str, tuple[bool, str]]:
+    """Display and visibility as a list of declarations has them, with their importance."""
+    found = {}
+    if "display" in (lower := body.lower()) or "visibility" in lower:
+        for one in body.split(";"):
+            if match := _DECLARATION.fullmatch(one):
+                name, value = (match[1] or match[3]).lower(), (match[2] or match[4]).lower()
+                if match[5] or not found.get(name, (False,))[0]:
+                    found[name] = bool(match[5]), value
     return found
 
 
-def _shown(node: Node, hidden: set[str]) -> bool:
+Rules = dict[str, list[tuple[tuple, str, frozenset, dict]]]
+
+
+def rules_of(sheets: list[str]) -> Rules:
+    """Rules on display and visibility, by one part of their selectors: precedence without the
+    importance, tag, other parts and declarations."""
+    rules: Rules = {}
+    for sheet in sheets:
+        sheet = _STRING.sub('""', _COMMENT.sub(" ", sheet))
+        lower = sheet.lower()
+        if "display" not in lower and "visibility" not in lower:
+            continue
+        # Whether the blocks around are read, and where the prelude or declaration begins.
+        blocks, at, skip = [], 0, 0
+        for mark in re.finditer(r"[{};]", sheet):
+            text, at = sheet[at : mark.start()].strip(), mark.end()
+            if mark[0] == "{":
+                if skip or (blocks and blocks[-1] is not None):
+                    skip += 1  # in what isn't read, and rules in rules
+                elif text.startswith("@"):
+                    name, rest = _AT_RULE.match(text).groups()
+                    name = name.lower()
+                    if name == "media" and on_screen(rest) or name == "layer" or (
+                        name == "supports" and not rest.lower().startswith("not")
+                    ):
+                        blocks.append(None)
+                    else:
+                        skip += 1
+                else:
+                    blocks.append((text, []))
+            elif skip:
+                skip -= mark[0] == "}"
+            elif blocks and blocks[-1] is not None:
+                blocks[-1][1].append(text)
+                if mark[0] == "}":
+                    _add_rule(rules, *blocks.pop())
+            elif mark[0] == "}" and blocks:
+                blocks.pop()
+        if blocks and blocks[-1] is not None:  # never closed
+            selectors, body = blocks.pop()
+            _add_rule(rules, selectors, [*body, sheet[at:] if not skip else ""])
+    return rules
+
+
+def _add_rule(rules: Rules, selectors: str, body: list[str]) -> None:
+    declared = _declared(";".join(body))
+    if not declared:
+        return
+    order = sum(map(len, rules.values()))
+    for one in selectors.split(","):
+        match = _SELECTOR.fullmatch(one.strip())
+        if match and match[0]:
+            tag, parts = (match[1] or "").lower(), _PART.findall(match[2])
+            ids = sum(x[0] == "#" for x in parts)
+            rank = (0, ids, len(parts) - ids, bool(tag), order)
+            rules.setdefault(parts[0] if parts else tag, []).append((rank, tag, frozenset(parts), declared))
+
+
+def _seen(node: Node, rules: Rules, visible: bool) -> bool | None:
+    """Whether an element is visible, if its parent is or isn't; None if it goes with all in it."""
     tag, attrs = node.tag, node.attrs
     if tag in NEVER_SHOWN:
-        return False
-    if attrs:
-        if "hidden" in attrs or "style" in attrs and _HIDES.search(attrs["style"]):
-            return False
-        if tag == "input" and attrs.get("type", "").lower() not in ("submit", "button", "reset"):
-            return False
-        if hidden and (
-            f"#{attrs.get('id')}" in hidden
-            or any(f".{c}" in hidden for c in attrs.get("class", "").split())
-        ):
-            return False
-    return tag not in hidden and (tag != "dialog" or "open" in attrs)
+        return None
+    if tag == "input" and attrs.get("type", "").lower() not in ("submit", "button", "reset"):
+        return None
+    best = {}
+    if "hidden" in attrs or tag == "dialog" and "open" not in attrs:
+        best["display"] = (False, (-1,)), "none"
+    found = [((1,), _declared(attrs["style"]))] if "style" in attrs else []
+    if rules:
+        own = {f".{c}" for c in attrs.get("class", "").split()}
+        if "id" in attrs:
+            own.add(f"#{attrs['id']}")
+        for key in (tag, *own):
+            for rank, of, parts, declared in rules.get(key, ()):
+                if of in ("", tag) and parts <= own:
+                    found.append((rank, declared))
+    for rank, declared in found:
+        for name, (important, value) in declared.items():
+            if name not in best or (important, rank) >= best[name][0]:
+                best[name] = (important, rank), value
+    if best.get("display", (0, ""))[1] == "none":
+        return None
+    value = best.get("visibility", (0, ""))[1]
+    if value in ("visible", "initial"):
+        return True
+    return visible and value not in ("hidden", "collapse")
 
 
 class _Flow:
@@ -372,25 +576,40 @@ def _table(rows: list[list[tuple[int, int, list[str]]]], caption: list[str]) ->
     return out
 
 
-def render(root: Node, hidden: set[str]) -> str:
+def render(root: Node, rules: Rules) -> str:
     """The text of all that is visible in a tree."""
     flow, flows, tables, lists, pre = _Flow(), [], [], [], 0
-    work: list[tuple[Node | str, bool]] = [(root, False)]
+    # With whether it is left, whether what is around it is visible, and if that is a drawing, its
+    # text, or a formula.
+    work: list[tuple[Node | str, bool, bool, str]] = [(root, False, True, "")]
     while work:
-        node, leaving = work.pop()
+        node, leaving, visible, within = work.pop()
         if isinstance(node, str):
-            if node:
+            if node and visible and within != "svg":
                 flow.exact(node) if pre else flow.text(node)
             continue
         tag = node.tag
         if not leaving:
-            if not _shown(node, hidden):
+            if node.attrs or rules or tag in NEVER_SHOWN or tag == "dialog":
+                visible = _seen(node, rules, visible)
+                if visible is None:
+                    continue
+            if within in ("svg", "text") and tag in NEVER_DRAWN or within == "math" and tag in NEVER_IN_FORMULAS:
                 continue
+            if tag in ("svg", "math"):
+                within = tag
+            elif within == "svg" and tag in ("text", "foreignobject"):
+                flow.text(" ")
+                within = "text" if tag == "text" else ""
+            elif within == "math" and node.parent.tag in APART:
+                flow.text(" ")
             if tag == "br":
-                flow.line(keep=True)
+                if visible:
+                    flow.line(keep=True)
                 continue
             if tag == "input":
-                flow.text(f" {node.attrs.get('value', '')} ")
+                if visible:
+                    flow.text(f" {node.attrs.get('value', '')} ")
                 continue
             if tag in BLOCKS:
                 flow.block(tag in SPACED and not (tag in LISTS and lists))
@@ -403,17 +622,17 @@ def render(root: Node, hidden: set[str]) -> str:
                 tables[-1][0].append([])
             elif tag in ("pre", "textarea"):
                 pre += 1
-            elif tag == "q":
+            elif tag == "q" and visible:
                 flow.now.append('"')
             if tag in ("li", "td", "th", "blockquote", "dd", "table", "caption"):
                 flows.append((flow, lists, pre))
                 flow, pre = _Flow(), 0
                 lists = lists if tag == "li" else []
-            work.append((node, True))
+            work.append((node, True, visible, within))
             kids = node.kids
             if tag == "details" and "open" not in node.attrs:
                 kids = [k for k in kids if isinstance(k, Node) and k.tag == "summary"][:1]
-            work.extend((kid, False) for kid in reversed(kids))
+            work.extend((kid, False, visible, within) for kid in reversed(kids))
             continue
         if tag in ("li", "td", "th", "blockquote", "dd", "table", "caption"):
             lines = flow.done()
@@ -445,8 +664,10 @@ def render(root: Node, hidden: set[str]) -> str:
             lists.pop()
         elif tag in ("pre", "textarea"):
             pre -= 1
-        elif tag == "q":
+        elif tag == "q" and visible:
             flow.now.append('"')
+        elif tag in ("text", "foreignobject") and node.parent and within != "math":
+            flow.text(" " * (within == "text" or tag == "foreignobject"))
         if tag in BLOCKS:
             flow.block(tag in SPACED and not (tag in LISTS and lists))
     lines = flow.done()
@@ -458,7 +679,7 @@ def page_text(html: str | None) -> str:
     if not html:
         return ""
     root, sheets = parse(html)
-    return render(root, hidden_selectors(sheets))
+    return render(root, rules_of(sheets))
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -59,3 +59,32 @@ def test_extracted(spark):
     assert sorted(r["_text"] for r in out.collect()) == ["", "", "a", "a"]
     assert extracted(pages.limit(0)).count() == 0
     assert extracted(pages.select("html")).columns == ["text"]
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ("<style>@media print{.nav{display:none}}</style><p class=nav>yes", "yes"),
+    ("<style>@media (max-width:600px){.a{display:none}} .b{display:none}</style><p class=a>yes<p class=b>no", "yes"),
+    ("<style>@media screen and (min-width: 40em){.a{display:none}}</style><p class=a>no<p>yes", "yes"),
+    ("<style>@media (400px <= width < 50rem), print{.a{display:none}}</style><p class=a>yes", "yes"),
+    ("<style>@media not print{.a{display:none}}@media not all and (color){.b{display:none}}</style>"
+     "<p class=a>no<p class=b>yes", "yes"),
+    ("<style>@media only screen{@media print{.a{display:none}}.b{display:none}}</style><p class=a>yes<p class=b>no", "yes"),
+    ("<style>@font-face{src:url(x)}@keyframes k{from{visibility:hidden}}.b{display:none}</style><p class=b>no<p>yes", "yes"),
+    ("<style>@media\nprint{.a{display:none}}@media(max-width: 9px){.a{display:none}}</style><p class=a>yes", "yes"),
+    ("<style media=print>.a{display:none}</style><p class=a>yes", "yes"),
+    ("<style>.menu{display:none} .menu{display:block}</style><p class=menu>yes", "yes"),
+    ("<style>.menu{display:none!important} .menu{display:block}</style><p class=menu>no", ""),
+    ("<style>#a{display:none} .a{display:block}</style><p class=a id=a>no<p class=a>yes", "yes"),
+    ("<style>.a{display:none} p.a{display:block}</style><p class=a>yes<div class=a>no</div>", "yes"),
+    ("<style>.a{display:none}</style><p class=a style='display:flex'>yes<p class=a style='color:red'>no", "yes"),
+    ("<style>.a{display:none} .a{display:nonsense}</style><p class=a>no<p>yes", "yes"),
+    ("<style>.a{visibility:hidden} .b{visibility:visible}</style><div class=a>no<b class=b>yes</b></div>", "yes"),
+    ("<svg><title>no</title><path d='M0 0'/><defs><text>no</text></defs>no<text x=1>one</text>"
+     "<g><text>two<tspan>!</tspan></text></g></svg>after", "one two! after"),
+    ("<svg><foreignObject><p>in</p></foreignObject></svg>", "in"),
+    ("<svg><path d=x><p>out</p>", "out"),
+    ("<math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac>"
+     "<annotation encoding=tex>no</annotation></math>", "x= 1 2"),
+])
+def test_what_a_screen_shows(html, text):
+    assert page_text(html) == text
