@@ -92,7 +92,8 @@ def _joined(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def pooled(tables: list[np.ndarray], shift: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
     """The maxima of all filters over each document; documents are taken in parts if long."""
     reach = len(tables) - 1
-    parts, owner, out = [], [], np.zeros((len(docs), len(shift)), np.float32)
+    widths = np.repeat(WIDTHS, FILTERS)
+    parts, owner, goes_on, out = [], [], [], np.zeros((len(docs), len(shift)), np.float32)
 
     def flush() -> None:
         if not parts:
@@ -103,15 +104,21 @@ def pooled(tables: list[np.ndarray], shift: np.ndarray, docs: list[np.ndarray])
             found[:-t] += tables[t][ids[t:]]
         found += shift
         found[ids == 0] = 0
+        # Where the text goes on, the next part has these windows whole.
+        ends = (starts + [len(p) for p in parts])[np.array(goes_on)]
+        for left in range(1, reach + 1):
+            found[np.ix_(ends - left, widths > left)] = 0
         np.maximum.at(out, owner, np.maximum.reduceat(found, starts, axis=0))
         parts.clear()
         owner.clear()
+        goes_on.clear()
 
     held = 0
     for i, ids in enumerate(docs):
         for at in range(0, len(ids), _WORDS):
             parts.append(ids[max(0, at - reach) : at + _WORDS])
             owner.append(i)
+            goes_on.append(at + _WORDS < len(ids))
             held += len(parts[-1])
             if held >= _WORDS:
                 flush()

@@ -77,6 +77,15 @@ def test_pooling_reads_long_texts_whole(monkeypatch):
     assert np.allclose(np.concatenate(alone)[:4], whole[:4], atol=1e-5)
 
 
+def test_pooling_in_parts_is_that_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(21)
+    model = toxicity.train([np.arange(50, dtype=np.uint32)] * 4, np.array([0, 1, 0, 1]), 1)
+    docs = [rng.integers(1, 52, n) for n in (0, 1, 10, 11, 12, 300, 77, 20)]
+    whole = toxicity.pooled(model.tables(), model.shift, docs)
+    monkeypatch.setattr(toxicity, "_WORDS", 10)
+    assert np.allclose(toxicity.pooled(model.tables(), model.shift, docs), whole, atol=1e-6)
+
+
 def test_gradients():
     """Against differences of the loss."""
     rng = np.random.default_rng(17)
