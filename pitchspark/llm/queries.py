@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from pitchspark.llm import (
     embeddings,
     exact_dedup,
+    filter_audit,
     html_layout,
     language,
     mixing,
     packing,
     quality,
+    secret_links,
     simhash,
+    spelling,
     token_files,
     toxicity,
 )
@@ -104,6 +107,44 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    runs = docs.select("doc_id", F.explode(spelling.runs_of_letters(docs)).alias("run"))
+    # What is too short can't become longer; rows alike in a document stay alike.
+    runs = runs.where(F.length("run") >= 7)
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run"))
+    h = F.crc32(F.encode(name, "utf-8"))
+    place = (h % F.length("run")).cast("int")
+    cut = F.concat(F.substring(F.col("run"), F.lit(1), place), F.substring(F.col("run"), place + 2, F.length("run")))
+    words = (
+        runs.select(F.when(h % 31 == 0, cut).otherwise(F.col("run")).alias("word"))
+        .where(F.length("word") >= 7)
+        .groupBy("word")
+        .agg(F.count("*").alias("n"))
+        .where("n >= 2")
+    )
+    return spelling.variant_groups(words)
+
+
+def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = filter_audit.masked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return filter_audit.audit(masks, "ABCDE", {"good_lost": "good", "toxic_lost": "toxic"})
+
+
+def secrets_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_links.secret_spans(_table(spark, sf_dir, "documents"))
+
+    def number(kind: str):
+        return F.size(F.filter("certain", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[number(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(secret_links.listed(F.col("certain")), 256).alias("base_sha256"),
+        secret_links.listed(F.concat("certain", "linked")).alias("spans"),
+    )
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxic_scores,
@@ -116,6 +157,9 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": exact_copies,
         "op9_quality": quality_scores,
         "op10_language": languages,
+        "op11_spelling": spelling_variants,
+        "op12_filter_audit": filter_interactions,
+        "op13_secrets": secrets_found,
     }
 
 
@@ -188,10 +232,55 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 FROM embeddings JOIN least_of ON least_of.a = vec_id LEFT JOIN counts ON counts.a = vec_id
 """
 
+AUDIT_SQL = r"""
+WITH own AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS words
+  FROM documents
+), failing AS (
+  SELECT doc_id, part, (len(words) < 200)::INT
+    + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask
+  FROM own
+), marks AS (
+  SELECT doc_id, coalesce(max((quality = 1)::INT), 0) AS good, coalesce(max((toxic = 1)::INT), 0) AS toxic
+  FROM labels GROUP BY doc_id
+), alike AS (
+  SELECT part, mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n
+  FROM failing LEFT JOIN marks USING (doc_id) GROUP BY ALL
+), letters AS (SELECT unnest(range(5)) AS i),
+orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), steps AS (
+  SELECT array_to_string(list_transform(o, lambda i: chr((65 + i)::INT)), '') AS filter_order, step,
+    (1 << o[step]) AS bit,
+    list_sum(list_transform(o[1:step - 1], lambda i: 1 << i))::BIGINT AS before
+  FROM orders, range(1, 6) r(step)
+), counted AS (
+  SELECT part, filter_order, step, bit,
+    sum(n * ((mask & (coalesce(before, 0) | bit)) = 0)::INT) AS kept,
+    sum(n * ((mask & bit) > 0 AND (mask & coalesce(before, 0)) = 0)::INT) AS removed,
+    sum(n * ((mask & bit) > 0 AND (mask & coalesce(before, 0)) > 0)::INT) AS redundant,
+    sum(n * (mask = bit)::INT) AS unique_fails,
+    sum(n * good * ((mask & bit) > 0 AND (mask & coalesce(before, 0)) = 0)::INT) AS good_lost,
+    sum(n * toxic * ((mask & bit) > 0 AND (mask & coalesce(before, 0)) = 0)::INT) AS toxic_lost
+  FROM alike, steps GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+  redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+  toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM counted
+"""
+
 
 def llm_oracles() -> dict[str, str]:
     return {
         "op4_embedding_dedup": EMBEDDING_SQL,
         "op7_mix_sources": MIX_SQL,
         "op8_exact_dedup": EXACT_SQL,
+        "op12_filter_audit": AUDIT_SQL,
     }
