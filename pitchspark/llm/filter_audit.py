@@ -149,7 +149,8 @@ def audit(masks: DataFrame, letters: str, lost: dict[str, str]) -> DataFrame:
             for i, flag in enumerate(flags):
                 of_marks[i] += one * flag
         fields = unpacked(total, n)
-        by_filter = np.bincount(which.ravel(), fields[:, :, REMOVED].ravel(), n).astype(np.int64)
+        by_filter = np.zeros(n, dtype=np.int64)
+        np.add.at(by_filter, which.ravel(), fields[:, :, REMOVED].ravel())
         columns = [fields[:, :, c].ravel() for c in (KEPT, REMOVED, REDUNDANT, UNIQUE)]
         columns += [unpacked(x, n)[:, :, REMOVED].ravel() for x in of_marks]
         out = {
