@@ -28,6 +28,8 @@ from pitchspark.llm.common import extended, fresh
 
 # Widest table column that cells are aligned to; longer cells move what follows them.
 COLUMN_WIDTH = 80
+# Lists and quotations within as many others are indented no further.
+INDENTED = 32
 # Width and height in CSS pixels that media queries are held against.
 SCREEN = (1280, 800)
 
@@ -93,6 +95,9 @@ WALLS = frozenset("table td th caption html template".split())
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+# Parts of a selector on attributes and pseudo classes, and those that no page is in by itself.
+_QUALIFIERS = re.compile(r"\[[^\]]*\]|::?[\w-]+(?:\([^)]*\))?")
+_STATES = re.compile(r"(?i):(?:hover|focus[\w-]*|active|target|checked|visited|open|before|after|print)\b")
 _SELECTOR = re.compile(r"([a-zA-Z][\w-]*)?((?:[.#]-?[a-zA-Z_][\w-]*)*)")
 _PART = re.compile(r"[.#][\w-]+")
 _DECLARATION = re.compile(
@@ -238,6 +243,8 @@ class _Builder:
 def parse(html: str) -> tuple[Node, list[str]]:
     """The tree of a page, and the texts of its style sheets."""
     build, at, pattern, lower = _Builder(), 0, _TAG, None
+    # Behind the last one no tag ends, so none is looked for.
+    last = html.rfind(">")
     while at < len(html):
         begin = html.find("<", at)
         if begin < 0:
@@ -255,8 +262,8 @@ def parse(html: str) -> tuple[Node, list[str]]:
             end = html.find(stop, at + 2)
             at = len(html) if end < 0 else end + len(stop)
             continue
-        match = pattern.match(html, at)
-        if match is None and follows.isalpha() | (follows == "/") and pattern is _TAG:
+        match = pattern.match(html, at) if at < last else None
+        if match is None and at < last and follows.isalpha() | (follows == "/") and pattern is _TAG:
             # A quote that never ends: from here on quotes mean nothing.
             match = _PLAIN_TAG.match(html, at)
             if match is not None:
@@ -440,13 +447,20 @@ def _add_rule(rules: Rules, selectors: str, body: list[str]) -> None:
     if not declared:
         return
     order = sum(map(len, rules.values()))
+    shows = {k: v for k, v in declared.items() if v[1] not in ("none", "hidden", "collapse")}
     for one in selectors.split(","):
-        match = _SELECTOR.fullmatch(one.strip())
+        match, use = _SELECTOR.fullmatch(one.strip()), declared
+        if shows and not match and not _STATES.search(one):
+            # What stands before the last element isn't read: where it may hold, the text is shown.
+            last = re.split(r"[\s>+~]+", _QUALIFIERS.sub("", one).strip())[-1].removeprefix("*")
+            match, use = _SELECTOR.fullmatch(last), shows
+            if match and not match[0]:
+                rules.setdefault("*", []).append(((0, 0, 1, False, order), "", frozenset(), shows))
         if match and match[0]:
             tag, parts = (match[1] or "").lower(), _PART.findall(match[2])
             ids = sum(x[0] == "#" for x in parts)
             rank = (0, ids, len(parts) - ids, bool(tag), order)
-            rules.setdefault(parts[0] if parts else tag, []).append((rank, tag, frozenset(parts), declared))
+            rules.setdefault(parts[0] if parts else tag, []).append((rank, tag, frozenset(parts), use))
 
 
 def _seen(node: Node, rules: Rules, visible: bool) -> bool | None:
@@ -464,7 +478,7 @@ def _seen(node: Node, rules: Rules, visible: bool) -> bool | None:
         own = {f".{c}" for c in attrs.get("class", "").split()}
         if "id" in attrs:
             own.add(f"#{attrs['id']}")
-        for key in (tag, *own):
+        for key in ("*", tag, *own):
             for rank, of, parts, declared in rules.get(key, ()):
                 if of in ("", tag) and parts <= own:
                     found.append((rank, declared))
@@ -645,7 +659,8 @@ def render(root: Node, rules: Rules) -> str:
                     value = _number(node.attrs.get("value"), lists[-1], 10**9)
                     mark, lists[-1] = f"{value}. ", value + 1
                 if lines:
-                    flow.add([mark + lines[0], *[" " * len(mark) * bool(x) + x for x in lines[1:]]])
+                    pad = " " * len(mark) * (len(flows) < INDENTED)
+                    flow.add([mark + lines[0], *[pad * bool(x) + x for x in lines[1:]]])
             elif tag in ("td", "th"):
                 if tables and tables[-1][0]:
                     across = _number(node.attrs.get("colspan"), 1, 1000) or 1
@@ -659,7 +674,7 @@ def render(root: Node, rules: Rules) -> str:
                 rows, caption = tables.pop()
                 flow.add([*lines, *_table(rows, caption)])
             else:
-                flow.add([("    " * bool(x)) + x for x in lines])
+                flow.add([("    " * (bool(x) and len(flows) < INDENTED)) + x for x in lines])
         if tag in LISTS:
             lists.pop()
         elif tag in ("pre", "textarea"):

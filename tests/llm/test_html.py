@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from pitchspark.llm.html_layout import extracted, page_text
@@ -51,6 +53,20 @@ def test_deep_and_long_pages():
     assert page_text("word " * 300_000) == ("word " * 300_000).strip()
 
 
+@pytest.mark.parametrize("broken", ["<a ", "<a x='", "</b ", "<!-- ", "<p <", "<a b=\"c' "])
+def test_tags_that_never_end_take_linear_time(broken):
+    began = time.perf_counter()
+    page_text("seen" + broken * (1_000_000 // len(broken)))
+    assert time.perf_counter() - began < 5
+
+
+def test_indents_are_bounded():
+    for tag in ("<ul><li>x", "<blockquote>x<p>y", "<dl><dd>x"):
+        page = tag * 2000
+        assert len(page_text(page)) < 30 * len(page)
+        assert page_text(tag * 10).count("x") == 10
+
+
 def test_extracted(spark):
     rows = [(1, "u", "<p>a", "t"), (None, None, None, None), (1, "u", "<p>a", "t"), (2, "", "", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
@@ -78,6 +94,11 @@ def test_extracted(spark):
     ("<style>.a{display:none} p.a{display:block}</style><p class=a>yes<div class=a>no</div>", "yes"),
     ("<style>.a{display:none}</style><p class=a style='display:flex'>yes<p class=a style='color:red'>no", "yes"),
     ("<style>.a{display:none} .a{display:nonsense}</style><p class=a>no<p>yes", "yes"),
+    ("<style>.m{display:none} nav .m{display:block}</style><nav><p class=m>yes</nav>", "yes"),
+    ("<style>.m{display:none} nav > p.m:first-child{display:block}</style><p class=m>yes<div class=m>no</div>", "yes"),
+    ("<style>.m{display:none} .d:hover .m{display:block}</style><div class=d><p class=m>no</div>", ""),
+    ("<style>[hidden]{display:block}</style><p hidden>yes", "yes"),
+    ("<style>nav .m{display:none} .m a[href]{visibility:hidden}</style><nav><p class=m>yes</nav>", "yes"),
     ("<style>.a{visibility:hidden} .b{visibility:visible}</style><div class=a>no<b class=b>yes</b></div>", "yes"),
     ("<svg><title>no</title><path d='M0 0'/><defs><text>no</text></defs>no<text x=1>one</text>"
      "<g><text>two<tspan>!</tspan></text></g></svg>after", "one two! after"),
