@@ -395,6 +395,37 @@ event_json AS (
 """
 
 
+def _slope(value: str, before: str, after: str) -> str:
+    """Derivative between two neighbours; with equal steps the value between them isn't read."""
+    return f"""CASE WHEN t0 IS NULL AND t2 IS NULL THEN CAST(0 AS DOUBLE)
+    WHEN t0 IS NULL THEN ({after} - {value}) / (t2 - t)
+    WHEN t2 IS NULL THEN ({value} - {before}) / (t - t0)
+    WHEN t - t0 = t2 - t THEN ({after} - {before}) / (CAST(2 AS DOUBLE) * (t2 - t))
+    ELSE {after} * (t - t0) / ((t2 - t) * (t2 - t0)) + {value} * ((t2 - t) - (t - t0)) / ((t - t0) * (t2 - t))
+       - {before} * (t2 - t) / ((t - t0) * (t2 - t0)) END"""
+
+
+# Rows of the evenly running clocks, with derivatives that follow from a row's neighbours alone.
+LIVE = f"""
+clocked AS (
+  SELECT * REPLACE (frame_id / CASE WHEN CAST(match_id[2:] AS BIGINT) % 2 = 0
+    THEN CAST(4 AS DOUBLE) ELSE CAST(10 AS DOUBLE) END AS time_s) FROM tracking
+), placed AS (
+  SELECT *, time_s AS t, lag(time_s) OVER w AS t0, lead(time_s) OVER w AS t2, lag(x_m) OVER w AS x0,
+    lead(x_m) OVER w AS x2, lag(y_m) OVER w AS y0, lead(y_m) OVER w AS y2
+  FROM clocked WINDOW w AS (PARTITION BY match_id, period, agent_id ORDER BY time_s)
+), fast AS (
+  SELECT *, {_slope('x_m', 'x0', 'x2')} AS vx_mps, {_slope('y_m', 'y0', 'y2')} AS vy_mps FROM placed
+), beside AS (
+  SELECT *, lag(vx_mps) OVER w AS vx0, lead(vx_mps) OVER w AS vx2, lag(vy_mps) OVER w AS vy0,
+    lead(vy_mps) OVER w AS vy2
+  FROM fast WINDOW w AS (PARTITION BY match_id, period, agent_id ORDER BY time_s)
+), live AS (
+  SELECT *, {_slope('vx_mps', 'vx0', 'vx2')} AS ax_mps2, {_slope('vy_mps', 'vy0', 'vy2')} AS ay_mps2 FROM beside
+)
+"""
+
+
 def all_oracles() -> dict[str, str]:
     t = _with(T)
     kin = _with(T, KINEMATICS)
@@ -578,6 +609,21 @@ SELECT match_id, period, CAST(NULL AS DOUBLE) AS time_s, frame_id,
          || ',"End, X":1e1,"Period":' || period || '}}'
        END AS raw_event
 FROM event_json""",
+        "csv_records": """
+SELECT 'u' || (user_id % 50) AS source_file, event_id * 8 AS line_pos, hex(event_id || ',' || CASE event_id % 5
+    WHEN 0 THEN '"' || event_type || chr(10) || 'second, ""quoted"" part' || chr(10) || chr(10) || '"",last"'
+    WHEN 1 THEN '"one line, ' || event_type || '"'
+    WHEN 2 THEN '5" tall ' || event_type
+    WHEN 3 THEN ' "' || chr(10) || '", "' || event_type || '""' || chr(10) || '"'
+    ELSE event_type END || ',' || user_id) AS value_hex
+FROM events""",
+        "metrica_events_lines": r"""
+SELECT 'm' || (event_id // 2300) AS match_id, CAST(1 AS INTEGER) AS period, event_id % 90 AS frame_id,
+  'home' AS team_id, CAST(event_id AS VARCHAR) AS player_id, event_type,
+  '{"Team":"Home","Type":"' || event_type || '","Period":1,"Start Frame":' || (event_id % 90)
+  || ',"From":' || event_id || ',"Note\nof the scout":"He said:\n\"' || event_type
+  || '\", then\n, left"}' AS raw_event
+FROM events""",
         "metrica_events": t + f"""
 SELECT match_id, 'metrica' AS dataset, period, {r6('time_s')}, frame_id, team_id, player_id,
        agent_type AS event_type, role AS event_subtype, {r6('raw_x * 105', 'x_m')},
@@ -603,6 +649,37 @@ SELECT match_id, 'statsbomb' AS dataset, period, {r6('floor(time_s)', 'time_s')}
        {r6(f'CASE WHEN jersey_number > 5 THEN y_m / 120 * 105 ELSE {d(52.5)} END', 'end_x_m')},
        {r6(f'CASE WHEN jersey_number > 5 THEN x_m / 80 * 68 ELSE {d(34)} END', 'end_y_m')}
 FROM tracking""",
+        "stream_kinematics": _with(T, LIVE) + f"""
+SELECT match_id, period, agent_id, frame_id, {r6('time_s')}, {r6('x_m')}, {r6('y_m')}, {r6('vx_mps')},
+  {r6('vy_mps')}, {r6('sqrt(vx_mps * vx_mps + vy_mps * vy_mps)', 'speed_mps')}, {r6('ax_mps2')}, {r6('ay_mps2')},
+  {r6('sqrt(ax_mps2 * ax_mps2 + ay_mps2 * ay_mps2)', 'accel_mps2')}, false AS frame_falls, false AS late
+FROM live""",
+        "stream_team_shape": _with(T, SHAPE) + f"""
+SELECT match_id, period, frame_id, team_id, {', '.join(r6(c) for c in SHAPE_COLUMNS)}
+FROM shape""",
+        "stream_ball_distance": _with(T, LIVE, BALL) + rows("distance_to_ball_m", table="""(
+  SELECT t.*, sqrt((x_m - bx) * (x_m - bx) + (y_m - by_) * (y_m - by_)) AS distance_to_ball_m
+  FROM clocked t LEFT JOIN ball USING (match_id, period, frame_id))"""),
+        "soccertrack_files": _with(T, """
+agents AS (
+  SELECT 'home' AS team, i FROM range(1, 12) r(i) UNION ALL SELECT 'away', i FROM range(1, 12) r(i)
+  UNION ALL SELECT 'sub', i FROM range(23) r(i) UNION ALL SELECT 'ball', 0
+), trees AS (
+  SELECT f.match_id, f.frame_id, a.*, CASE WHEN team = 'ball' THEN 'ball' ELSE team || '_' || i END AS agent_id
+  FROM (SELECT DISTINCT match_id, frame_id FROM tracking WHERE CAST(match_id[2:] AS BIGINT) % 2 = 0) f, agents a
+)""") + f"""
+SELECT match_id, CAST(1 AS INTEGER) AS period, frame_id, {r6(f'frame_id / {d(10)}', 'time_s')}, agent_id,
+  CASE WHEN team = 'ball' THEN 'ball' ELSE 'player' END AS agent_type, team AS team_id,
+  CASE WHEN team <> 'ball' THEN agent_id END AS player_id,
+  CASE WHEN team <> 'ball' THEN CAST(i AS INTEGER) END AS jersey_number,
+  CASE WHEN team = 'ball' THEN 'ball' ELSE 'player' END AS role,
+  {r6('x_m')}, {r6('y_m')}, CAST(NULL AS DOUBLE) AS z_m, x_m IS NOT NULL AS is_visible
+FROM trees LEFT JOIN (SELECT match_id, frame_id, agent_id, x_m, y_m FROM tracking) USING (match_id, frame_id, agent_id)
+UNION ALL
+SELECT match_id, period, frame_id, {r6(f'frame_id / {d(10)}', 'time_s')}, agent_id,
+  CASE WHEN agent_id = 'ball' THEN 'ball' ELSE 'player' END, team_id, NULL, NULL, NULL,
+  {r6('x_m')}, {r6('y_m')}, NULL, x_m IS NOT NULL
+FROM tracking WHERE CAST(match_id[2:] AS BIGINT) % 2 = 1""",
         "soccertrack_mapping": t + rows(
             "x_m", "y_m", table="tracking",
             extra="'soccertrack' AS dataset, agent_type, role, team_id, jersey_number, player_id",

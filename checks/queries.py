@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,10 @@ from pitchspark.constants import FRAME_KEYS
 from pitchspark.functions import coordinates
 from pitchspark.operators import clips, frames, kinematics, pitch, quality, resample, rollout
 from pitchspark.operators import windows as win
+from pitchspark.operators.skew import shared_folder
 from pitchspark.plans.features import compute_features
-from pitchspark.sources import metrica, skillcorner, soccertrack, statsbomb
+from pitchspark.sources import metrica, records, skillcorner, soccertrack, statsbomb
+from pitchspark.streaming import live
 
 ROW = ["match_id", "period", "frame_id", "time_s", "agent_id"]
 WINDOWS = win.WindowConfig(history_s=0.5, future_s=0.5, fps=10.0, max_agents=23)
@@ -424,6 +427,54 @@ def metrica_events_files(spark, sf):
     return metrica.events_from_lines(lines.unionByName(headers), few_files=False).drop("dataset")
 
 
+def _broken_lines(rows, text):
+    """The lines of the CSV records ``text`` of some rows with source_file and number, in order."""
+    return rows.select(
+        "source_file", F.col("number").alias("number"), F.posexplode(F.split(text, "\n", -1)).alias("i", "value")
+    ).select("source_file", (F.col("number") * 8 + F.col("i")).alias("line_pos"), "value")
+
+
+def csv_records(spark, sf):
+    """All events as CSV records, three kinds of five with line breaks in quoted cells; the lines of a
+    file are cut into blocks that end anywhere."""
+    kind = F.col("event_id") % 5
+    cell = (
+        F.when(kind == 0, F.concat(F.lit('"'), "event_type", F.lit('\nsecond, ""quoted"" part\n\n"",last"')))
+        .when(kind == 1, F.concat(F.lit('"one line, '), "event_type", F.lit('"')))
+        .when(kind == 2, F.concat(F.lit('5" tall '), "event_type"))
+        .when(kind == 3, F.concat(F.lit(' "\n", "'), "event_type", F.lit('""\n"')))
+        .otherwise(F.col("event_type"))
+    )
+    rows = events_table(spark, sf).withColumns({
+        "source_file": F.concat(F.lit("u"), F.col("user_id") % 50), "number": F.col("event_id"),
+    })
+    lines = _broken_lines(rows, F.concat_ws(",", "event_id", cell, "user_id"))
+    return records.whole_records(lines.repartition(7), F.floor(F.col("line_pos") / 4001)).select(
+        "source_file", "line_pos", F.hex(F.encode("value", "utf-8")).alias("value_hex")
+    )
+
+
+def metrica_events_lines(spark, sf):
+    """All tracking rows as event records whose notes hold line breaks, quotes and commas."""
+    events = events_table(spark, sf).select(
+        F.concat(F.lit("m"), F.expr("event_id div 2300")).alias("source_file"), F.col("event_id").alias("number"),
+        "event_type", (F.col("event_id") % 90).alias("minute"),
+    )
+    note = F.concat(F.lit('"He said:\n""'), "event_type", F.lit('"", then\n, left"'))
+    lines = _broken_lines(events, F.concat_ws(",", F.lit("Home"), "event_type", F.lit("1"), "minute", "number", note))
+    headers = events.select("source_file").distinct().select(
+        "source_file", F.explode(F.array(*[
+            F.struct(F.lit(i - 2).cast("bigint").alias("line_pos"), F.lit(text).alias("value"))
+            for i, text in enumerate(('Team,Type,Period,Start Frame,From,"Note', 'of the scout"'))
+        ])).alias("line"),
+    ).select("source_file", "line.*")
+    whole = records.whole_records(lines.unionByName(headers), F.floor(F.col("line_pos") / 3001))
+    whole = whole.withColumn("match_id", F.col("source_file"))
+    return metrica.events_from_lines(whole, few_files=False).select(
+        "match_id", "period", "frame_id", "team_id", "player_id", "event_type", "raw_event"
+    )
+
+
 def metrica_events(spark, sf):
     t = tracking_table(spark, sf)
     raw = t.select(
@@ -499,6 +550,87 @@ def soccertrack_mapping(spark, sf):
     )
 
 
+def soccertrack_files(spark, sf):
+    """All tracking rows as annotation lines: a tree of teams, players and attributes for the matches
+    of even number, whose labels are stated once for all columns they cover, and flat files for the
+    others. A tree has a line per frame, a flat file one per row."""
+    t = tracking_table(spark, sf)
+    even = F.substring("match_id", 2, 9).cast("long") % 2 == 0
+    players = [("home", i) for i in range(1, 12)] + [("away", i) for i in range(1, 12)] + [
+        ("sub", i) for i in range(23)] + [("ball", 0)]
+    agents = [team if team == "ball" else f"{team}_{i}" for team, i in players]
+
+    def text(c):
+        return F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+    at = F.map_from_entries(F.collect_list(F.struct(
+        "agent_id", F.concat_ws(",", F.lit("0.5"), text("y_m"), text("x_m"))
+    )))
+    cells = [F.coalesce(F.try_element_at("at", F.lit(a)), F.lit(",,")) for a in agents]
+    place = F.col("frame_id") + 100
+    trees = t.where(even).groupBy("match_id", "frame_id").agg(at.alias("at")).select(
+        "match_id", place.alias("line_pos"), F.concat_ws(",", "frame_id", *cells).alias("value")
+    )
+    named, last = [], None
+    for team, _ in players:
+        named.append(f"{team if team != last else ''},,")
+        last = team
+    tree_header = [
+        "TeamID," + ",".join(named), "PlayerID," + ",".join(f"{i},," for _, i in players),
+        "Attributes," + ",".join(["conf,y,X"] * len(players)), "frame" + ",,," * len(players),
+    ]
+    flat = t.where(~even).select(
+        "match_id", (F.monotonically_increasing_id() + 100).alias("line_pos"),
+        F.concat_ws(",", text("y_m"), F.lit('"a, b"'), "agent_id", text("team_id"), text("x_m"), "frame_id", "period")
+        .alias("value"),
+    )
+    headers = t.select("match_id").distinct().select(
+        "match_id",
+        F.posexplode(
+            F.when(even, F.array(*map(F.lit, tree_header)))
+            .otherwise(F.array(F.lit('y,note,track_id,"team side",x,Image_ID,Period')))
+        ).alias("line_pos", "value"),
+    )
+    lines = trees.unionByName(flat).unionByName(headers).withColumn("source_file", F.col("match_id"))
+    return soccertrack.tracking_from_lines(lines, few_files=False, fps=10.0).select(
+        *ROW, "agent_type", "team_id", "player_id", "jersey_number", "role", "x_m", "y_m", "z_m", "is_visible"
+    )
+
+
+def _streamed(spark, sf, operator):
+    """All tracking rows, played at the same time and streamed a file of frames after the other, and
+    the result that the stream wrote. The clocks of the matches run evenly. A row an hour later moves
+    the watermark past the end."""
+    rows = tracking_table(spark, sf).withColumns({
+        "time_s": F.col("frame_id") / F.when(F.substring("match_id", 2, 9).cast("long") % 2 == 0, 4.0).otherwise(10.0),
+        "at": F.timestamp_seconds(F.lit(1_700_000_000) + F.col("frame_id") / 4.0),
+    })
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    for first in range(0, 100, 20):
+        part = rows.where(F.col("frame_id").between(first, first + 19))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    end = rows.limit(1).withColumns({
+        "match_id": F.lit("end"), "agent_type": F.lit("player"), "at": F.timestamp_seconds(F.lit(1_700_003_600)),
+    })
+    end.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    out = operator(stream, "at")
+    live.run_available(out, f"{folder}/out", f"{folder}/state")
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+def stream_kinematics(spark, sf):
+    return _streamed(spark, sf, live.stream_kinematics)
+
+
+def stream_team_shape(spark, sf):
+    return _streamed(spark, sf, live.stream_team_shape)
+
+
+def stream_ball_distance(spark, sf):
+    return _streamed(spark, sf, live.stream_ball_distance).select(*ROW, "distance_to_ball_m")
+
+
 QUERIES = [
     canonical_tracking, canonical_events, schema_invalid_types, schema_validation,
     normalized_to_meters, center_to_topleft, grid120_to_meters,
@@ -511,8 +643,9 @@ QUERIES = [
     agent_slots, time_index, window_meta, window_cells, window_tensors,
     constant_velocity_rollout, clip_rows, clip_frames, agent_trails,
     metrica_header_map, metrica_wide_to_long, metrica_dedupe, metrica_wide_table, metrica_events,
-    metrica_events_files,
-    skillcorner_frames, statsbomb_events, soccertrack_mapping,
+    metrica_events_files, csv_records, metrica_events_lines,
+    skillcorner_frames, statsbomb_events, soccertrack_mapping, soccertrack_files,
+    stream_kinematics, stream_team_shape, stream_ball_distance,
 ]
 
 

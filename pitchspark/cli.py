@@ -6,10 +6,12 @@ import argparse
 import json
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from pitchspark.operators.windows import WindowConfig
 from pitchspark.plans import jobs
 from pitchspark.sources.registry import PROVIDERS
+from pitchspark.streaming.ingest import ingest_new
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -22,6 +24,11 @@ def _parser() -> argparse.ArgumentParser:
     ingest.add_argument("--out-dir", required=True)
     ingest.add_argument("--match-id", help="read everything as one match of this name")
 
+    new = commands.add_parser("ingest-new", help="read raw files that no run has read yet")
+    new.add_argument("--dataset", choices=sorted(PROVIDERS), default="metrica")
+    new.add_argument("--raw-dir", required=True)
+    new.add_argument("--out-dir", required=True)
+
     features = commands.add_parser("features", help="tracking to the feature table")
     features.add_argument("--tracking", required=True)
     features.add_argument("--out", required=True)
@@ -34,6 +41,7 @@ def _parser() -> argparse.ArgumentParser:
     windows.add_argument("--tracking", required=True)
     windows.add_argument("--features")
     windows.add_argument("--out", required=True)
+    windows.add_argument("--match-id", help="export this match, leaving the others' windows alone")
     defaults = WindowConfig()
     for name in ("history_s", "future_s", "fps"):
         windows.add_argument(f"--{name.replace('_', '-')}", type=float,
@@ -54,6 +62,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(missing)
             return 1
         print(json.dumps(done))
+    elif args.command == "ingest-new":
+        done = ingest_new(spark, args.dataset, args.raw_dir, args.out_dir).agg(
+            F.count_if("is_new").alias("files"), F.count_distinct("match_id").alias("matches")
+        )
+        print(json.dumps(done.first().asDict()))
     elif args.command == "features":
         print(json.dumps({"features": jobs.features(spark, args.tracking, args.out)}))
     elif args.command == "quality":
@@ -63,6 +76,6 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         cfg = WindowConfig(args.history_s, args.future_s, args.fps, args.max_agents,
                            args.stride_steps)
         print(json.dumps(
-            jobs.export_windows(spark, args.tracking, args.out, args.features, cfg)
+            jobs.export_windows(spark, args.tracking, args.out, args.features, cfg, args.match_id)
         ))
     return 0

@@ -27,7 +27,7 @@ def _has_place() -> Column:
     return _is_player() & is_finite(F.col("x_m")) & is_finite(F.col("y_m"))
 
 
-def _first_ball() -> Column:
+def ball_of_frame() -> Column:
     """The frame's first ball row, lowest agent_id and time; it counts even without coordinates."""
     ball = F.when(F.col("agent_type") == BALL, sort_struct(["agent_id", "time_s", "x_m", "y_m"]))
     return F.min(ball)
@@ -76,7 +76,7 @@ def _by_window(df: DataFrame, added: list[str]) -> DataFrame:
         for name, squared in zip(NEAREST, (NEAREST_MATE, NEAREST_OPPONENT)):
             computed[name] = F.when(_has_place(), F.sqrt(F.expr(squared)))
     if BALL_DISTANCE[0] in added:
-        by_frame["_ball"] = _first_ball().over(frame)
+        by_frame["_ball"] = ball_of_frame().over(frame)
         computed["distance_to_ball_m"] = _ball_distance()
     out = df.repartition(*FRAME_KEYS)
     # Teams first: their sort also serves the windows over whole frames.
@@ -120,7 +120,7 @@ def _by_parts(df: DataFrame, added: list[str], few: bool) -> DataFrame:
     out = df
     spread = F.struct("agent_id", "time_s", "x_m", "y_m")
     if BALL_DISTANCE[0] in added:
-        ball = df.groupBy(*FRAME_KEYS).agg(_first_ball().alias("_ball"))
+        ball = df.groupBy(*FRAME_KEYS).agg(ball_of_frame().alias("_ball"))
         out = attach(out, ball, FRAME_KEYS, few, spread).withColumn(
             "distance_to_ball_m", _ball_distance()
         )
@@ -171,6 +171,11 @@ def add_team_shape(df: DataFrame, hot_rows: int | None = HOT_FRAME_ROWS) -> Data
 
 def team_shape(df: DataFrame) -> DataFrame:
     """One row per (frame, team): centroid, width and length over its players."""
-    return df.where(_is_player()).groupBy(*FRAME_KEYS, "team_id").agg(
+    return shape_of_team(df, [*FRAME_KEYS, "team_id"])
+
+
+def shape_of_team(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per value of the keys, which tell a frame and a team."""
+    return df.where(_is_player()).groupBy(*keys).agg(
         *[c.alias(name) for name, c in _shape().items()]
     )

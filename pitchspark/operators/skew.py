@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # More rows than this under one agent's period, or in one frame, take the split plan.
@@ -96,6 +96,18 @@ def attach(
     return joined.drop("_salt", "_side_salt", *[f"_side_{k}" for k in keys])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, by spark.checkpoint.dir. Where the session names
+    none, local sessions get a temporary one; others fail, as each machine would have its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="pitchspark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def sliced(df: DataFrame, order: list[Column], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Add ``_slice``, an ordered number; a slice has at most about ``slice_rows`` rows.
 
@@ -107,8 +119,7 @@ def sliced(df: DataFrame, order: list[Column], slice_rows: int = SLICE_ROWS) ->
     ranges = max(2, -(-3 * df.count() // slice_rows))
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pitchspark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     ranged = df.repartitionByRange(ranges, *order)
     return ranged.withColumn("_slice", F.spark_partition_id()).checkpoint()
 

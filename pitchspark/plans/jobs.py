@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pitchspark.operators.quality import check_quality, summarised
 from pitchspark.operators.windows import WindowConfig, build_windows
@@ -73,15 +74,23 @@ def export_windows(
     out_dir: str,
     features_path: str | None = None,
     cfg: WindowConfig | None = None,
+    match_id: str | None = None,
 ) -> dict[str, str]:
-    """Write windows and their description; the latter is read back from the former."""
-    source = tables.read_tracking(spark, tracking_path)
-    feature_table = tables.read_features(spark, features_path) if features_path else None
+    """Write windows and their description, by match: the matches of the tracking table, or the one
+    of ``match_id``, are replaced, and the files of all others stay as they are. The description is
+    read back from the windows just written. ``tables.read_windows`` reads either."""
+    def chosen(df: DataFrame) -> DataFrame:
+        return df if match_id is None else df.where(F.col("match_id") == match_id)
+
+    source = chosen(tables.read_tracking(spark, tracking_path))
+    feature_table = chosen(tables.read_features(spark, features_path)) if features_path else None
     paths = {
         "windows": f"{out_dir}/windows.parquet", "window_meta": f"{out_dir}/window_meta.parquet"
     }
-    build_windows(source, feature_table, cfg).write.mode("overwrite").parquet(paths["windows"])
-    spark.read.parquet(paths["windows"]).select(*META_COLUMNS).write.mode("overwrite").parquet(
-        paths["window_meta"]
-    )
+    windows = build_windows(source, feature_table, cfg)
+    tables.replace_matches(windows, paths["windows"])
+    written = chosen(tables.read_windows(spark, paths["windows"], windows.schema))
+    if match_id is None:
+        written = written.join(source.select("match_id").distinct(), "match_id", "left_semi")
+    tables.replace_matches(written.select(*META_COLUMNS), paths["window_meta"])
     return paths

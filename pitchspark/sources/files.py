@@ -2,28 +2,13 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def list_files(
-    spark: SparkSession, root: str, pattern: str, recursive: bool = True
-) -> list[str]:
-    """Sorted paths below ``root`` whose names match; only the listing is read."""
-    try:
-        listing = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern)
-            .load(str(root))
-        )
-    except AnalysisException:
-        return []
-    return sorted(unquote(p) for p in listing.inputFiles())
-
-
 def listing(spark: SparkSession, root: str, pattern: str) -> DataFrame | None:
     """``source_file`` of every file below ``root`` whose name matches, named as by ``file_path``;
     None if there is no such directory. Contents are not read."""
@@ -38,16 +23,13 @@ def listing(spark: SparkSession, root: str, pattern: str) -> DataFrame | None:
     return files.select(file_path().alias("source_file"))
 
 
-def name_of(path: str) -> str:
-    return path.rsplit("/", 1)[-1]
-
-
-def parent_of(path: str) -> str:
-    return path.rsplit("/", 2)[-2] if path.count("/") > 1 else ""
+def literal(path: str) -> str:
+    """A path for a reader, which takes some characters as patterns."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def file_path() -> Column:
-    """The row's file as it is named by ``list_files``."""
+    """The row's file, as a plain path."""
     return F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
 
 

@@ -14,7 +14,8 @@ from pitchspark.functions.coordinates import to_meters_from_normalized
 from pitchspark.functions.labels import bare_name, find_column, sanitize_label, trailing_number
 from pitchspark.operators.skew import BROADCAST_ROWS, attach
 from pitchspark.schema import TRACKING_SCHEMA, canonical_events, canonical_tracking
-from pitchspark.sources.files import file_path, folder, listing, stem
+from pitchspark.sources.files import file_path, folder, listing, literal, stem
+from pitchspark.sources.records import cells as csv_cells, fields, whole_records
 
 # How coordinate columns are named once an entity and its axis are joined.
 AXIS_NAME = r"^(.+?)[_\s.-]+([xyXY])$"
@@ -40,21 +41,6 @@ TRACKING_FILES = "*[tT][rR][aA][cC][kK][iI][nN][gG]*.[cC][sS][vV]"
 EVENT_FILES = "*[eE][vV][eE][nN][tT]*.[cC][sS][vV]"
 
 
-def _fields(line: Column) -> Column:
-    """The cells of a CSV line; quoted ones may hold commas and doubled quotes."""
-    quoted = F.transform(
-        F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',\s*("(?:[^"]|"")*"|[^,]*)')),
-        lambda c: F.when(
-            c.startswith('"'), F.replace(F.regexp_extract(c, '^"(.*)"', 1), F.lit('""'), F.lit('"'))
-        ).otherwise(c),
-    )
-    return F.when(line.contains('"'), quoted).otherwise(F.split(line, ",", -1))
-
-
-def _cells(line: Column) -> Column:
-    return F.transform(_fields(line), lambda c: F.btrim(c, F.lit(' "\r﻿')))
-
-
 def _named(label: Column) -> Column:
     return (label != "") & ~F.lower(label).startswith("unnamed")
 
@@ -72,7 +58,7 @@ def header_columns(lines: DataFrame) -> DataFrame:
     entity named before it, and a column of another kind ends that entity's reach. Without one, a
     label followed by an empty cell covers an x and a y column.
     """
-    cells = _cells(F.col("value"))
+    cells = csv_cells(F.col("value"))
     numeric = [F.get(cells, F.lit(i)).try_cast("double").isNotNull() for i in range(3)]
     no_number = ~F.greatest(*[F.coalesce(n, F.lit(False)).cast("int") for n in numeric]).cast(
         "boolean"
@@ -234,7 +220,8 @@ def _once_in_line(pairs: Column) -> Column:
 
 def _first_lines(split: DataFrame) -> DataFrame:
     """Of the lines of one frame, the first of each file; the away one without its ball if the home
-    one has a ball. A frame's lines are few, and are gathered before they become a row per agent."""
+    one has a ball. A frame's lines are few, and are gathered before they become a row per agent:
+    one shuffle by frame and one sort serve both windows."""
     kinds = {"period": "period", "frame": "frame_id", "time": "time_s"}
     keyed = split.withColumns({
         f"_{k}": F.expr(coerce(k, "string", TRACKING_SCHEMA[name].dataType.simpleString()))
@@ -244,7 +231,7 @@ def _first_lines(split: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy(*frame, "team").orderBy("line_pos"))
     has_ball = F.exists("pairs", lambda p: _is_ball(p["prefix"]))
     other = F.max((F.col("team") == "home") & has_ball).over(Window.partitionBy(*frame))
-    kept = keyed.withColumn("_first", first).where("_first = 1").withColumn("_other", other)
+    kept = keyed.repartition(*frame).withColumn("_first", first).where("_first = 1").withColumn("_other", other)
     return kept.withColumn(
         "pairs",
         F.when((F.col("team") != "home") & F.col("_other"),
@@ -274,21 +261,25 @@ def tracking_from_lines(lines: DataFrame, few_files: bool, once: bool = False) -
     is_data = F.coalesce(F.col("line_pos") > F.col("header_end"), F.lit(True))
     split = joined.where((F.btrim("value") != "") & is_data).select(
         "match_id", "team", "source_file", "line_pos", "period_pos", "frame_pos", "time_pos",
-        pairs.alias("pairs"), _fields(F.col("value")).alias("cells"),
+        pairs.alias("pairs"), fields(F.col("value")).alias("cells"),
     )
 
     def cell(pos: Column) -> Column:
         return F.btrim(F.get("cells", pos), F.lit(' "'))
 
-    split = split.withColumns({k: cell(F.col(f"{k}_pos")) for k in ("period", "frame", "time")})
+    # Each entity takes its two cells before the shuffle and the explode, which then move no whole
+    # lines.
+    split = split.select(
+        "match_id", "team", "source_file", "line_pos",
+        *[cell(F.col(f"{k}_pos")).alias(k) for k in ("period", "frame", "time")],
+        F.transform("pairs", lambda p: F.struct(
+            p["prefix"].alias("prefix"), cell(p["x_pos"]).alias("x"), cell(p["y_pos"]).alias("y")
+        )).alias("pairs"),
+    )
     if once:
         split = _first_lines(split)
-    # Each entity takes its two cells before the explode, which then copies no whole lines.
     cells = split.select(
-        "match_id", "team", "source_file", "period", "frame", "time",
-        F.explode(F.transform("pairs", lambda p: F.struct(
-            p["prefix"].alias("prefix"), cell(p["x_pos"]).alias("x"), cell(p["y_pos"]).alias("y")
-        ))).alias("pair"),
+        "match_id", "team", "source_file", "period", "frame", "time", F.explode("pairs").alias("pair")
     )
     raw_x, raw_y = _double(F.col("pair.x")), _double(F.col("pair.y"))
     columns = {
@@ -396,7 +387,7 @@ def events_from_lines(lines: DataFrame, few_files: bool) -> DataFrame:
     """
     lines = lines.where(F.btrim("value") != "")
     headers = lines.groupBy("source_file").agg(
-        F.min("line_pos").alias("header_pos"), _cells(F.min_by("value", "line_pos")).alias("names")
+        F.min("line_pos").alias("header_pos"), csv_cells(F.min_by("value", "line_pos")).alias("names")
     )
     bare = F.transform("names", _bare)
     last = F.size("names")
@@ -412,7 +403,7 @@ def events_from_lines(lines: DataFrame, few_files: bool) -> DataFrame:
     headers = headers.withColumns({f"{k}_pos": position(c) for k, c in EVENT_NAMES.items()})
     joined = attach(lines, headers, ["source_file"], few_files, F.col("value"))
     rows = joined.where(F.col("line_pos") > F.col("header_pos")).withColumn(
-        "cells", _fields(F.col("value"))
+        "cells", fields(F.col("value"))
     )
 
     def value(key: str) -> Column:
@@ -499,26 +490,42 @@ def discover(
     return files.join(named, ["folder", "part"]).select("source_file", "role", "match_id"), summary
 
 
-def _lines(spark: SparkSession, raw_dir: str, pattern: str, files: DataFrame, few: bool) -> DataFrame:
-    """The lines of some files with match_id, team, source_file and line_pos."""
-    lines = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        .text(str(raw_dir))
-        .select(
-            "value",
-            file_path().alias("source_file"),
-            F.struct(
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("line"),
-            ).alias("line_pos"),
-        )
+def match_files(spark: SparkSession, raw_dir: str) -> DataFrame | None:
+    """source_file and match_id of every file below ``raw_dir``; None if there are none."""
+    found = discover(spark, raw_dir)
+    return found and found[0].select("source_file", "match_id")
+
+
+def _lines(
+    spark: SparkSession, raw_dir: str, pattern: str, files: DataFrame, count: int, only: list[str] | None
+) -> tuple[DataFrame, bool]:
+    """The records of some files with match_id, team, source_file and line_pos, and whether the files
+    are few; records that hold line breaks in quoted cells are put together."""
+    reader, paths = spark.read, str(raw_dir)
+    if only is None:
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    else:
+        files, paths = files.where(F.col("source_file").isin(only)), [literal(p) for p in only]
+        count = len(only)
+    few = count <= BROADCAST_ROWS
+    lines = reader.text(paths).select(
+        "value",
+        file_path().alias("source_file"),
+        F.struct(
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line"),
+        ).alias("line_pos"),
     )
-    return attach(lines, files.withColumnRenamed("role", "team"), ["source_file"], few, F.col("value"),
-                  how="inner")
+    lines = attach(lines, files.withColumnRenamed("role", "team"), ["source_file"], few, F.col("value"),
+                   how="inner")
+    return whole_records(lines, F.col("line_pos.block")), few
 
 
-def read_tracking(spark: SparkSession, raw_dir: str, match_id: str | None = None) -> DataFrame:
-    """Tracking of every match below ``raw_dir``, or of one, read in one job; see ``discover``."""
+def read_tracking(
+    spark: SparkSession, raw_dir: str, match_id: str | None = None, only: list[str] | None = None
+) -> DataFrame:
+    """Tracking of every match below ``raw_dir``, or of one, read in one job; see ``discover``.
+    ``only`` names the source files to read, all others are just listed."""
     found = discover(spark, raw_dir, match_id)
     if found is None or found[1]["no_home"] == found[1]["no_away"] == found[1]["matches"]:
         raise FileNotFoundError(f"no Metrica tracking CSVs below {raw_dir}")
@@ -529,12 +536,14 @@ def read_tracking(spark: SparkSession, raw_dir: str, match_id: str | None = None
                 f"{summary[f'no_{role}']} of {summary['matches']} Metrica matches below {raw_dir} "
                 f"have no {role} tracking file", stacklevel=2,
             )
-    few = summary["files"] <= BROADCAST_ROWS
-    lines = _lines(spark, raw_dir, TRACKING_FILES, files.where("role <> 'events'"), few)
+    files = files.where("role <> 'events'")
+    lines, few = _lines(spark, raw_dir, TRACKING_FILES, files, summary["files"], only)
     return tracking_from_lines(lines, few_files=few, once=True)
 
 
-def read_events(spark: SparkSession, raw_dir: str, match_id: str | None = None) -> DataFrame:
+def read_events(
+    spark: SparkSession, raw_dir: str, match_id: str | None = None, only: list[str] | None = None
+) -> DataFrame:
     """Events of every match below ``raw_dir``, or of one; no rows when there are no event files."""
     found = discover(spark, raw_dir, match_id)
     if found is None or found[1]["no_events"]:
@@ -542,5 +551,5 @@ def read_events(spark: SparkSession, raw_dir: str, match_id: str | None = None)
     if found is None:
         return canonical_events(spark.createDataFrame([], "match_id string"))
     files, summary = found
-    few = summary["files"] <= BROADCAST_ROWS
-    return events_from_lines(_lines(spark, raw_dir, EVENT_FILES, files.where("role = 'events'"), few), few)
+    files = files.where("role = 'events'")
+    return events_from_lines(*_lines(spark, raw_dir, EVENT_FILES, files, summary["files"], only))

@@ -14,21 +14,27 @@ from pitchspark.sources import metrica, skillcorner, soccertrack, statsbomb
 Reader = Callable[..., DataFrame]
 
 
-def _no_events(spark: SparkSession, raw_dir: str, match_id: str | None = None) -> DataFrame:
+def _no_events(
+    spark: SparkSession, raw_dir: str, match_id: str | None = None, only: list[str] | None = None
+) -> DataFrame:
     return canonical_events(spark.createDataFrame([], "match_id string"))
 
 
 @dataclass(frozen=True)
 class Provider:
-    """Readers take (spark, raw_dir, match_id). Events default to none."""
+    """Readers take (spark, raw_dir, match_id) and ``only``, the files to read. ``match_files`` takes
+    (spark, raw_dir) and tells which file belongs to which match. Events default to none."""
 
     read_tracking: Reader
+    match_files: Callable[[SparkSession, str], DataFrame | None]
     read_events: Reader = _no_events
 
 
 PROVIDERS = {
-    METRICA: Provider(metrica.read_tracking, metrica.read_events),
-    SKILLCORNER: Provider(skillcorner.read_tracking, skillcorner.read_events),
-    STATSBOMB: Provider(statsbomb.read_tracking, statsbomb.read_events),
-    SOCCERTRACK: Provider(soccertrack.read_tracking),
+    METRICA: Provider(metrica.read_tracking, metrica.match_files, metrica.read_events),
+    SKILLCORNER: Provider(
+        skillcorner.read_tracking, skillcorner.match_files, skillcorner.read_events
+    ),
+    STATSBOMB: Provider(statsbomb.read_tracking, statsbomb.match_files, statsbomb.read_events),
+    SOCCERTRACK: Provider(soccertrack.read_tracking, soccertrack.match_files),
 }

@@ -9,9 +9,10 @@ from pitchspark.constants import BALL, PLAYER, SKILLCORNER
 from pitchspark.functions.casts import no_nan
 from pitchspark.functions.coordinates import center_to_top_left
 from pitchspark.schema import canonical_events, canonical_tracking
-from pitchspark.sources.files import file_path, folder, listing, parent_name, stem
+from pitchspark.sources.files import file_path, folder, listing, literal, parent_name, stem
 
 # Objects are read as maps: whether a key is absent or null decides visibility and ball rows.
+PATTERN = "*tracking*.jsonl"
 FRAME_SCHEMA = (
     "frame string, timestamp string, period string, "
     "ball_data map<string,string>, player_data array<map<string,string>>"
@@ -94,25 +95,35 @@ def _own_match(path: Column) -> Column:
     return F.when(own_name != "", own_name).otherwise(parent_name(path))
 
 
+def match_files(spark: SparkSession, raw_dir: str) -> DataFrame | None:
+    """source_file and match_id of every file below ``raw_dir``; None if there is no such directory."""
+    found = listing(spark, raw_dir, PATTERN)
+    return found and found.select("source_file", _own_match(F.col("source_file")).alias("match_id"))
+
+
 def read_tracking(
-    spark: SparkSession, raw_dir: str, match_id: str | None = None, clock_times: bool = False
+    spark: SparkSession,
+    raw_dir: str,
+    match_id: str | None = None,
+    clock_times: bool = False,
+    only: list[str] | None = None,
 ) -> DataFrame:
     """Tracking from ``*tracking*.jsonl`` files, each under the part of its name before
     ``_tracking``, or else its directory.
 
     ``match_id`` chooses the files of that name or directory; if there is one match only, of
     another name, it takes the given one. Without a match that fits, or with such files in several
-    directories, it fails.
+    directories, it fails. ``only`` names the source files to read, all others are just listed.
     """
-    pattern = "*tracking*.jsonl"
-    found = listing(spark, raw_dir, pattern)
+    found = listing(spark, raw_dir, PATTERN)
     if found is None or found.isEmpty():
         raise FileNotFoundError(f"no SkillCorner tracking JSONL files below {raw_dir}")
     path = F.col("_path")
-    frames = (
-        spark.read.schema(FRAME_SCHEMA).option("mode", "FAILFAST")
-        .option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        .json(str(raw_dir)).select("*", file_path().alias("_path"))
+    reader = spark.read.schema(FRAME_SCHEMA).option("mode", "FAILFAST")
+    if only is None:
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", PATTERN)
+    frames = reader.json(str(raw_dir) if only is None else [literal(p) for p in only]).select(
+        "*", file_path().alias("_path")
     )
     if match_id is None:
         return frames_to_tracking(frames, _own_match(path), path, clock_times)
@@ -134,6 +145,8 @@ def read_tracking(
     return frames_to_tracking(frames, F.lit(match_id), path, clock_times)
 
 
-def read_events(spark: SparkSession, raw_dir: str, match_id: str | None = None) -> DataFrame:
+def read_events(
+    spark: SparkSession, raw_dir: str, match_id: str | None = None, only: list[str] | None = None
+) -> DataFrame:
     """This provider's events are not read: no rows."""
     return canonical_events(spark.createDataFrame([], "match_id string"))

@@ -36,6 +36,20 @@ def write_table(df: DataFrame, path: str) -> str:
     return path
 
 
+def replace_matches(df: DataFrame, path: str) -> None:
+    """Write by match, replacing just the matches present in ``df``."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("match_id").parquet(path)
+
+
+def read_windows(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """Windows or their description, written by ``replace_matches``; a match named by digits keeps its
+    name, which Spark would take for a number."""
+    if schema is None:
+        own = spark.read.option("recursiveFileLookup", True).parquet(path).schema
+        schema = StructType([StructField("match_id", StringType()), *own.fields])
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
 def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Scan with the files' own types, so that other tools' tables can be read, then canonicalise.
 

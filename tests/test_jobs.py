@@ -52,6 +52,38 @@ def test_files_to_windows(spark, tmp_path, capsys):
     assert windows.first().agent_ids == ["home_player11", "away_player7", "ball", ""]
 
 
+def test_one_match_is_exported_again(spark, tmp_path, capsys):
+    """The others' files stay as they are, and names of digits stay text."""
+    rows = [
+        {"match_id": m, "period": 1, "frame_id": i, "time_s": i / 10, "agent_id": "home_1", "agent_type": "player",
+         "team_id": "home", "x_m": 1.0 * i, "y_m": 2.0}
+        for m in ("007", "8") for i in range(6)
+    ]
+    path, out = str(tmp_path / "t"), str(tmp_path / "w")
+    tables.write_table(table(spark, rows).withColumn("dataset", F.lit("d")), path)
+    args = ["export-windows", "--tracking", path, "--out", out, "--history-s", "0.1", "--future-s", "0.1"]
+    assert run(spark, capsys, *args)[0] == 0
+
+    def files():
+        found = tmp_path.glob("w/*/match_id=*/*.parquet")
+        return {str(f): (f.stat().st_mtime_ns, f.read_bytes()) for f in found}
+
+    def counts(part):
+        df = tables.read_windows(spark, f"{out}/{part}.parquet")
+        return {r.match_id: r["count"] for r in df.groupBy("match_id").count().collect()}
+
+    before = files()
+    assert counts("windows") == counts("window_meta") == {"007": 5, "8": 5}
+    tables.write_table(table(spark, rows[:5]).withColumn("dataset", F.lit("d")), path)
+    assert run(spark, capsys, *args, "--match-id", "007")[0] == 0
+    after = files()
+    assert counts("windows") == counts("window_meta") == {"007": 4, "8": 5}
+    kept = {f: v for f, v in before.items() if "match_id=8" in f}
+    assert kept and kept.items() <= after.items()
+    assert not {f for f in before if "match_id=007" in f} & after.keys()
+    assert tables.read_windows(spark, f"{out}/windows.parquet").schema["x_history"].metadata["names"]
+
+
 def test_missing_files_exit_with_one(spark, tmp_path, capsys):
     code, text = run(spark, capsys, "ingest", "--raw-dir", str(tmp_path / "no"), "--out-dir",
                      str(tmp_path / "out"))

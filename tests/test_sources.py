@@ -259,5 +259,3 @@ def test_soccertrack_mapping(spark):
     )
     r = soccertrack.annotations_to_tracking(raw, F.lit("m")).first()
     assert (r.frame_id, r.agent_id, r.team_id, r.x_m, r.role) == (3, "8", "left", 1.0, "referee")
-    with pytest.raises(NotImplementedError):
-        PROVIDERS["soccertrack"].read_tracking(spark, "x")
