@@ -1,16 +1,15 @@
-"""Token ids of whole texts by a file of the ``tokenizers`` library, with a cache of words.
+"""Token ids of whole texts by a file of the ``tokenizers`` library, with a cache of pieces.
 
-The tokenizers used here never look across a space that stands between two other characters, so a
-text's ids are those of its parts between spaces, one after the other. Each part is encoded once
-and kept; a text with runs of white space that could be joined across such a cut is encoded whole.
-
-Most parts are letters with marks after them. Byte-level tokenizers split those in the same way,
-so the library's model is called for letters and marks on their own, past its normalising and
-splitting; whether that gives the same ids is tried when a tokenizer is loaded.
+Byte-pair tokenizers cut a text into pieces by a pattern and then encode each piece for itself. For
+the two patterns known here, texts of ASCII and Latin letters are cut by an equal pattern of Python's
+own, so that the library's model is asked for each different piece once and its ids are kept.
+Whether that gives the same ids is tried when a tokenizer is loaded. Other texts, those that hold a
+special token and other tokenizers' are encoded whole by the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import random
 import re
@@ -19,153 +18,139 @@ from itertools import chain, repeat
 
 import numpy as np
 
-# Parts that one Python worker keeps in each of two generations, and pieces of parts: in all about
-# 150 MB. More are no faster, as they fit the processor's caches less.
-CACHED_PARTS = 120_000
-CACHED_PIECES = 150_000
+# Pieces that one Python worker keeps: about 80 MB. The frequent ones come early, so what comes when
+# the cache is full is encoded where it is met; after REFRESH times as many it is filled anew.
+CACHED_PARTS = 300_000
+REFRESH = 20
 # Characters that are encoded at a time.
 CHUNK_CHARS = 1_000_000
-# The characters that the tokenizers' \s matches.
-_SPACE = "\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_UNSAFE = re.compile(f"[{_SPACE}] (?:[{_SPACE}]|$)")
+# The letters and the white space that the patterns are stated for; no other
+# character of a text they cut is a letter, a digit beyond 0-9 or white space.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_SPACE = "\t-\r "
+_ODD = re.compile(f"[^\x00-\x7f{_LETTERS}]")
+# How the known tokenizers cut a text, as their files and the library state it. Letters
+# are tried first here, since most pieces are words; no other alternative begins with one.
+_SHORT = "'(?:[stmd]|re|ve|ll)"
+_OTHER = f"[^{_SPACE}0-9{_LETTERS}]"
+_BYTE_LEVEL = re.compile(
+    f" ?[{_LETTERS}]+|{_SHORT}| ?[0-9]+| ?{_OTHER}+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+)
+_WORDS = re.compile(f"[{_LETTERS}]+|{_SHORT}|[0-9]|{_OTHER}+")
+_WORDS_STATED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# A space that no pattern looks across.
 _CUT = re.compile(f"(?<=[^{_SPACE}]) (?=[^{_SPACE}])")
-# Letters of one code point in any normal form, then marks that belong to no special token.
-_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-_SIMPLE = re.compile(rf"([{_LETTERS}]*)([!#$%&()*+,\-./:;=?@\[\]^_{{}}~\"]*)")
+
+
+def _pattern_of(spec: dict) -> tuple[re.Pattern, bool] | None:
+    """The pattern that cuts texts for a tokenizer, and whether they are lower-cased before."""
+    cuts, changes = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
+    if spec["model"]["type"] != "BPE" or spec["model"].get("byte_fallback"):
+        return None
+    if cuts.get("type") == "ByteLevel":
+        plain = cuts["use_regex"] and not cuts["add_prefix_space"] and not changes
+        return (_BYTE_LEVEL, False) if plain else None
+    steps = cuts.get("pretokenizers", [])
+    kinds = [x["type"] for x in changes.get("normalizers", [])]
+    if [s["type"] for s in steps] != ["Split", "ByteLevel"] or steps[1]["use_regex"]:
+        return None
+    if steps[0]["pattern"].get("Regex") != _WORDS_STATED or set(kinds) - {"NFC", "Replace", "Lowercase"}:
+        return None
+    return _WORDS, "Lowercase" in kinds
 
 
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.lower = self._whole("A") == self._whole("a")
-        self.spaces = self._whole(" a") != self._whole("a")
-        self.space = self.bytes.pre_tokenize_str(" ")[0][0]
-        self.pieces: dict[str, list[int]] = {}
-        self.simple = self._simple_works()
-        self.code: dict = {}
+        spec = json.loads(self.tokenizer.to_str())
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.special_starts = {t[0] for t in self.special}
+        known = _pattern_of(spec)
+        self.cut, self.lower = known or (None, False)
+        self.names = self._byte_names()
         self._clear()
+        if known and not self._works():
+            self.cut = None
+        self._clear()
+
+    def _whole(self, text: str) -> np.ndarray:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.asarray(ids, dtype=np.int32)
+
+    def _byte_names(self) -> dict[int, str]:
+        """The library's names of the bytes that the letters' codes and ASCII have."""
+        from tokenizers import pre_tokenizers
 
-    def _whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        names = {}
+        for c in map(chr, range(0x100)):
+            raw = c.encode()
+            names |= dict(zip(raw, level.pre_tokenize_str(c)[0][0], strict=True))
+        return names
 
-    def _simple_works(self) -> bool:
+    def _works(self) -> bool:
         rng = random.Random(1)
         letters = [chr(c) for c in range(0x41, 0x100) if re.match(f"[{_LETTERS}]", chr(c))]
-        marks = [chr(c) for c in range(0x21, 0x7F) if _SIMPLE.fullmatch(chr(c)) and not chr(c).isalpha()]
-        for i in range(600):
-            kinds = letters[:52] if i % 2 else letters
-            text = "".join(rng.choices(kinds, k=i % 9) + rng.choices(marks, k=i % 4))
-            for spaced in (False, True) if text else ():
-                if self._simple_ids(text, spaced) != self._whole(" " * spaced + text):
-                    return False
+        others = [chr(c) for c in range(0x80)]
+        short = ["'s", "'LL", "'re", " '", "  ", "\n\n", " \n", "don't", "<|", "12"]
+        for i in range(400):
+            kinds = (letters[:52] * 2 + [" "] * 20, letters + [" "] * 20, letters + others, short + others)[i % 4]
+            text = "".join(rng.choices(kinds, k=i % 23))
+            if self._usual(text) and not np.array_equal(next(self.encode([text])), self._whole(text)):
+                return False
         return True
 
-    def _piece(self, piece: str) -> list[int]:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) > CACHED_PIECES:
-                self.pieces.clear()
-            # The library's own names of bytes; ASCII letters and marks are named by themselves.
-            mapped = piece if piece.isascii() and piece[0] != " " else self._mapped(piece)
-            found = self.pieces[piece] = [t.id for t in self.model.tokenize(mapped)]
-        return found
-
-    def _mapped(self, piece: str) -> str:
-        if piece.isascii():
-            return self.space + piece[1:]
-        return self.bytes.pre_tokenize_str(piece)[0][0]
-
-    def _simple_ids(self, part: str, spaced: bool) -> list[int] | None:
-        """Ids of a part of letters and marks; None for another."""
-        match = _SIMPLE.fullmatch(part)
-        if match is None:
-            return None
-        letters, marks = match.groups()
-        if self.lower:
-            letters = letters.lower()
-        space = " " if spaced and self.spaces else ""
-        if not letters:
-            return self._piece(space + marks) if marks else None
-        ids = self._piece(space + letters)
-        return ids + self._piece(marks) if marks else ids
+    def _usual(self, text: str) -> bool:
+        """Whether a text can be cut by the pattern."""
+        if self.cut is None or _ODD.search(text):
+            return False
+        return not any(c in text for c in self.special_starts) or not any(t in text for t in self.special)
 
     def _clear(self) -> None:
-        """Start a generation; what the one before has is taken over when it is met."""
-        if self.code:
-            self.old = (self.code, self.ids, self.ends)
-        else:
-            self.old = ({}, None, None)
         self.code = {}
         self.ids = np.zeros(1 << 16, dtype=np.int32)
         self.ends = np.zeros(1 << 14, dtype=np.int64)
-        self.used = 0
-
-    def _add(self, keys: list) -> None:
-        """Keep the ids of parts not met before. A tuple holds a part at the start of a text,
-        without a space before it."""
-        old, ids, ends = self.old
-        found: list = []
-        others = []
-        match, pieces, lower, simple = _SIMPLE.fullmatch, self.pieces.get, self.lower, self.simple
-        space = " " if self.spaces else ""
-        for key in keys:
-            if key in old:
-                at = old[key]
-                found.append(ids[ends[at] : ends[at + 1]].tolist())
-                continue
-            if type(key) is tuple:
-                known = self._simple_ids(key[0], False) if simple else None
-                if known is None:
-                    others.append((len(found), key[0]))
-                found.append(known)
-                continue
-            # As in _simple_ids, without the calls.
-            cut = match(key) if simple else None
-            letters, marks = cut.groups() if cut else ("", "")
-            if letters:
-                letters = space + (letters.lower() if lower else letters)
-                known = pieces(letters) or self._piece(letters)
-                if marks:
-                    known = known + (pieces(marks) or self._piece(marks))
-            elif marks:
-                known = self._piece(space + marks)
-            else:
-                known = None
-                others.append((len(found), f" {key}"))
-            found.append(known)
-        texts = [text for _, text in others]
-        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        for (place, _), one in zip(others, made, strict=True):
-            found[place] = one.ids
-        n = len(self.code)
-        self.code.update(zip(keys, range(n, n + len(keys)), strict=True))
-        after = self.used + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-        total = int(after[-1]) - self.used
-        while self.used + total > len(self.ids):
+        self.passed = 0
+
+    def _add(self, pieces: list[str]) -> dict[str, int]:
+        """Codes of different pieces not met before, which are kept if there is room. The ids of
+        others stand behind those that are kept until the next call."""
+        tokenize, names, found = self.model.tokenize, self.names, []
+        for piece in pieces:
+            if not piece.isascii() or piece[0] <= " " or not piece.isprintable():
+                piece = piece.encode().decode("latin-1").translate(names)
+            found.append([t.id for t in tokenize(piece)])
+        n, sizes = len(self.code), np.fromiter(map(len, found), np.int64, len(found))
+        used = int(self.ends[n])
+        after = used + np.cumsum(sizes)
+        while after[-1] > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(keys) >= len(self.ends):
+        while n + len(pieces) >= len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ids[self.used : self.used + total] = np.fromiter(
-            chain.from_iterable(found), np.int32, total
-        )
-        self.ends[n + 1 : n + 1 + len(keys)] = after
-        self.used += total
-
-    def _parts(self, parts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all parts in a row, and the number of ids of each."""
-        if len(self.code) > CACHED_PARTS:
+        self.ids[used : after[-1]] = np.fromiter(chain.from_iterable(found), np.int32, int(after[-1]) - used)
+        self.ends[n + 1 : n + 1 + len(pieces)] = after
+        codes = dict(zip(pieces, range(n, n + len(pieces)), strict=True))
+        if n < CACHED_PARTS:
+            self.code |= codes
+        else:
+            self.passed += len(pieces)
+        return codes
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and the number of ids of each."""
+        if self.passed > REFRESH * CACHED_PARTS:
             self._clear()
-        codes = np.fromiter(map(self.code.get, parts, repeat(-1)), np.int64, len(parts))
+        codes = np.fromiter(map(self.code.get, pieces, repeat(-1)), np.int64, len(pieces))
         if missing := np.flatnonzero(codes < 0).tolist():
-            self._add(list(dict.fromkeys(parts[i] for i in missing)))
-            codes[missing] = [self.code[parts[i]] for i in missing]
+            new = [pieces[i] for i in missing]
+            added = self._add(list(dict.fromkeys(new)))
+            codes[missing] = np.fromiter(map(added.__getitem__, new), np.int64, len(new))
         starts = self.ends[codes]
         sizes = self.ends[codes + 1] - starts
         before = np.cumsum(sizes) - sizes
@@ -173,52 +158,45 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text; a missing text has none."""
-        waiting, sizes, held = [], [], 0
+        waiting: list[str] = []
+        numbers: list[int] = []
+        held = 0
 
         def flush():
-            ids, lengths = self._parts(waiting)
-            ends = np.concatenate([[0], np.cumsum(lengths)])
+            ids, sizes = self._pieces(waiting)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
             place = 0
-            for n in sizes:
+            for n in numbers:
                 yield ids[ends[place] : ends[place + n]]
                 place += n
 
         for text in texts:
             text = text or ""
-            if len(text) > CHUNK_CHARS or _UNSAFE.search(text):
+            usual = self._usual(text)
+            if not usual or len(text) > CHUNK_CHARS:
                 yield from flush()
-                waiting, sizes, held = [], [], 0
-                yield self._long(text)
+                waiting, numbers, held = [], [], 0
+                yield self._long(text) if usual else self._whole(text)
                 continue
-            parts: list = text.split(" ")
-            parts[0] = (parts[0],)
-            waiting += parts
-            sizes.append(len(parts))
+            pieces = self.cut.findall(text.lower() if self.lower else text)
+            waiting += pieces
+            numbers.append(len(pieces))
             held += len(text)
             if held >= CHUNK_CHARS:
                 yield from flush()
-                waiting, sizes, held = [], [], 0
+                waiting, numbers, held = [], [], 0
         yield from flush()
 
     def _long(self, text: str) -> np.ndarray:
-        """Ids of a text that is long or has runs of white space, cut where nothing crosses."""
+        """Ids of a long text, cut where nothing crosses."""
         found, at = [], 0
         while at < len(text):
             cut = _CUT.search(text, at + CHUNK_CHARS)
             end = cut.start() if cut else len(text)
-            piece = text[at:end]
-            if _UNSAFE.search(piece):
-                ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-                found.append(np.asarray(ids, dtype=np.int32))
-            else:
-                parts: list = piece.split(" ")
-                if at == 0:
-                    parts[0] = (parts[0],)
-                else:
-                    parts = parts[1:]
-                found.append(self._parts(parts)[0])
+            part = text[at:end]
+            found.append(self._pieces(self.cut.findall(part.lower() if self.lower else part))[0])
             at = end
-        return np.concatenate(found) if found else np.zeros(0, dtype=np.int32)
+        return np.concatenate(found)
 
 
 _encoders: dict[str, Encoder] = {}
