@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pitchspark.operators.skew import shared_folder
+
 # What counts as white space between words, as characters and as a pattern of a word.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="pitchspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -56,9 +48,19 @@ def extended(schema: T.StructType, columns: str) -> T.StructType:
     return T.StructType([*schema.fields, *T.StructType.fromDDL(columns).fields])
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The table itself if it is a plain scan of files, which gives the same rows in the same order
+    every time; any other (repartitioned, joined, made by chance) is written once and read again."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    plain = plan.deterministic() and bool(df.inputFiles())
+    while plain and plan.nodeName() == "Project":
+        plan = plan.children().head()
+    return df if plain and plan.nodeName() == "LogicalRelation" else stored(df, name)
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """Number the rows. Give it a stored table, not the result of a shuffle: the numbers are those
-    of the places in the splits of its files, and so the same in every scan of the session.
+    """Number the rows. Give it a ``settled`` table, not the result of a shuffle: the numbers are
+    those of the places in the splits of its files, and so the same in every scan of the session.
 
     Spark makes the splits from sizes and, if it isn't told how many to make at least, from the
     number of cores at the time; that would change with a lost executor, so it is told here.

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchspark.llm.common import SPACES, fresh, numbered, stored
+from pitchspark.llm.common import SPACES, fresh, numbered, settled, stored
 
 # Bytes of a block, and bits of a name that count within one sort partition.
 BLOCK_BYTES = 4096
@@ -106,7 +106,7 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     then the one with the smallest doc_id (null first), then the first row, so that of rows that
     repeat an id one stays too. Other columns of ``docs`` are not read. No row gives no row.
     """
-    docs = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
+    docs = settled(docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")), "exact-dedup-rows")
     clean = numbered(docs, "row").select(
         "row",
         "doc_id",
@@ -173,6 +173,6 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    row = fresh(docs, "row_number")
+    docs, row = settled(docs, "exact-dedup-input"), fresh(docs, "row_number")
     kept = exact_groups(docs, block_bytes).where("kept").select(F.col("row").alias(row))
     return numbered(docs, row).join(kept, row, "left_semi").drop(row)

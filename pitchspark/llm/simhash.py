@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchspark.llm.common import fresh, numbered, stored
+from pitchspark.llm.common import fresh, numbered, settled, stored
 from pitchspark.llm.components import connected, roots
 from pitchspark.llm.golay import decode, near_indices
 
@@ -215,7 +215,7 @@ def simhash_groups(
     A null text has no words; texts without words have fingerprint 0, which links like any other.
     Rows that repeat an id are rows of their own. Other columns of ``docs`` are not read.
     """
-    docs = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
+    docs = settled(docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")), "simhash-rows")
     found = stored(
         fingerprints(numbered(docs, "row"), "text", "print", shingle_words, seed), "simhash-prints"
     )
@@ -242,6 +242,6 @@ def simhash_groups(
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """One row of each component of ``docs``, with all its columns."""
-    row = fresh(docs, "row_number")
+    docs, row = settled(docs, "simhash-input"), fresh(docs, "row_number")
     kept = simhash_groups(docs, **options).where("kept").select(F.col("row").alias(row))
     return numbered(docs, row).join(kept, row, "left_semi").drop(row)

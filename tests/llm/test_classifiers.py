@@ -65,18 +65,6 @@ def test_toxicity_learns_planted_words():
     assert area(found @ model.output[:-1], label[600:]) > 0.9
 
 
-def test_pooling_reads_long_texts_whole(monkeypatch):
-    rng = np.random.default_rng(16)
-    model = toxicity.train([np.arange(50, dtype=np.uint32)] * 4, np.array([0, 1, 0, 1]), 1)
-    docs = [rng.integers(1, 52, n) for n in (0, 1, 2, 5, 300, 77)]
-    whole = toxicity.pooled(model.tables(), model.shift, docs)
-    monkeypatch.setattr(toxicity, "_WORDS", 10)
-    # Only at the end of a part may a filter see fewer words than in the whole text.
-    assert (toxicity.pooled(model.tables(), model.shift, docs) >= whole - 1e-5).all()
-    alone = [toxicity.pooled(model.tables(), model.shift, [d]) for d in docs]
-    assert np.allclose(np.concatenate(alone)[:4], whole[:4], atol=1e-5)
-
-
 def test_pooling_in_parts_is_that_of_the_whole(monkeypatch):
     rng = np.random.default_rng(21)
     model = toxicity.train([np.arange(50, dtype=np.uint32)] * 4, np.array([0, 1, 0, 1]), 1)
@@ -130,23 +118,32 @@ def test_quality(spark, tables, tmp_path):
     assert quality.scored(odd.limit(0), labels).count() == 0
 
 
-def test_quadratic_discriminant():
-    """Against the log densities of two normal distributions."""
+@pytest.mark.parametrize("pooled, diagonal", [(0.0, 0.0), (0.3, 0.1)])
+@pytest.mark.parametrize("n", [(4000, 4000), (4000, 60)])
+def test_quadratic_discriminant(n, pooled, diagonal):
+    """Against the log densities of two normal distributions with shrunk covariances: each class's
+    own, drawn to that of both by ``pooled`` and by the statistics per row it has."""
     rng = np.random.default_rng(18)
     d = len(quality.NAMES)
-    x = [rng.normal(size=(4000, d)) @ rng.normal(size=(d, d)) * 0.3 + i for i in (0, 1)]
-    counts = np.array([4000.0, 4000.0])
+    x = [rng.normal(size=(n[i], d)) @ rng.normal(size=(d, d)) * 0.3 + i for i in (0, 1)]
+    counts = np.array(n, dtype=float)
     sums, squares = np.stack([a.sum(axis=0) for a in x]), np.stack([a.T @ a for a in x])
-    model = quality.model_of(counts, sums, squares, 0.0, 0.0)
+    model = quality.model_of(counts, sums, squares, pooled, diagonal)
+
+    centred = np.concatenate([a - a.mean(axis=0) for a in x])
+    common = centred.T @ centred / (len(centred) - 2) + 1e-4 * np.eye(d)
+    common[~np.eye(d, dtype=bool)] *= 1 - diagonal
 
     def density(data, rows):
-        cov, delta = np.cov(data.T), rows - data.mean(axis=0)
-        return -0.5 * (np.einsum("ij,jk,ik->i", delta, np.linalg.inv(cov), delta) + np.linalg.slogdet(cov)[1])
+        share = 1 - (1 - pooled) * (1 - d / (d + len(data)))
+        cov, delta = (1 - share) * np.cov(data.T) + share * common, rows - data.mean(axis=0)
+        mahalanobis = np.einsum("ij,jk,ik->i", delta, np.linalg.inv(cov), delta)
+        return np.log(len(data)) - 0.5 * (mahalanobis + np.linalg.slogdet(cov)[1])
 
     rows = np.concatenate([x[0][:50], x[1][:50]])
     want = density(x[1], rows) - density(x[0], rows)
-    assert np.corrcoef(model.margin(rows), want)[0, 1] > 0.99
-    assert (np.sign(model.margin(rows)) == np.sign(want)).mean() > 0.95
+    assert np.allclose(model.margin(rows), want, rtol=1e-6, atol=1e-6)
+    assert (np.sign(want) == np.repeat([-1, 1], 50)).mean() > 0.9
 
 
 def test_language(spark, tables, tmp_path):
@@ -166,6 +163,15 @@ def test_language(spark, tables, tmp_path):
     assert language.identified(odd.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("step", [1, 2, 3, 7])
+def test_language_features_of_parts_are_those_of_the_whole(monkeypatch, step):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ab  é\n.Ü中", k=n)) for n in (0, 1, 2, 3, 10, 50, 500)]
+    whole = [language.features(t) for t in texts]
+    monkeypatch.setattr(language, "_STEP", step)
+    assert all(np.array_equal(language.features(t), w) for t, w in zip(texts, whole, strict=True))
+
+
 def test_codewords_are_apart():
     for n in (1, 2, 3, 4, 5, 12, 100):
         table = language.codewords(n)

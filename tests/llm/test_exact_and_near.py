@@ -9,8 +9,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pitchspark.llm import components, exact_dedup, golay, simhash
-from pitchspark.llm.common import WORD
+from pitchspark.llm import components, exact_dedup, golay, jaccard, simhash
+from pitchspark.llm.common import WORD, settled
 from tests.llm.helpers import CLASHING, awkward, documents, words
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
@@ -182,3 +182,34 @@ def test_xxhash_agrees_with_spark(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] & (1 << 64) - 1 for r in rows.select(F.xxhash64("t")).collect()]
     assert got == [xxhash.xxh64_intdigest(t.encode(), 42) for t in texts]
+
+
+@pytest.mark.parametrize("made", ["repartitioned", "joined", "shuffled"])
+def test_tables_that_are_not_stored_lose_no_text(spark, tmp_path, made):
+    """Rows that Spark may deal out otherwise in each scan: what stays is right all the same."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    table = {
+        "repartitioned": lambda: docs.repartition(7),
+        "joined": lambda: docs.join(labels, "doc_id", "left").repartition(5, "toxic"),
+        "shuffled": lambda: docs.orderBy(F.rand()),
+    }[made]()
+    rows = docs.collect()
+    groups = defaultdict(list)
+    for r in rows:
+        groups[SPACE.sub("", r.text)].append((-len(r.text), r.doc_id))
+    kept = exact_dedup.drop_exact_copies(table).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(min(g)[1] for g in groups.values())
+    assert {r.doc_id: r.text for r in kept}.items() <= {r.doc_id: r.text for r in rows}.items()
+    for drop in (simhash.drop_near_copies, jaccard.drop_near_copies):
+        want = sorted(r.doc_id for r in drop(docs).collect())
+        assert sorted(r.doc_id for r in drop(table).collect()) == want
+
+
+def test_a_plain_scan_is_not_written_again(spark, tmp_path):
+    docs = documents(spark, tmp_path, awkward())
+    for same in (docs, docs.select("doc_id", "text"), docs.withColumn("x", F.upper("text"))):
+        assert settled(same, "t") is same
+    for other in (docs.limit(3), docs.repartition(2), docs.withColumn("x", F.rand()), docs.unionAll(docs)):
+        assert settled(other, "t") is not other

@@ -15,6 +15,7 @@ from pitchspark.llm import packing, toxicity
 from pitchspark.llm.queries import llm_oracles, llm_queries
 from tests.llm.helpers import crc32
 from tests.llm.test_exact_and_near import SPACE, brute_print, union_find
+from tests.llm.test_jaccard import brute_links
 from tests.llm.test_mixing_and_embeddings import brute_targets
 
 SF = "/root/testdata/sf0.001"
@@ -130,10 +131,12 @@ def test_pipeline(spark, docs, tmp_path):
         groups[SPACE.sub("", r.text)].append((-len(r.text), r.doc_id))
     assert {r.doc_id for r in rows[2]} == {min(g)[1] for g in groups.values()}
 
-    prints = {r.doc_id: brute_print(r.text) for r in rows[2]}
-    links = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4]
-    root = union_find(prints, links)
-    assert {r.doc_id for r in rows[3]} == set(root.values()) and len(rows[3]) == len(set(root.values()))
+    texts = [(r.doc_id, r.text) for r in rows[2]]
+    root = union_find(range(len(texts)), brute_links([t for _, t in texts]))
+    smallest = {}
+    for i, (doc_id, _) in enumerate(texts):
+        smallest[root[i]] = min(doc_id, smallest.get(root[i], doc_id))
+    assert sorted(r.doc_id for r in rows[3]) == sorted(smallest.values())
 
     sizes = defaultdict(int)
     for r in rows[3]:
