@@ -28,6 +28,8 @@ THRESHOLD = 0.95
 BLOCK = 4096
 SAMPLE = 20_000
 MAX_CELLS = 2048
+# Cells of few vectors.
+LEAST_CELLS = 8
 _ROWS = 512
 
 
@@ -55,7 +57,8 @@ def _units(vectors: pa.Array) -> np.ndarray:
 
 def _visits(found: np.ndarray, size: int, threshold: float):
     """Rows (number, times, cell, home, vector) for each vector's own cell and those it visits."""
-    apart = np.linalg.norm(found[:, None] - found[None], axis=2) if len(found) else None
+    # Squared distances of unit centres, from their products: cells x cells.
+    apart = np.maximum(0, 2 - 2 * found @ found.T)
     tangent = np.sqrt(max(0.0, 1 - threshold**2)) / threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,8 +71,8 @@ def _visits(found: np.ndarray, size: int, threshold: float):
                     cosines = unit @ found.T
                     home = np.argmax(cosines, axis=1)
                     less = cosines[np.arange(len(rows)), home][:, None] - cosines
-                    across = np.sqrt(np.maximum(0, apart[home] ** 2 - less**2))
-                    go = (less <= tangent * across + 1e-9) & (np.arange(len(found)) > home[:, None])
+                    across = np.sqrt(np.maximum(0, apart[home] - less**2))
+                    go = (less <= tangent * across + 1e-6) & (np.arange(len(found)) > home[:, None])
                     go[np.arange(len(rows)), home] = True
                     who, cell = np.nonzero(go)
                 else:
@@ -151,7 +154,7 @@ def embedding_groups(
         merged.withColumn("number", F.monotonically_increasing_id()), "embeddings-distinct"
     )
     n = merged.count()
-    cells = max(1, min(max_cells, n // block))
+    cells = max(1, min(max_cells, max(n // block, min(LEAST_CELLS, n // 4))))
     size, found = 0, np.zeros((0, 0))
     if cells > 1:
         part = F.pmod(F.xxhash64("number"), F.lit(n)) < sample
@@ -159,6 +162,7 @@ def embedding_groups(
         lengths = drawn.map(len)
         size = int(lengths.mode()[0])
         drawn = np.stack(drawn[lengths == size].tolist())
+        drawn = drawn / np.abs(drawn).max(axis=1, keepdims=True)
         drawn = drawn / np.linalg.norm(drawn, axis=1, keepdims=True)
         found = centres(drawn, min(cells, len(drawn)))
     visits = stored(

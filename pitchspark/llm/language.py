@@ -45,15 +45,19 @@ def features(text: str | None) -> np.ndarray:
     """Square roots of the shares of the hashed n-grams of a whole text, for each order."""
     data = (text or "").lower().encode()
     counts = np.zeros((len(ORDERS), BUCKETS))
+    before = np.zeros(0, dtype=np.uint32)  # the last characters of the part before
     for at in range(0, len(data), _STEP):
-        chars = _CLASS[np.frombuffer(data[at : at + _STEP + max(ORDERS) - 1], np.uint8)]
+        chars = _CLASS[np.frombuffer(data[at : at + _STEP], np.uint8)]
         # Only one space between words.
-        chars = chars[(chars != 32) | (np.concatenate([[0], chars[:-1]]) != 32)]
+        chars = chars[(chars != 32) | (np.concatenate([before[-1:] if len(before) else [0], chars[:-1]]) != 32)]
+        chars, known = np.concatenate([before, chars]), len(before)
         mixed = np.zeros(len(chars), dtype=np.uint32)
         for i, n in enumerate(ORDERS):
-            mixed = mixed[: len(chars) - n + 1] * _MIX[1] + chars[n - 1 :] * _MIX[0]
+            mixed = mixed[: max(0, len(chars) - n + 1)] * _MIX[1] + chars[n - 1 :] * _MIX[0]
             places = (mixed * _MIX[2]) >> np.uint32(32 - int(np.log2(BUCKETS)))
-            counts[i] += np.bincount(places, minlength=BUCKETS)
+            # Those that end in the part before were counted there.
+            counts[i] += np.bincount(places[max(0, known - n + 1) :], minlength=BUCKETS)
+        before = chars[-(max(ORDERS) - 1) :]
     counts /= np.maximum(1, counts.sum(axis=1, keepdims=True))
     return np.sqrt(counts).ravel().astype(np.float32)
 
