@@ -561,9 +561,13 @@ SELECT match_id, period, frame_id, {r6('time_s')}, agent_id, CAST(step AS INTEGE
        {r6('CASE WHEN px < 0 THEN 0 WHEN px > 105 THEN 105 ELSE px END', 'pred_x_m')},
        {r6('CASE WHEN py < 0 THEN 0 WHEN py > 68 THEN 68 ELSE py END', 'pred_y_m')} FROM ahead""",
         "clip_rows": _with(T, _clip(2.0, 6.5)) + rows("x_m", "y_m", table="clip"),
+        "clip_rows_clustered": _with(T, _clip(2.0, 6.5)) + rows("x_m", "y_m", table="clip"),
         "clip_frames": _with(T, _clip(2.0, 6.5)) + f"""
 SELECT DISTINCT match_id, period, frame_id, {r6('time_s')} FROM clip""",
         "agent_trails": _with(T, _clip(0.0, 30.0), TRAILS) + f"""
+SELECT match_id, period, frame_id, {r6('time_s')}, agent_id, team_id, point_frame_id,
+       {r6('point_time_s')}, {r6('x_m')}, {r6('y_m')} FROM pairs WHERE n > 1""",
+        "agent_trail_slices": _with(T, _clip(0.0, 30.0), TRAILS) + f"""
 SELECT match_id, period, frame_id, {r6('time_s')}, agent_id, team_id, point_frame_id,
        {r6('point_time_s')}, {r6('x_m')}, {r6('y_m')} FROM pairs WHERE n > 1""",
         "metrica_header_map": _with(T, """

@@ -16,7 +16,7 @@ from pitchspark.operators import clips, frames, kinematics, pitch, quality, resa
 from pitchspark.operators import windows as win
 from pitchspark.operators.skew import shared_folder
 from pitchspark.plans.features import compute_features
-from pitchspark.sources import metrica, records, skillcorner, soccertrack, statsbomb
+from pitchspark.sources import metrica, records, skillcorner, soccertrack, statsbomb, tables
 from pitchspark.streaming import live
 
 ROW = ["match_id", "period", "frame_id", "time_s", "agent_id"]
@@ -296,6 +296,13 @@ def clip_rows(spark, sf):
     return clips.clip_rows(tracking_table(spark, sf), 2.0, 4.5).select(*ROW, "x_m", "y_m")
 
 
+def clip_rows_clustered(spark, sf):
+    """As clip_rows, from a table on storage that is clustered by time and place."""
+    path = f"{shared_folder(spark)}/clustered-{uuid.uuid4().hex}"
+    tables.write_table(tracking_table(spark, sf), path, clustered=True)
+    return clips.clip_rows(tables.read_tracking(spark, path), 2.0, 4.5).select(*ROW, "x_m", "y_m")
+
+
 def clip_frames(spark, sf):
     return clips.clip_frames(clips.clip_rows(tracking_table(spark, sf), 2.0, 4.5))
 
@@ -304,6 +311,15 @@ def agent_trails(spark, sf):
     return clips.agent_trails(clips.clip_rows(tracking_table(spark, sf), 0.0, 30.0), 0.5)
 
 
+def agent_trail_slices(spark, sf):
+    """The points of agent_trails, from arrays of two points at most."""
+    slices = clips.agent_trail_slices(clips.clip_rows(tracking_table(spark, sf), 0.0, 30.0), 0.5, most=2)
+    return slices.select(
+        "match_id", "period", "frame_id", "time_s", "agent_id", F.inline("trail")
+    ).select("match_id", "period", "frame_id", "time_s", "agent_id", "team_id", "point_frame_id",
+             "point_time_s", "x_m", "y_m")
+
+
 # The entities of a file: label in the header and agent of the table.
 METRICA_FILES = {
     "home": [(f"Player {i}", f"home_{i}") for i in range(1, 12)]
@@ -641,7 +657,7 @@ QUERIES = [
     time_extents, resample_grid, resample_interpolated, resample_split, resample_heights,
     resample_filled,
     agent_slots, time_index, window_meta, window_cells, window_tensors,
-    constant_velocity_rollout, clip_rows, clip_frames, agent_trails,
+    constant_velocity_rollout, clip_rows, clip_rows_clustered, clip_frames, agent_trails, agent_trail_slices,
     metrica_header_map, metrica_wide_to_long, metrica_dedupe, metrica_wide_table, metrica_events,
     metrica_events_files, csv_records, metrica_events_lines,
     skillcorner_frames, statsbomb_events, soccertrack_mapping, soccertrack_files,

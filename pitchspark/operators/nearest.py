@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchspark.operators.skew import attach
+from pitchspark.operators.skew import attach, checkpointed
 
 # Each level of the grid divides a cell into BRANCH x BRANCH.
 BRANCH = 4
@@ -47,7 +47,9 @@ def nearest_other(points: DataFrame) -> DataFrame:
     the furthest corner of some other cell known to hold another label. No pair of points is formed
     above the last level, where the cells left hold few points.
     """
-    placed = _placed(points)
+    # Every level looks at the placed points.
+    placed, columns = checkpointed(_placed(points)), points.columns
+    points = placed.select(*columns)
     largest = points.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
     depth = max(1, math.ceil(math.log(max(1, largest / CELL_POINTS), BRANCH**2)))
 

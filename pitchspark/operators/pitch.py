@@ -42,7 +42,8 @@ def flip_left_to_right(
     })
 
 
-def _off_pitch(length: float, width: float) -> Column:
+def off_pitch(length: float = PITCH_LENGTH_M, width: float = PITCH_WIDTH_M) -> Column:
+    """Whether a row has a position, off the pitch."""
     x, y = _number("x_m"), _number("y_m")
     return x.isNotNull() & y.isNotNull() & ~on_pitch(x, y, length, width)
 
@@ -54,7 +55,7 @@ def out_of_bounds_rows(
     shown = [c for c in [*ROW_KEYS, "x_m", "y_m"] if c in df.columns]
     if not {"x_m", "y_m"} <= set(df.columns):
         return df.select(*shown).where(F.lit(False))
-    return df.where(_off_pitch(length, width)).select(*shown)
+    return df.where(off_pitch(length, width)).select(*shown)
 
 
 def validate_pitch_bounds(
@@ -66,7 +67,7 @@ def validate_pitch_bounds(
             [(False, 0, "Both x_m and y_m are needed.")],
             "ok boolean, out_of_bounds_rows bigint, message string",
         )
-    count = df.agg(F.count_if(_off_pitch(length, width)).alias("out_of_bounds_rows"))
+    count = df.agg(F.count_if(off_pitch(length, width)).alias("out_of_bounds_rows"))
     ok = F.col("out_of_bounds_rows") == 0
     return count.select(
         ok.alias("ok"),

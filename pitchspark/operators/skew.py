@@ -108,6 +108,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The table, worked out once and kept in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def sliced(df: DataFrame, order: list[Column], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Add ``_slice``, an ordered number; a slice has at most about ``slice_rows`` rows.
 
@@ -117,11 +125,8 @@ def sliced(df: DataFrame, order: list[Column], slice_rows: int = SLICE_ROWS) ->
     it must see the same bounds.
     """
     ranges = max(2, -(-3 * df.count() // slice_rows))
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
     ranged = df.repartitionByRange(ranges, *order)
-    return ranged.withColumn("_slice", F.spark_partition_id()).checkpoint()
+    return checkpointed(ranged.withColumn("_slice", F.spark_partition_id()))
 
 
 def time_slice(time: Column, width_s: float = SLICE_S) -> Column:

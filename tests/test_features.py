@@ -16,28 +16,53 @@ from pitchspark.schema import FEATURE_VALUES, TRACKING_COLUMNS
 from tests.helpers import as_set, table
 
 
-def walkers(spark):
-    rows = []
-    for frame in range(3):
-        at = {"frame_id": frame, "time_s": float(frame), "match_id": "m1"}
-        rows.append({**at, "agent_id": "home_01", "x_m": float(frame)})
-        rows.append({**at, "agent_id": "away_01", "team_id": "away", "x_m": 10.0})
-        rows.append({**at, "agent_id": "ball", "agent_type": "ball", "team_id": "ball"})
-    return table(spark, rows)
+# Team, place at the first frame and velocity of some agents that keep to a straight line.
+STROLLERS = {
+    "home_2": ("home", (20.0, 30.0), (2.0, -0.5)), "home_7": ("home", (26.0, 38.0), (-1.5, 2.0)),
+    "home_9": ("home", (60.0, 5.0), (0.0, 3.25)), "away_4": ("away", (24.0, 20.0), (0.75, 1.0)),
+    "away_5": ("away", (70.0, 50.0), (-4.0, -3.0)), "ball": ("ball", (22.0, 31.0), (6.0, 0.5)),
+}
+MOMENTS = [0.0, 0.25, 1.0, 1.5]
+
+
+def place(agent, t):
+    _, (x, y), (vx, vy) = STROLLERS[agent]
+    return x + vx * t, y + vy * t
 
 
-def test_walker(spark):
-    df = compute_features(walkers(spark))
+def strollers(spark):
+    return table(spark, [
+        {"match_id": "m1", "frame_id": frame, "time_s": t, "agent_id": agent, "team_id": team,
+         "agent_type": "ball" if agent == "ball" else "player", "x_m": place(agent, t)[0], "y_m": place(agent, t)[1]}
+        for frame, t in enumerate(MOMENTS) for agent, (team, _, _) in STROLLERS.items()
+    ])
+
+
+def test_strollers(spark):
+    df = compute_features(strollers(spark))
     assert df.columns == TRACKING_COLUMNS + FEATURE_VALUES
-    home = df.where("agent_id = 'home_01'").orderBy("frame_id").collect()
-    assert [r.vx_mps for r in home] == [1.0, 1.0, 1.0]
-    assert [r.vy_mps for r in home] == [0.0, 0.0, 0.0]
-    assert [r.speed_mps for r in home] == [1.0, 1.0, 1.0]
-    assert [r.ax_mps2 for r in home] == [0.0, 0.0, 0.0]
-    assert home[0].distance_to_ball_m == 0.0 and home[0].nearest_opponent_distance_m == 10.0
-    assert home[0].nearest_teammate_distance_m is None
-    ball = df.where("agent_id = 'ball'").first()
-    assert ball.team_centroid_x_m is None and ball.nearest_opponent_distance_m is None
+    rows = df.collect()
+    assert len(rows) == len(MOMENTS) * len(STROLLERS)
+    for r in rows:
+        team, _, (vx, vy) = STROLLERS[r.agent_id]
+        here, close = place(r.agent_id, r.time_s), lambda x: pytest.approx(x, abs=1e-9)
+        assert (r.vx_mps, r.vy_mps, r.speed_mps) == (close(vx), close(vy), close(math.hypot(vx, vy)))
+        assert (r.ax_mps2, r.ay_mps2, r.accel_mps2) == (close(0), close(0), close(0))
+        assert r.distance_to_ball_m == close(math.dist(here, place("ball", r.time_s)))
+        others = {a: place(a, r.time_s) for a in STROLLERS if a not in ("ball", r.agent_id)}
+        if r.agent_id == "ball":
+            assert r.nearest_teammate_distance_m is None and r.nearest_opponent_distance_m is None
+            assert r.team_centroid_x_m is None and r.team_width_m is None
+            continue
+        mates, opponents = (
+            [math.dist(here, p) for a, p in others.items() if (STROLLERS[a][0] == team) == same]
+            for same in (True, False)
+        )
+        assert r.nearest_teammate_distance_m == close(min(mates))
+        assert r.nearest_opponent_distance_m == close(min(opponents))
+        xs, ys = zip(here, *[p for a, p in others.items() if STROLLERS[a][0] == team])
+        assert (r.team_centroid_x_m, r.team_centroid_y_m) == (close(sum(xs) / len(xs)), close(sum(ys) / len(ys)))
+        assert (r.team_length_m, r.team_width_m) == (close(max(xs) - min(xs)), close(max(ys) - min(ys)))
 
 
 def numpy_derivative(values, times):
@@ -279,13 +304,13 @@ def test_nearest_other_matches_brute_force(spark):
 
 
 def test_extras_are_kept_and_features_replaced(spark):
-    df = walkers(spark).withColumns({"extra": F.lit("e"), "vx_mps": F.lit(99.0)})
+    df = strollers(spark).withColumns({"extra": F.lit("e"), "vx_mps": F.lit(99.0)})
     out = compute_features(df)
     assert out.columns == TRACKING_COLUMNS + ["extra"] + FEATURE_VALUES
-    assert out.where("agent_id = 'ball'").first().vx_mps == 0.0
+    assert out.where("agent_id = 'ball'").first().vx_mps == 6.0
     assert compute_features(df.where("false")).count() == 0
 
 
 def test_two_shuffles(spark):
-    plan = compute_features(walkers(spark), None, None)._jdf.queryExecution().executedPlan().toString()
+    plan = compute_features(strollers(spark), None, None)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 2 and plan.count("Sort [") == 2

@@ -187,6 +187,15 @@ def test_clips_and_trails(spark):
                 F.coalesce("match_id", F.lit("")), "period", "frame_id", "agent_id",
                 "point_frame_id", "x_m")
             assert as_set(got) == sorted(want, key=lambda r: tuple((v is None, str(v)) for v in r))
+            slices = clips.agent_trail_slices(clip, trail, hot_rows, most=4096 if hot_rows else 3)
+            got = slices.select(
+                F.coalesce("match_id", F.lit("")).alias("m"), "period", "frame_id", "agent_id", F.inline("trail")
+            ).select("m", "period", "frame_id", "agent_id", "point_frame_id", "x_m")
+            assert as_set(got) == sorted(want, key=lambda r: tuple((v is None, str(v)) for v in r))
+            for r in slices.collect():
+                times = [p.point_time_s for p in r.trail]
+                assert times == sorted(times)
+                assert r.part == 0 or not hot_rows
 
 
 def test_hot_keys_and_attach(spark):
@@ -201,3 +210,27 @@ def test_hot_keys_and_attach(spark):
         out = attach(df, side, ["k"], few, F.col("v"))
         assert out.columns == ["k", "v", "name"]
         assert out.where("name = 'n'").count() == 6 and out.where("name is null").count() == 1
+
+
+def test_quality_summary_scans_once(spark, tmp_path):
+    """The plan of the summary has one scan and one shuffle by series, and its row is that of the parts."""
+    rng = random.Random(3)
+    rows = [
+        {"match_id": rng.choice("ab"), "period": rng.choice([1, 2, None]), "agent_id": rng.choice(["x", "y", None]),
+         "frame_id": rng.choice([i, i - 3, None]), "time_s": rng.choice([i / 10, i / 10, None]),
+         "x_m": rng.choice([rng.uniform(-5, 110), None]), "y_m": rng.uniform(0, 69),
+         "agent_type": rng.choice(["player", "ball"])}
+        for i in range(400)
+    ]
+    for some in (rows, rows[:1], []):
+        path = str(tmp_path / f"t{len(some)}")
+        table(spark, some).write.parquet(path)
+        df = spark.read.parquet(path)
+        report = quality.check_quality(df)
+        want = quality.summarised(report.frame_monotonicity, report.impossible_speeds, report.coordinate_bounds)
+        assert report.summary.collect() == want.collect()
+        plan = report.summary._jdf.queryExecution().executedPlan().toString()
+        plan = plan.partition("Initial Plan")[2] or plan
+        assert plan.count("FileScan") == 1 and plan.count("hashpartitioning") == 1
+        split = quality.check_quality(df, hot_rows=0).summary.collect()
+        assert split == want.collect()
