@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitchspark.constants import AGENT_KEYS
 from pitchspark.functions.casts import half_even, is_finite
-from pitchspark.operators.skew import HOT_AGENT_ROWS, SLICE_ROWS, HotKeys, attach, sliced
+from pitchspark.operators.skew import HEAVY_ROWS, HOT_AGENT_ROWS, SLICE_ROWS, HotKeys, attach, sliced
 from pitchspark.operators.timeseries import collapsed, joined_on, nulls_last, total_order
 from pitchspark.schema import canonical_tracking
 
@@ -230,7 +230,8 @@ def _sliced(
     extent = df.groupBy(*AGENT_KEYS).agg(
         F.min("time_s").alias("_start"), F.max("time_s").alias("_end")
     )
-    rows = attach(df, extent, AGENT_KEYS, few, spread).withColumns(_grid_columns(fps))
+    heavy = None if few else HotKeys(df, AGENT_KEYS, HEAVY_ROWS)
+    rows = attach(df, extent, AGENT_KEYS, few, spread, heavy=heavy).withColumns(_grid_columns(fps))
     # What the grid adds is the same in all copies of a row.
     samples = collapsed(rows.where(F.col("_k").isNotNull()), order)
     carried = _carried(names)

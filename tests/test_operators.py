@@ -212,6 +212,22 @@ def test_hot_keys_and_attach(spark):
         assert out.where("name = 'n'").count() == 6 and out.where("name is null").count() == 1
 
 
+def test_attached_copies_are_not_broadcast(spark):
+    """Small as the lookup is, its copies don't go over the driver; with the heavy keys known, only theirs
+    are made, and the rows are the same."""
+    df = spark.createDataFrame(
+        [(None, i) for i in range(6)] + [("b", i) for i in range(4)] + [("c", 1)], "k string, v int")
+    side = spark.createDataFrame([(None, "n"), ("b", "B"), ("d", "D")], "k string, name string")
+    want = as_set(attach(df, side, ["k"], True, F.col("v")))
+    for heavy in (None, HotKeys(df, ["k"], 5), HotKeys(df, ["k"], 100)):
+        out = attach(df, side, ["k"], False, F.col("v"), heavy=heavy)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        # The heavy keys themselves, checked to be few, are broadcast to be told from the others.
+        assert all("_hot_k" in line or "LeftAnti" in line or "LeftSemi" in line
+                   for line in plan.splitlines() if "BroadcastHashJoin" in line)
+        assert "SortMergeJoin" in plan and as_set(out) == want
+
+
 def test_quality_summary_scans_once(spark, tmp_path):
     """The plan of the summary has one scan and one shuffle by series, and its row is that of the parts."""
     rng = random.Random(3)
