@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitchspark.constants import AGENT_KEYS
 from pitchspark.functions.casts import is_finite
-from pitchspark.operators.skew import HOT_AGENT_ROWS, SLICE_ROWS, HotKeys, attach, sliced
+from pitchspark.operators.skew import HEAVY_ROWS, HOT_AGENT_ROWS, SLICE_ROWS, HotKeys, attach, sliced
 from pitchspark.operators.timeseries import (
     collapsed,
     joined_on,
@@ -179,7 +179,8 @@ def _sliced_series(df: DataFrame, order: list[str], few: bool, slice_rows: int)
         F.max(step).alias("_high_dt"),
     )
     whole = whole.withColumns(_flags()).select(*AGENT_KEYS, *FLAGS)
-    around = attach(around, whole, AGENT_KEYS, few, F.col("_slice"))
+    heavy = None if few else HotKeys(moments, AGENT_KEYS, HEAVY_ROWS)
+    around = attach(around, whole, AGENT_KEYS, few, F.col("_slice"), heavy=heavy)
 
     def last_row_velocity(before: str, here: str, after: str) -> Column:
         """Velocity of the last row at the moment ``here``.
