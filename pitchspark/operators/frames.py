@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pitchspark.constants import BALL, FRAME_KEYS, PLAYER
 from pitchspark.functions.casts import is_finite, no_nan
 from pitchspark.operators.nearest import nearest_other
-from pitchspark.operators.skew import HOT_FRAME_ROWS, HotKeys, attach
+from pitchspark.operators.skew import HEAVY_ROWS, HOT_FRAME_ROWS, HotKeys, attach
 from pitchspark.operators.timeseries import sort_struct
 
 BALL_DISTANCE = ["distance_to_ball_m"]
@@ -105,8 +105,8 @@ def _nearest_places(df: DataFrame) -> DataFrame:
     )
     return (
         places.withColumn("team_grp", F.struct(*FRAME_KEYS, "team_id"))
-        .join(mates, ["team_grp", "x_m", "y_m"])
-        .join(others, ["team_grp", "x_m", "y_m"])
+        .join(mates.hint("merge"), ["team_grp", "x_m", "y_m"])
+        .join(others.hint("merge"), ["team_grp", "x_m", "y_m"])
         .select(
             F.col("team_grp").alias("_team"), F.col("x_m").alias("_x"), F.col("y_m").alias("_y"),
             F.when(F.col("shared"), 0.0).otherwise(F.col("mate")).alias(NEAREST[0]),
@@ -119,18 +119,20 @@ def _by_parts(df: DataFrame, added: list[str], few: bool) -> DataFrame:
     """The same results for frames too large for one task: aggregate, then join back."""
     out = df
     spread = F.struct("agent_id", "time_s", "x_m", "y_m")
+    looked_up = BALL_DISTANCE[0] in added or TEAM_SHAPE[0] in added
+    heavy = None if few or not looked_up else HotKeys(df, FRAME_KEYS, HEAVY_ROWS)
     if BALL_DISTANCE[0] in added:
         ball = df.groupBy(*FRAME_KEYS).agg(ball_of_frame().alias("_ball"))
-        out = attach(out, ball, FRAME_KEYS, few, spread).withColumn(
+        out = attach(out, ball, FRAME_KEYS, few, spread, heavy=heavy).withColumn(
             "distance_to_ball_m", _ball_distance()
         )
     if TEAM_SHAPE[0] in added:
         keys = [*FRAME_KEYS, "team_id"]
         shape = df.groupBy(*keys).agg(*[c.alias(name) for name, c in _shape().items()])
-        out = attach(out, shape, keys, False, spread)
+        out = attach(out, shape, keys, False, spread, heavy=heavy)
     if NEAREST[0] in added:
         out = out.join(
-            _nearest_places(df),
+            _nearest_places(df).hint("merge"),
             (F.struct(*FRAME_KEYS, "team_id") == F.col("_team"))
             & (F.col("x_m") == F.col("_x"))
             & (F.col("y_m") == F.col("_y"))

@@ -7,33 +7,46 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchspark.operators.skew import attach, checkpointed
+from pitchspark.operators.skew import HEAVY_ROWS, HotKeys, attach, checkpointed
 
 # Each level of the grid divides a cell into BRANCH x BRANCH.
 BRANCH = 4
 # The grid is refined until a cell holds about this many points of the largest group.
 CELL_POINTS = 64
 # Parts of equally many points that each axis is cut into; within a part, cells divide it evenly.
+# Groups of few points have fewer parts, a power of two with about so many points each.
 PARTS = 128
+PART_POINTS = 4
 
 
 def _share(axis: str) -> Column:
     """Where a value lies among its group's quantiles, from 0 to below 1, rising with the value."""
     value, bounds = F.col(axis), F.col(f"_bounds_{axis}")
-    i = F.greatest(F.lit(1), F.least(F.lit(PARTS), F.size(F.filter(bounds, lambda b: b <= value))))
+    parts = F.size(bounds) - 1
+    i = F.greatest(F.lit(1), F.least(parts, F.size(F.filter(bounds, lambda b: b <= value))))
     low, high = F.get(bounds, i - 1), F.get(bounds, i)
     within = F.nanvl(F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0)), F.lit(0.0))
     within = F.greatest(F.lit(0.0), F.least(F.lit(1.0), within))
-    return F.least((i - 1 + within) / F.lit(float(PARTS)), F.lit(1.0 - 2.0**-40))
+    return F.least((i - 1 + within) / parts.cast("double"), F.lit(1.0 - 2.0**-40))
 
 
-def _placed(points: DataFrame) -> DataFrame:
-    """Points with their place on either axis of the grid."""
+def _bounds(points: DataFrame) -> DataFrame:
+    """The quantiles of each group on either axis."""
     at = F.lit([i / PARTS for i in range(PARTS + 1)])
-    bounds = points.groupBy("grp").agg(*[
+    bounds = points.groupBy("grp").agg(F.count("*").alias("_n"), *[
         F.percentile_approx(axis, at, 10 * PARTS).alias(f"_bounds_{axis}") for axis in ("x", "y")
     ])
-    with_bounds = attach(points, bounds, ["grp"], False, F.struct("x", "y"), how="inner")
+    halvings = F.greatest(F.lit(0.0), F.floor(F.log2(F.lit(float(PARTS * PART_POINTS)) / F.col("_n"))))
+    step = F.least(F.pow(F.lit(2.0), halvings), F.lit(float(PARTS // BRANCH))).cast("int")
+    return bounds.withColumn("_step", step).select("grp", *[
+        F.filter(f"_bounds_{axis}", lambda b, i: i % F.col("_step") == 0).alias(f"_bounds_{axis}")
+        for axis in ("x", "y")
+    ])
+
+
+def _placed(points: DataFrame, heavy: HotKeys) -> DataFrame:
+    """Points with their place on either axis of the grid."""
+    with_bounds = attach(points, _bounds(points), ["grp"], False, F.struct("x", "y"), "inner", heavy)
     return with_bounds.select(*points.columns, _share("x").alias("_ux"), _share("y").alias("_uy"))
 
 
@@ -46,9 +59,13 @@ def nearest_other(points: DataFrame) -> DataFrame:
     still hold its nearest neighbour: a cell is out when even its closest corner is further than
     the furthest corner of some other cell known to hold another label. No pair of points is formed
     above the last level, where the cells left hold few points.
+
+    Sides of joins grow with the points, and Spark judges nested columns too small: none may be
+    broadcast.
     """
-    # Every level looks at the placed points.
-    placed, columns = checkpointed(_placed(points)), points.columns
+    # Every level looks at the placed points. Only groups too large for a task are dealt out.
+    heavy = HotKeys(points, ["grp"], HEAVY_ROWS)
+    placed, columns = checkpointed(_placed(points, heavy)), points.columns
     points = placed.select(*columns)
     largest = points.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
     depth = max(1, math.ceil(math.log(max(1, largest / CELL_POINTS), BRANCH**2)))
@@ -80,9 +97,9 @@ def nearest_other(points: DataFrame) -> DataFrame:
         )
         keys = ["grp", "cx", "cy"]
         if level == 1:
-            candidates = attach(candidates, parts, keys, False, F.struct("x", "y"), how="inner")
+            candidates = attach(candidates, parts, keys, False, F.struct("x", "y"), "inner", heavy)
         else:
-            candidates = candidates.join(parts, keys)
+            candidates = candidates.join(parts.hint("merge"), keys)
         candidates = candidates.withColumn("_cell", F.explode("_cells")).select(
             "grp", "label", "x", "y", "_cell.*"
         )
@@ -106,10 +123,10 @@ def nearest_other(points: DataFrame) -> DataFrame:
         F.col("y").alias("_py"),
     )
     found = (
-        candidates.join(last, ["grp", "cx", "cy"])
+        candidates.join(last.hint("merge"), ["grp", "cx", "cy"])
         .where(F.col("label") != F.col("_label"))
         .groupBy("grp", "label", "x", "y")
         .agg(F.min(F.hypot(F.col("x") - F.col("_px"), F.col("y") - F.col("_py")))
              .alias("distance"))
     )
-    return points.join(found, ["grp", "label", "x", "y"], "left")
+    return points.join(found.hint("merge"), ["grp", "label", "x", "y"], "left")

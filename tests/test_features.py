@@ -200,6 +200,33 @@ def test_slices_follow_the_rows(spark):
     assert sum(sizes) == 40_000 and max(sizes) <= 1000
 
 
+def test_slices_are_not_tasks(spark):
+    """Many slices are made by as many tasks as a shuffle has partitions, in order, none too large."""
+    rows = spark.range(3000).selectExpr("pmod(id * 7919, 3000) AS t")
+    out = sliced(rows, nulls_last(["t"]), 10)
+    assert out.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = out.groupBy("_slice").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count("*").alias("n"))
+    found = slices.orderBy("_slice").collect()
+    assert len(found) >= 300 and max(r.n for r in found) <= 10 and sum(r.n for r in found) == 3000
+    assert all(a.high < b.low for a, b in zip(found, found[1:]))
+
+
+def test_few_points_have_few_bounds(spark):
+    """What is attached to each point grows with its group, up to the bounds of a large one."""
+    rows = spark.range(2020).selectExpr(
+        "CASE WHEN id < 20 THEN 'few' ELSE 'many' END AS grp", "id % 2 AS label", "id * 1D AS x", "id % 77 * 1D AS y")
+    sizes = {}
+    placed = nearest._placed(rows, nearest.HotKeys(rows, ["grp"], None))
+    for r in placed.collect():
+        sizes.setdefault(r.grp, set()).add(math.floor(r._ux * nearest.BRANCH))
+        assert 0 <= r._ux < 1 and 0 <= r._uy < 1
+    assert sizes == {"few": {0, 1, 2, 3}, "many": {0, 1, 2, 3}}
+    few = nearest._bounds(rows).where("grp = 'few'").first()
+    assert len(few._bounds_x) == 9
+    many = nearest._bounds(rows).where("grp = 'many'").first()
+    assert len(many._bounds_x) == nearest.PARTS + 1
+
+
 def test_infinite_positions_give_nulls_and_no_nan(spark):
     df = table(spark, [{"frame_id": i, "time_s": float(i), "x_m": x}
                        for i, x in enumerate([0.0, math.inf, math.inf, 3.0])])
