@@ -34,71 +34,89 @@ _REACH = 2
 
 
 def gradient(times: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Second-order differences at increasing times, one-sided at both ends; with equal steps the
-    middle value isn't read, so it may be missing (NaN). One sample alone doesn't move."""
+    """Second-order differences at increasing times along the last axis, one-sided at both ends; with
+    equal steps the middle value isn't read, so it may be missing (NaN). One sample alone doesn't
+    move."""
     n = len(times)
     if n < 2:
-        return np.zeros(n)
-    out, step = np.empty(n), np.diff(times)
-    out[0] = (values[1] - values[0]) / step[0]
-    out[-1] = (values[-1] - values[-2]) / step[-1]
-    hs, hd, (v0, v1, v2) = step[:-1], step[1:], (values[:-2], values[1:-1], values[2:])
+        return np.zeros(values.shape)
+    out, step = np.empty(values.shape), np.diff(times)
+    out[..., 0] = (values[..., 1] - values[..., 0]) / step[0]
+    out[..., -1] = (values[..., -1] - values[..., -2]) / step[-1]
+    hs, hd, (v0, v1, v2) = step[:-1], step[1:], (values[..., :-2], values[..., 1:-1], values[..., 2:])
     weighted = (
         -hd / (hs * (hs + hd)) * v0 + (hd - hs) / (hs * hd) * v1 + hs / (hd * (hs + hd)) * v2
     )
-    out[1:-1] = np.where(hs == hd, (v2 - v0) / (2 * hd), weighted)
+    out[..., 1:-1] = np.where(hs == hd, (v2 - v0) / (2 * hd), weighted)
     return out
 
 
+def _repeated(value, n: int) -> np.ndarray:
+    return np.full(n, value, dtype=np.int64 if isinstance(value, (int, np.integer)) else object)
+
+
+def _numbers(frames: np.ndarray) -> np.ndarray | pd.api.extensions.ExtensionArray:
+    """Frame numbers, of which negative ones are missing."""
+    missing = frames < 0
+    return pd.arrays.IntegerArray(frames, missing) if missing.any() else frames
+
+
 def _series(gap_s: float, at: str):
+    """Arrays throughout: a series has few rows in a batch, and a table's columns cost more than they."""
+
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.getOption if state.exists else ([], [], [], [], 0, True)
-        frames_, times, xs, ys = (list(v) for v in held[:4])
-        done, begun, rest = held[4], held[5], []
+        frame = np.array(held[0], dtype=np.int64)
+        t, x, y = (np.array(v, dtype=float) for v in held[1:4])
+        done, begun = held[4], held[5]
+        rest_frame, rest = np.zeros(0, dtype=np.int64), np.zeros((3, 0))
         over = state.hasTimedOut
         if not over:
-            new = pd.concat(list(frames), ignore_index=True)
-            new = new.sort_values(["time_s", "frame_id", "x_m", "y_m"], kind="stable", na_position="last")
-            last = times[-1] if times else -np.inf
-            for row in new[["frame_id", "time_s", "x_m", "y_m"]].itertuples(index=False):
-                if not (np.isfinite(row.time_s) and row.time_s > last):
-                    rest.append(row)
-                    continue
-                last = row.time_s
-                frames_.append(-1 if pd.isna(row.frame_id) else int(row.frame_id))
-                times.append(last)
-                xs.append(row.x_m)
-                ys.append(row.y_m)
-        t = np.array(times, dtype=float)
-        ready = len(times) if over else max(done, len(times) - _REACH)
-        out = {"frame_id": frames_, "time_s": t, "x_m": np.array(xs, float), "y_m": np.array(ys, float)}
-        for axis, values in (("x", out["x_m"]), ("y", out["y_m"])):
-            out[f"v{axis}_mps"] = gradient(t, values)
-            out[f"a{axis}_mps2"] = gradient(t, out[f"v{axis}_mps"])
-        out["speed_mps"] = np.hypot(out["vx_mps"], out["vy_mps"])
-        out["accel_mps2"] = np.hypot(out["ax_mps2"], out["ay_mps2"])
-        order = np.array(frames_, dtype=float)
-        order[order < 0] = np.nan
-        out["frame_falls"] = np.concatenate([[False], order[1:] < order[:-1]])[: len(t)]
-        table = pd.DataFrame(out).iloc[done:ready].assign(late=False)
-        if rest:
-            table = pd.concat([table, pd.DataFrame(rest).assign(frame_falls=False, late=True)])
-        table["frame_id"] = table["frame_id"].astype("Int64").where(lambda c: c >= 0)
-        for name, value in zip(AGENT_KEYS, key, strict=True):
-            table[name] = value
-        columns = [c.split(" ")[0] for c in _OUT.split(", ")]
-        table = table.reindex(columns=columns)
-        # What is missing is null, never NaN.
-        for c in ("time_s", "x_m", "y_m", *_VALUES):
-            table[c] = table[c].astype("Float64")
+            parts = list(frames)
+            new = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+            numbers = new["frame_id"]
+            numbers = numbers.to_numpy() if numbers.dtype == np.int64 else numbers.to_numpy(float, na_value=np.nan)
+            places = np.array([new[c].to_numpy(dtype=float) for c in ("time_s", "x_m", "y_m")])
+            # As a sort by these columns, ties in the order they came in, what is missing last.
+            order = np.lexsort((places[2], places[1], numbers, places[0]))
+            numbers, places = numbers[order], places[:, order]
+            if numbers.dtype != np.int64:
+                numbers = np.where(np.isnan(numbers), -1, numbers).astype(np.int64)
+            times = places[0]
+            use = np.isfinite(times) & (times > (t[-1] if len(t) else -np.inf))
+            use[1:] &= times[1:] != times[:-1]
+            rest_frame, rest = numbers[~use], places[:, ~use]
+            frame = np.concatenate([frame, numbers[use]])
+            t, x, y = (np.concatenate(pair) for pair in zip((t, x, y), places[:, use]))
+        ready = len(t) if over else max(done, len(t) - _REACH)
+        velocity = gradient(t, np.array([x, y]))
+        acceleration = gradient(t, velocity)
+        values = np.array([*velocity, np.hypot(*velocity), *acceleration, np.hypot(*acceleration)])
+        falls = np.zeros(len(t), dtype=bool)
+        falls[1:] = (frame[1:] < frame[:-1]) & (frame[1:] >= 0) & (frame[:-1] >= 0)
+        n, late = ready - done, len(rest_frame)
+        if n + late:
+            out = dict(zip(AGENT_KEYS, (_repeated(k, n + late) for k in key), strict=True))
+            out["frame_id"] = _numbers(np.concatenate([frame[done:ready], rest_frame]))
+            for name, own, other in zip(("time_s", "x_m", "y_m"), (t, x, y), rest, strict=True):
+                out[name] = np.concatenate([own[done:ready], other])
+            # Missing numbers are NaN here, and null in what Spark makes of it.
+            none = np.full(late, np.nan)
+            for name, own in zip(_VALUES, values, strict=True):
+                out[name] = np.concatenate([own[done:ready], none])
+            out["frame_falls"] = np.concatenate([falls[done:ready], np.zeros(late, dtype=bool)])
+            out["late"] = np.arange(n + late) >= n
+            table = pd.DataFrame(out)
         if over:
             state.remove()
         else:
             cut = max(0, ready - _REACH)
-            state.update((frames_[cut:], times[cut:], xs[cut:], ys[cut:], ready - cut, begun and not cut))
+            state.update((frame[cut:].tolist(), t[cut:].tolist(), x[cut:].tolist(), y[cut:].tolist(),
+                          ready - cut, begun and not cut))
             moment = int(new[at].max().timestamp() * 1000) + int(gap_s * 1000)
             state.setTimeoutTimestamp(max(moment, state.getCurrentWatermarkMs() + 1))
-        yield table
+        if n + late:
+            yield table
 
     return run
 

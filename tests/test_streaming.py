@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +137,47 @@ def test_an_interrupted_stream_goes_on(spark, tmp_path):
     want = add_kinematics(canonical_tracking(spark.createDataFrame(rows, COLUMNS).drop("at_s")))
     assert got.count() == len(rows)
     same(by_key(got, KINEMATICS), by_key(want, KINEMATICS))
+
+
+class HeldState:
+    """What ``_series`` asks of a group's state."""
+
+    hasTimedOut = False
+
+    def __init__(self):
+        self.getOption = None
+
+    @property
+    def exists(self):
+        return self.getOption is not None
+
+    def update(self, held):
+        self.getOption = held
+
+    def remove(self):
+        self.getOption = None
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+    def setTimeoutTimestamp(self, moment):
+        self.moment = moment
+
+
+def test_series_make_plain_tables_and_no_empty_ones():
+    """A batch that readies no row makes no table, others have arrays of numbers as columns."""
+    def batch(frames, times):
+        return pd.DataFrame({"frame_id": frames, "time_s": times, "x_m": times, "y_m": 1.0,
+                             "at": pd.to_datetime(1000 + np.array(times), unit="s")})
+
+    run, state = live._series(10.0, "at"), HeldState()
+    assert not list(run(("m", 1, "a"), iter([batch([1, 2], [0.0, 1.0])]), state))
+    out, = run(("m", 1, "a"), iter([batch([4], [3.0]), batch([3], [2.0])]), state)
+    assert out["time_s"].tolist() == [0.0, 1.0] and out["vx_mps"].tolist() == [1.0, 1.0]
+    assert all(isinstance(out[c].dtype, np.dtype) for c in out.columns if c not in ("match_id", "agent_id"))
+    assert state.moment == 1_013_000
+    late, = run(("m", 1, "a"), iter([batch([None], [1.5])]), state)
+    assert late["late"].all() and late["frame_id"].isna().all() and late["vx_mps"].isna().all()
+    state.hasTimedOut = True
+    last, = run(("m", 1, "a"), iter([]), state)
+    assert last["time_s"].tolist() == [2.0, 3.0] and last["frame_id"].tolist() == [3, 4] and not state.exists
