@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from pitchspark.operators.skew import shared_folder
 # What counts as white space between words, as characters and as a pattern of a word.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+# Bytes that one batch of rows takes on its way to Python, where ``small_batches`` holds.
+BATCH_BYTES = 1 << 21
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -35,6 +39,19 @@ def removed(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run within give Python rows in small batches. Ten thousand texts, Spark's usual batch, take
+    tens of megabytes outside the heap in each task, and as many again in its Python worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table doesn't have."""
     taken = {c.lower() for c in df.columns}

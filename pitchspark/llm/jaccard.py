@@ -4,13 +4,17 @@ Texts link if the sets of their five-word shingles have a similarity of at least
 and lower-cased as for ``simhash``; a text of fewer words is one shingle. Sets are held as the sorted
 XXH64 hashes of their shingles.
 
-Candidates come from MinHash: 128 minima in 32 bands of 4. A pair of similarity s shares a band with
-probability 1 - (1 - s^4)^32, so a pair at 0.8 is missed once in 21 million, one above it less often.
-Every link is verified on the whole sets, in two steps that together test all pairs of a band key
-but those that are known to be in one component already:
-
-* each text with the first one of its key. What links here makes components, and a group of copies
-  is mostly settled;
+Candidates come from SimHash and from MinHash. SimHash is that of ``simhash``, on these shingles:
+each text is a candidate with the first one of those that its fingerprint reaches through links of
+few bits, found by the keys of the Golay code. That is the cheaper way to most near copies, but
+pairs at 0.8 differ in more bits than its keys bridge. MinHash finds these: 128 minima in 32 bands
+of 4. A pair of similarity s shares a band with probability 1 - (1 - s^4)^32, so a pair at 0.8 is
+missed once in 21 million, one above it less often. Every link, of either origin, is verified on the
+whole sets. Two steps together test all pairs of a band key but those that are known to be in one
+component already:
+
+* each text with the first one of its fingerprints and of each of its keys. What links here makes
+  components, and a group of copies is mostly settled;
 * in keys with several components left, the texts outside of the key's largest component with all
   others. Both sides are cut into blocks, and each two blocks compared in a task of their own.
 """
@@ -27,8 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchspark.llm.common import fresh, numbered, settled, stored
+from pitchspark.llm.common import fresh, numbered, settled, small_batches, stored
 from pitchspark.llm.components import connected
+from pitchspark.llm.simhash import linked_prints, print_of
 
 SHINGLE_WORDS = 5
 # Similarity at least 4 / 5.
@@ -68,8 +73,9 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return mixed.reshape(BANDS, BAND_ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def similar(common: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Whether sets of these sizes and so many common members have the similarity, in whole numbers."""
+def similar(common, left, right):
+    """Whether sets of these sizes and so many common members have the similarity, in whole numbers;
+    arrays or columns."""
     part, whole = SIMILAR
     return common * (part + whole) >= part * (left + right)
 
@@ -77,17 +83,19 @@ def similar(common: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarr
 def _signatures(shingle_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, keys = [], []
+            names, prints, keys = [], [], []
             for text in batch.column("text"):
                 found = shingles(text.as_py(), shingle_words)
                 names.append(xxhash.xxh3_128_digest(found.tobytes()))
+                prints.append(print_of(found))
                 keys.append(band_keys(found))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             ends = pa.array(np.arange(len(names) + 1, dtype=np.int32) * BANDS)
+            prints = pa.array(np.array(prints, dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), pa.array(names, pa.binary()),
+                [batch.column("row"), batch.column("doc_id"), pa.array(names, pa.binary()), prints,
                  pa.ListArray.from_arrays(ends, flat)],
-                names=["row", "doc_id", "name", "keys"],
+                names=["row", "doc_id", "name", "print", "keys"],
             )
 
     return run
@@ -106,23 +114,6 @@ def _sets(shingle_words: int):
     return run
 
 
-def _members(column: pa.ListArray) -> Iterator[np.ndarray]:
-    flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
-    return (flat[i:j] for i, j in zip(ends[:-1], ends[1:]))
-
-
-def _tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sides = zip(_members(batch.column("left")), _members(batch.column("right")), strict=True)
-        use = [
-            bool(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-            for x, y in sides
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b")], names=["a", "b"]
-        ).filter(pa.array(use, pa.bool_()))
-
-
 def _tested_blocks(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """Links between a block's strays and members of other components."""
     stray = frame["stray"].to_numpy()
@@ -143,24 +134,41 @@ def _tested_blocks(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
 
+def close_prints(rows: DataFrame) -> DataFrame:
+    """(a, b): the rows (row, print; a long) with the first one of those whose fingerprints theirs
+    reach, by links of at most ``simhash.MAX_BITS`` bits; they needn't be similar."""
+    prints = stored(rows.select("print").distinct(), "jaccard-prints")
+    root = stored(linked_prints(prints), "jaccard-print-roots")
+    named = rows.join(root, rows["print"] == root["node"], "left").select(
+        "row", F.coalesce("root", "print").alias("root")
+    )
+    first = named.groupBy("root").agg(F.min("row").alias("a"), F.count("*").alias("n")).where("n > 1")
+    return named.join(first, "root").where("row != a").select("a", F.col("row").alias("b"))
+
+
 def _links(docs: DataFrame, keys: DataFrame, shingle_words: int, block: int) -> DataFrame:
-    """(a, b) between the rows of ``keys`` (row, keys), enough of all links for their components."""
+    """(a, b) between the rows of ``keys`` (row, print, keys), enough of all links for their
+    components."""
     each = keys.select("row", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
     # Without the first text of each key, which is tested with all others.
     others = stored(
         each.join(shared.select("key", "first"), "key").where("row != first"), "jaccard-keys"
     )
+    of_keys = others.select(F.col("first").alias("a"), F.col("row").alias("b"))
     pairs = stored(
-        others.select(F.col("first").alias("a"), F.col("row").alias("b")).distinct(), "jaccard-pairs"
+        close_prints(keys.select("row", "print")).unionAll(of_keys).distinct(), "jaccard-pairs"
     )
     used = pairs.select(F.col("a").alias("row")).unionAll(pairs.select("b")).distinct()
     texts = docs.join(used, "row", "left_semi").select("row", "text")
     sets = stored(texts.mapInArrow(_sets(shingle_words), "row long, found array<long>"), "jaccard-sets")
     left = sets.select(F.col("row").alias("a"), F.col("found").alias("left"))
     right = sets.select(F.col("row").alias("b"), F.col("found").alias("right"))
+    # Here, not in Python: batches of sets in pairs would take hundreds of megabytes outside the heap.
+    common = F.size(F.array_intersect("left", "right"))
+    both = pairs.join(left, "a").join(right, "b")
     links = stored(
-        pairs.join(left, "a").join(right, "b").mapInArrow(_tested, "a long, b long"), "jaccard-links"
+        both.where(similar(common, F.size("left"), F.size("right"))).select("a", "b"), "jaccard-links"
     )
     root = stored(connected(links), "jaccard-roots")
 
@@ -213,18 +221,20 @@ def jaccard_groups(
     id_type = docs.schema["doc_id"].dataType.simpleString()
     docs = settled(docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")), "jaccard-rows")
     docs = numbered(docs, "row")
-    found = stored(
-        docs.mapInArrow(
-            _signatures(shingle_words),
-            f"row long, doc_id {id_type}, name binary, keys array<long>",
-        ),
-        "jaccard-signatures",
-    )
-    # Equal sets meet in the map tasks already; the row of each that is the best stands for it.
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "keys"))
-    distinct = stored(found.groupBy("name").agg(best.alias("best")), "jaccard-distinct")
-    links = _links(docs, distinct.select("best.row", "best.keys"), shingle_words, block)
-    root = stored(connected(links), "jaccard-roots")
+    with small_batches(docs.sparkSession):
+        found = stored(
+            docs.mapInArrow(
+                _signatures(shingle_words),
+                f"row long, doc_id {id_type}, name binary, print long, keys array<long>",
+            ),
+            "jaccard-signatures",
+        )
+        # Equal sets meet in the map tasks already; the row of each that is the best stands for it.
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "print", "keys"))
+        distinct = stored(found.groupBy("name").agg(best.alias("best")), "jaccard-distinct")
+        of_each = distinct.select("best.row", "best.print", "best.keys")
+        links = _links(docs, of_each, shingle_words, block)
+        root = stored(connected(links), "jaccard-roots")
     best = distinct.select("name", F.struct("best.none", "best.doc_id", "best.row").alias("best"))
     linked = best.join(root, F.col("best.row") == F.col("node"))
     of_root = linked.groupBy("root").agg(F.min("best").alias("best"))

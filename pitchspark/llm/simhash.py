@@ -42,6 +42,17 @@ RUN = 4096
 _STEP = 1 << 16
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes (uint64) have each of the 64 bits."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
+    bits = np.packbits(2 * counts > n, bitorder="little")
+    return int(bits.view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
     """The fingerprint of a whole text, 0 for a text without words."""
     words = (text or "").encode().lower().split()
@@ -52,11 +63,14 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int
     for at in range(0, n, _STEP):
         size = min(_STEP, n - at)
         shingles = map(b" ".join, zip(*(words[at + i : at + i + size] for i in range(shingle_words))))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, size)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int32)
-    bits = np.packbits(2 * counts > n, bitorder="little")
-    return int(bits.view(np.uint64)[0])
+        counts += bit_counts(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, size))
+    return _majority(counts, n)
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles with these hashes (uint64), each counted as often as it is there."""
+    parts = (hashes[at : at + _STEP] for at in range(0, len(hashes), _STEP))
+    return _majority(sum(map(bit_counts, parts)), len(hashes))
 
 
 def fingerprints(

@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from pitchspark.llm import jaccard
+from pitchspark.llm.common import small_batches
 from tests.llm.helpers import awkward, documents, words
 from tests.llm.test_exact_and_near import union_find
 
@@ -81,3 +82,36 @@ def test_empty(spark, tmp_path):
     docs = documents(spark, tmp_path, [])
     assert jaccard.jaccard_groups(docs).count() == 0
     assert jaccard.drop_near_copies(docs).columns == docs.columns
+
+
+def test_close_fingerprints_are_candidates(spark):
+    """Rows within 4 bits of one another, over a third one too, meet at their first row; at 5 bits not."""
+    prints = {3: 0, 9: 0b1111, 4: 0b11111111, 12: 0, 20: 0b11111 << 40, 21: -1, 22: -1 ^ 0b111 << 60}
+    rows = spark.createDataFrame(list(prints.items()), "row long, print long")
+    assert as_pairs(jaccard.close_prints(rows)) == {(3, 9), (3, 4), (3, 12), (21, 22)}
+
+
+def test_candidates_by_fingerprint_alone(spark, tmp_path):
+    """Without a MinHash key in common, near copies are still found by their fingerprints, and verified."""
+    rng = random.Random(8)
+    text = words(rng, 400)
+    texts = [text, f"{text} more", "quite another text of a few words", f"{text} {words(rng, 400)}"]
+    docs = documents(spark, tmp_path, [(i, t, "en", "s1", None) for i, t in enumerate(texts)]).withColumnRenamed("doc_id", "row")
+    keys = spark.createDataFrame(
+        [(i, 7 if i != 2 else 7 ^ 0xFFFFFF, [i]) for i in range(4)], "row long, print long, keys array<long>"
+    )
+    assert as_pairs(jaccard._links(docs, keys, 5, 512)) == {(0, 1)}
+
+
+def test_small_batches_are_for_a_while(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    with small_batches(spark):
+        sizes = spark.range(50, numPartitions=1).selectExpr("repeat('x', 100000) AS text").mapInArrow(
+            lambda batches: (b.slice(0, 1) for b in batches), "text string"
+        ).count()
+    assert sizes > 1 and spark.conf.get(name) == before
+
+
+def as_pairs(df):
+    return {(r.a, r.b) for r in df.collect()}
