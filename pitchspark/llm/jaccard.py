@@ -23,9 +23,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import repeat
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,6 +35,9 @@ from pitchspark.llm.common import fresh, numbered, settled, small_batches, store
 from pitchspark.llm.components import connected
 from pitchspark.llm.simhash import linked_prints, print_of
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 SHINGLE_WORDS = 5
 # Similarity at least 4 / 5.
 SIMILAR = (4, 5)
@@ -116,6 +119,8 @@ def _sets(shingle_words: int):
 
 def _tested_blocks(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """Links between a block's strays and members of other components."""
+    import pandas as pd  # 46 MB of a worker that the other steps don't need
+
     stray = frame["stray"].to_numpy()
     rows, roots, found = (frame[c].to_numpy() for c in ("row", "root", "found"))
     of, out = np.flatnonzero(~stray), []

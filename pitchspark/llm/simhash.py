@@ -21,9 +21,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import repeat
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,6 +33,10 @@ from pitchspark.llm.common import fresh, numbered, settled, stored
 from pitchspark.llm.components import connected, roots
 from pitchspark.llm.golay import decode, near_indices
 
+# Loading pandas takes 46 MB of each worker; where it is needed, Spark has loaded it.
+if TYPE_CHECKING:
+    import pandas as pd
+
 SHINGLE_WORDS = 4
 MAX_BITS = 4
 SEED = 42
@@ -128,13 +132,13 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _stars(left: list[np.ndarray], right: list[np.ndarray]) -> pd.DataFrame:
+def _stars(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
     """Links as each fingerprint's link to the smallest one that these links reach."""
-    if not left:
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    nodes, root = roots(np.concatenate(left), np.concatenate(right))
+    nodes = root = np.zeros(0, np.int64)
+    if left:
+        nodes, root = roots(np.concatenate(left), np.concatenate(right))
     use = nodes != root
-    return pd.DataFrame({"a": nodes[use], "b": root[use]})
+    return pa.RecordBatch.from_arrays([pa.array(nodes[use]), pa.array(root[use])], names=["a", "b"])
 
 
 def _close(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
@@ -144,7 +148,7 @@ def _close(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
 def _links_of_runs(max_bits: int):
     """Links within runs of equal keys, in rows sorted by key; no run is longer than RUN."""
 
-    def of(keys: np.ndarray, prints: np.ndarray) -> pd.DataFrame:
+    def of(keys: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
         left, right, at, d = [], [], np.arange(len(keys)), 0
         while True:
             d += 1
@@ -157,11 +161,11 @@ def _links_of_runs(max_bits: int):
                 left.append(prints[use])
                 right.append(prints[use + d])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = prints = np.zeros(0, dtype=np.int64)
-        for frame in frames:
-            keys = np.concatenate([keys, frame["key"].to_numpy()])
-            prints = np.concatenate([prints, frame["print"].to_numpy()])
+        for batch in batches:
+            keys = np.concatenate([keys, batch.column("key").to_numpy()])
+            prints = np.concatenate([prints, batch.column("print").to_numpy()])
             end = np.searchsorted(keys, keys[-1]) if len(keys) else 0
             yield of(keys[:end], prints[:end])
             keys, prints = keys[end:], prints[end:]
@@ -179,7 +183,7 @@ def _links_of_blocks(max_bits: int):
             use = more[_close(np.full(len(more), one), more, max_bits)]
             left.append(np.full(len(use), one))
             right.append(use)
-        return _stars(left, right)
+        return _stars(left, right).to_pandas()
 
     return run
 
@@ -196,7 +200,7 @@ def linked_prints(prints: DataFrame, max_bits: int = MAX_BITS, run: int = RUN) -
     links = (
         usual.repartition("key")
         .sortWithinPartitions("key")
-        .mapInPandas(_links_of_runs(max_bits), "a long, b long")
+        .mapInArrow(_links_of_runs(max_bits), "a long, b long")
     )
     if any_large:
         blocks = F.ceil(F.col("count") * 2 / run).cast("long")
