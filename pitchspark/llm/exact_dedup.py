@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchspark.llm.common import SPACES, fresh, numbered, settled, stored
+from pitchspark.llm.common import SPACES, fresh, numbered, settled, small_batches, stored
 
 # Bytes of a block, and bits of a name that count within one sort partition.
 BLOCK_BYTES = 4096
@@ -84,7 +84,8 @@ def named(parts: DataFrame, keys: list[str], label: str) -> DataFrame:
             out += [pa.array([k[i] for k in both.values()], c.type) for i, c in enumerate(columns)]
             yield pa.RecordBatch.from_arrays([*out, pa.array(list(both))], names=schema.names)
 
-    found = stored(spread.mapInArrow(run, schema), label)
+    with small_batches(parts.sparkSession):
+        found = stored(spread.mapInArrow(run, schema), label)
     edges = found.where(F.col("row").isNull()).select(*keys, F.col("name").alias("_name"))
     same = edges.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min("_name").alias("_one"))
     match = [F.col(k) == F.col(f"_{k}") for k in keys]

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchspark.llm.common import stored
+from pitchspark.llm.common import small_batches, stored
 from pitchspark.llm.tokens import encoder
 
 CAPACITY = 1024
@@ -191,7 +191,8 @@ def packed(
     """
     if group_pieces < 1 or capacity < 1:
         raise ValueError("group_pieces and capacity must be positive")
-    cut = stored(pieces(docs, tokenizer, end_id, capacity, keep_ids), "packing-pieces")
+    with small_batches(docs.sparkSession):
+        cut = stored(pieces(docs, tokenizer, end_id, capacity, keep_ids), "packing-pieces")
     none = F.lit(-1).cast("long")
     loose = cut.where(F.col("length") < capacity).select(
         "number", "length", none.alias("grp"), none.alias("bin"), none.alias("place"),

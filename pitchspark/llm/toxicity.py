@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchspark.llm.common import extended, fresh
+from pitchspark.llm.common import extended, fresh, small_batches, stored
 from pitchspark.llm.labelled import calibrated, labelled_sample, sigmoid
 
 DIMENSIONS = 8
@@ -311,6 +311,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the model fitted on ``labels`` doesn't find toxic."""
+    """The rows of ``docs`` that the model fitted on ``labels`` doesn't find toxic; written once."""
     out = scored(docs, fit(docs, labels, **options))
-    return out.where(~F.col(out.columns[-1])).select(*docs.columns)
+    kept = out.where(~F.col(out.columns[-1])).select(*docs.columns)
+    # Here, as a lazy table would be scored in the batches of whoever asks for its rows.
+    with small_batches(docs.sparkSession):
+        return stored(kept, "toxicity-kept")
