@@ -10,13 +10,20 @@ few bits, found by the keys of the Golay code. That is the cheaper way to most n
 pairs at 0.8 differ in more bits than its keys bridge. MinHash finds these: 128 minima in 32 bands
 of 4. A pair of similarity s shares a band with probability 1 - (1 - s^4)^32, so a pair at 0.8 is
 missed once in 21 million, one above it less often. Every link, of either origin, is verified on the
-whole sets. Two steps together test all pairs of a band key but those that are known to be in one
-component already:
+whole sets. Three steps together test all pairs of a band key but those that are known to be in one
+component already or to have too little in common:
 
-* each text with the first one of its fingerprints and of each of its keys. What links here makes
+* each text with the first one of its fingerprint and of each of its keys. What links here makes
   components, and a group of copies is mostly settled;
-* in keys with several components left, the texts outside of the key's largest component with all
-  others. Both sides are cut into blocks, and each two blocks compared in a task of their own.
+* in keys with several components left, the texts outside of the key's largest component with one of
+  its members, another one for each key. A text that some of the component are similar to meets
+  several of them by its keys;
+* in keys that still have several components, the texts outside of the largest one with all others.
+  Both sides are cut into blocks, and each two blocks compared in a task of their own, which gives no
+  more links than connect the components it has.
+
+Before the second step go the texts of which over a fifth of the shingles are in no other text that
+is left: similar texts have four fifths of either's shingles in common.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchspark.llm.common import fresh, numbered, settled, small_batches, stored
-from pitchspark.llm.components import connected
+from pitchspark.llm.components import connected, roots
 from pitchspark.llm.simhash import linked_prints, print_of
 
 if TYPE_CHECKING:
@@ -118,12 +125,13 @@ def _sets(shingle_words: int):
 
 
 def _tested_blocks(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """Links between a block's strays and members of other components."""
+    """What links a block's strays and members of other components: each component's root with the
+    smallest one that it reaches here, never the pairs of texts."""
     import pandas as pd  # 46 MB of a worker that the other steps don't need
 
     stray = frame["stray"].to_numpy()
-    rows, roots, found = (frame[c].to_numpy() for c in ("row", "root", "found"))
-    of, out = np.flatnonzero(~stray), []
+    root, found = (frame[c].to_numpy() for c in ("root", "found"))
+    of, left, right = np.flatnonzero(~stray), [], []
     if len(of):
         sizes = np.array([len(found[i]) for i in of])
         flat = np.concatenate(found[of])
@@ -134,9 +142,13 @@ def _tested_blocks(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
             at = np.repeat(first, last - first) + np.arange((last - first).sum())
             at -= np.repeat(np.cumsum(last - first) - (last - first), last - first)
             common = np.bincount(owner[at], minlength=len(of))
-            use = of[similar(common, len(found[i]), sizes) & (roots[of] != roots[i])]
-            out.append(pd.DataFrame({"a": rows[i], "b": rows[use]}))
-    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+            met = np.unique(root[of[similar(common, len(found[i]), sizes)]])
+            right.append(met[met != root[i]])
+            left.append(np.full(len(right[-1]), root[i]))
+    a = b = np.zeros(0, dtype=np.int64)
+    if left:
+        a, b = roots(np.concatenate(left), np.concatenate(right))
+    return pd.DataFrame({"a": a[a != b], "b": b[a != b]})
 
 
 def close_prints(rows: DataFrame) -> DataFrame:
@@ -151,6 +163,19 @@ def close_prints(rows: DataFrame) -> DataFrame:
     return named.join(first, "root").where("row != a").select("a", F.col("row").alias("b"))
 
 
+def _lonely(sets: DataFrame) -> DataFrame:
+    """(row): the rows of ``sets`` (row, found) that are similar to no other one, as over a fifth of
+    their members are in no other one."""
+    part, whole = SIMILAR
+    each = sets.select("row", F.size("found").alias("size"), F.explode("found").alias("member"))
+    # Members of many rows are merged in the map tasks.
+    rows = each.groupBy("member").agg(
+        F.min("row").alias("row"), F.max("row").alias("last"), F.min("size").alias("size")
+    )
+    alone = rows.where("row = last").groupBy("row", "size").agg(F.count("*").alias("n"))
+    return alone.where(F.col("n") * whole > F.col("size") * (whole - part)).select("row")
+
+
 def _links(docs: DataFrame, keys: DataFrame, shingle_words: int, block: int) -> DataFrame:
     """(a, b) between the rows of ``keys`` (row, print, keys), enough of all links for their
     components."""
@@ -171,28 +196,47 @@ def _links(docs: DataFrame, keys: DataFrame, shingle_words: int, block: int) ->
     right = sets.select(F.col("row").alias("b"), F.col("found").alias("right"))
     # Here, not in Python: batches of sets in pairs would take hundreds of megabytes outside the heap.
     common = F.size(F.array_intersect("left", "right"))
-    both = pairs.join(left, "a").join(right, "b")
-    links = stored(
-        both.where(similar(common, F.size("left"), F.size("right"))).select("a", "b"), "jaccard-links"
-    )
-    root = stored(connected(links), "jaccard-roots")
 
-    now = others.join(root, others["row"] == root["node"], "left").select(
-        "key", "row", F.coalesce("root", "row").alias("root")
-    )
-    parts = stored(now.groupBy("key", "root").agg(F.count("*").alias("n")), "jaccard-parts")
-    open_ = stored(
-        parts.groupBy("key")
-        .agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts"))
-        .where("parts > 1")
-        .select(
-            "key",
-            F.col("main.root").alias("main"),
-            F.ceil((F.col("n") - F.col("main.n")) / block).cast("long").alias("stray_blocks"),
-            F.ceil(F.col("n") / block).cast("long").alias("blocks"),
-        ),
-        "jaccard-open",
-    )
+    def tested(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(left, "a").join(right, "b")
+        return both.where(similar(common, F.size("left"), F.size("right"))).select("a", "b")
+
+    def rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+        root = stored(connected(links), "jaccard-roots")
+        return rows.select("key", "row").join(root, rows["row"] == root["node"], "left").select(
+            "key", "row", F.coalesce("root", "row").alias("root")
+        )
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        """The keys of several components, with their largest one and one of its rows."""
+        # Another row in each key, though many keys have the same rows.
+        any_row = F.min(F.struct(F.xxhash64("key", "row"), "row")).getField("row")
+        parts = rows.groupBy("key", "root").agg(F.count("*").alias("n"), any_row.alias("one"))
+        largest = F.max(F.struct("n", "root", "one")).alias("main")
+        return stored(
+            parts.groupBy("key")
+            .agg(largest, F.sum("n").alias("n"), F.count("*").alias("parts"))
+            .where("parts > 1")
+            .select(
+                "key",
+                F.col("main.root").alias("main"),
+                F.col("main.one").alias("one"),
+                F.ceil((F.col("n") - F.col("main.n")) / block).cast("long").alias("stray_blocks"),
+                F.ceil(F.col("n") / block).cast("long").alias("blocks"),
+            ),
+            "jaccard-open",
+        )
+
+    links = stored(tested(pairs), "jaccard-links")
+    now = rooted(others, links)
+    now = stored(now.join(still_open(now).select("key"), "key"), "jaccard-now")
+    lonely = _lonely(sets.join(now.select("row").distinct(), "row", "left_semi"))
+    now = stored(now.join(lonely, "row", "left_anti"), "jaccard-now")
+    strays = now.join(still_open(now), "key").where("root != main")
+    by_one = strays.select(F.col("one").alias("a"), F.col("row").alias("b")).distinct()
+    links = stored(links.unionAll(tested(by_one)), "jaccard-links")
+    now = stored(rooted(now, links), "jaccard-now")
+    open_ = still_open(now)
     if open_.isEmpty():
         return links
     now = now.join(open_, "key")

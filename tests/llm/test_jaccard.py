@@ -4,6 +4,8 @@ import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -103,6 +105,47 @@ def test_candidates_by_fingerprint_alone(spark, tmp_path):
     assert as_pairs(jaccard._links(docs, keys, 5, 512)) == {(0, 1)}
 
 
+@pytest.mark.parametrize("block", [8, 512])
+def test_links_grow_with_the_texts_of_a_key(spark, tmp_path, block):
+    """A key whose first text is like none of the others, which are all alike, and a text that shares
+    a passage with them only: as many links as connect them, not their pairs."""
+    rng, n = random.Random(9), 40
+    text = words(rng, 200)
+    texts = [words(rng, 50), *(f"{text} {words(rng, 2)}" for _ in range(n)), f"{words(rng, 200)} {text}"]
+    docs = documents(spark, tmp_path, [(i, t, "en", "s1", None) for i, t in enumerate(texts)]).withColumnRenamed("doc_id", "row")
+    prints = [rng.getrandbits(63) for _ in texts]
+    keys = spark.createDataFrame(
+        [(i, p, [7, 8]) for i, p in enumerate(prints)], "row long, print long, keys array<long>"
+    )
+    links = [(r.a, r.b) for r in jaccard._links(docs, keys, 5, block).collect()]
+    root = union_find(range(len(texts)), links)
+    assert len({root[i] for i in range(1, n + 1)}) == 1
+    assert len(set(root.values())) == 3
+    assert len(links) < 3 * n
+
+
+def test_blocks_give_no_pairs_of_texts():
+    """Links of components, fewer than there are, though all texts are similar."""
+    n = 60
+    frame = pd.DataFrame({
+        "stray": [True] * n + [False] * n,
+        "row": range(2 * n),
+        "root": [*range(n), *([1000] * (n // 2)), *range(n + n // 2, 2 * n)],
+        "found": [np.arange(50)] * (2 * n),
+    })
+    got = jaccard._tested_blocks((7, 0, 0), frame)
+    assert list(got.columns) == ["a", "b"] and len(got) == n + n // 2
+    assert set(got["b"]) == {0} and set(got["a"]) == {*range(1, n), *range(n + n // 2, 2 * n), 1000}
+    assert len(jaccard._tested_blocks((7, 0, 0), frame.query("stray"))) == 0
+
+
+def test_lonely_rows_have_no_similar_one(spark):
+    """A row goes if over a fifth of its members are its own; at a fifth it may still be similar."""
+    rows = {1: range(10), 2: range(8), 3: [*range(8), 20], 4: [0, 1, 2, 30], 5: [0, 1, 2, 3, 40], 6: [50]}
+    sets = spark.createDataFrame([(k, list(v)) for k, v in rows.items()], "row long, found array<long>")
+    assert {r.row for r in jaccard._lonely(sets).collect()} == {4, 6}
+
+
 def test_small_batches_are_for_a_while(spark):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
